@@ -7,4 +7,27 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY text)
 """
 
-ORACLES = {"op6_exact_dedup": EXACT_DEDUP}
+URL_FILTER = r"""
+WITH p AS (SELECT page_id,
+       translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+       regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r(h, q, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path, (SELECT arg_max(h || q, length(h || q)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)) AS rule,
+       coalesce((SELECT arg_max(verdict, length(h || q)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)), 'allow') AS verdict
+FROM p
+"""
+
+CHAT_FORMATTING = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|SYS\]|NULL\]|/?ROLE\])', '\1\\\2\3', 'g') AS safe,
+             regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|SYS\]|NULL\]|/?ROLE\])', '\1\\\2\3', 'g') AS safe_role FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(7 + length(safe) + CASE WHEN role IS NULL THEN 6 WHEN role = 'user' THEN 6 WHEN role = 'assistant' THEN 7 WHEN role = 'system' THEN 5 ELSE 13 + length(safe_role) END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES = {"op2_url_filter": URL_FILTER, "op6_exact_dedup": EXACT_DEDUP, "op7_chat_formatting": CHAT_FORMATTING}
