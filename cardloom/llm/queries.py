@@ -9,8 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from cardloom.llm import sql
 from cardloom.llm.chat_format import format_chats, read_back
 from cardloom.llm.exact_dedup import exact_dedup
+from cardloom.llm.packing import pack_documents
+from cardloom.llm.shared import new_folder
+from cardloom.llm.tokens import read_token_files, write_token_files
 from cardloom.llm.url_filter import filter_urls
 
+TOKENIZER_FILE = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER_FILE)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +32,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), tokenizer_path()))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
