@@ -11,6 +11,7 @@ from cardloom.llm.chat_format import format_chats, read_back
 from cardloom.llm.exact_dedup import exact_dedup
 from cardloom.llm.packing import pack_documents
 from cardloom.llm.shared import new_folder
+from cardloom.llm.simhash import near_duplicates
 from cardloom.llm.tokens import read_token_files, write_token_files
 from cardloom.llm.url_filter import filter_urls
 
@@ -27,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("SELECT * FROM VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS t(host, path, verdict)")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
