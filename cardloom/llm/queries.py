@@ -13,6 +13,7 @@ from cardloom.llm.packing import pack_documents
 from cardloom.llm.shared import new_folder
 from cardloom.llm.simhash import near_duplicates
 from cardloom.llm.tokens import read_token_files, write_token_files
+from cardloom.llm.toxicity import toxicity
 from cardloom.llm.url_filter import filter_urls
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -55,6 +56,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(chats.unionByName(more)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return found
