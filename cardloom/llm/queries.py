@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cardloom.llm import sql
 from cardloom.llm.chat_format import format_chats, read_back
+from cardloom.llm.decontaminate import contaminated
 from cardloom.llm.exact_dedup import exact_dedup
 from cardloom.llm.packing import pack_documents
 from cardloom.llm.shared import new_folder
@@ -60,6 +61,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return found
