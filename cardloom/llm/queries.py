@@ -10,6 +10,7 @@ from cardloom.llm import sql
 from cardloom.llm.chat_format import format_chats, read_back
 from cardloom.llm.decontaminate import contaminated
 from cardloom.llm.exact_dedup import exact_dedup
+from cardloom.llm.language_id import identify_languages
 from cardloom.llm.packing import pack_documents
 from cardloom.llm.shared import new_folder
 from cardloom.llm.simhash import near_duplicates
@@ -47,6 +48,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), tokenizer_path()))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
