@@ -9,6 +9,7 @@ A partition's base, the tokens before it, is the prefix sum of the partitions' c
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -22,14 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct pieces of text whose ids a worker remembers, and bytes of one remembered piece at most.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
-#: Characters tokenized in one call.
-CALL_CHARS = 1 << 18
+#: Distinct pieces of text whose ids a worker remembers, and characters of one remembered piece at most.
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+#: Characters tokenized in one string.
+CALL_CHARS = 1 << 16
 
 _PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+\Z")
-#: White space besides the four plain ones: texts with it are tokenized without cutting.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]")
+#: Where white space is single and within the text, every space starts a new piece.
+_UNEVEN_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
+#: White space besides the four plain ones: beside other white space, such texts are tokenized without cutting.
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Encoder:
@@ -40,64 +43,101 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks take the cores
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        alphabet = {c for c in ByteLevel.alphabet()}
+        alphabet = set(ByteLevel.alphabet())
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.cuts = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.width = np.zeros(self.size, np.int64)  # bytes of text under each id
         for token, i in vocabulary.items():
             self.width[i] = len(token) if set(token) <= alphabet else len(token.encode())
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces: they are tokenized in one string, which their bytes cut again."""
-        at = 0
-        while at < len(pieces):
-            chars, to = 0, at
-            while to < len(pieces) and chars < CALL_CHARS:
-                chars += len(pieces[to])
-                to += 1
-            some = pieces[at:to]
-            ids = self._whole("".join(some))
-            ends = np.cumsum([len(p.encode()) for p in some])
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
-            raw = ids.tobytes()
-            start = 0
-            for p, end in zip(some, (cuts * 4).tolist(), strict=True):
-                self.known[p] = raw[start:end]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str], mark: str) -> None:
+        """Ids of new words, each of which starts with ``mark`` (a space or a line end) and holds no other: tokenized in long strings, cut again at the marks."""
+        parts, chars = [[]], 0
+        for p in new:
+            if chars > CALL_CHARS:
+                parts.append([])
+                chars = 0
+            parts[-1].append(p)
+            chars += len(p) + 1
+        lead = mark if mark == " " else ""
+        joined = [lead + lead.join(p) for p in parts]
+        for some, text, found in zip(parts, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            if not some:
+                continue
+            ids = np.asarray(found.ids, "<u4")
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(raw == ord(mark))[1:], len(raw))
+            cuts = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * 4
+            whole, start = ids.tobytes(), 0
+            for p, end in zip(some, cuts.tolist(), strict=True):
+                self.words[p] = whole[start:end]
                 start = end
-            at = to
+
+    def _word_ids(self, cut: list[list[str]]) -> list[bytes]:
+        """Ids of words that a space stands before; one that starts with a line end has no space."""
+        known = self.words
+        new = set().union(*cut) - known.keys()
+        once = {p: self._whole(p if p[0] == "\n" else " " + p) for p in new if len(p) > REMEMBERED_CHARS}
+        plain, lines, ended = set(), [], []
+        for p in new - once.keys():
+            if p[0] == "\n":
+                lines.append(p)
+            elif (stem := p.rstrip(".,;:!?")) != p and stem.isalpha():  # letters and what follows them are never one token
+                ended.append((p, stem))
+                if stem not in known:
+                    plain.add(stem)
+            else:
+                plain.add(p)
+        self._learn(list(plain), " ")
+        self._learn(lines, "\n")
+        for p, stem in ended:
+            known[p] = known[stem] + self._piece(p[len(stem) :])
+        known.update(once)
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for p in once:
+            del known[p]
+        if len(known) > REMEMBERED:
+            known.clear()
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self._whole(piece)
+            if len(piece) <= REMEMBERED_CHARS:
+                if len(self.pieces) > REMEMBERED // 4:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids."""
-        cut = [None if not self.cuts or _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = {p for pieces in cut if pieces for p in pieces if p not in self.known}
-        long = {p for p in new if len(p) > REMEMBERED_BYTES}
-        inner = [p for p in new - long if p[0] in " \t\r\n" and p[-1] not in " \t\r\n"]
-        self._learn(inner)
-        for p in new - long - set(inner):  # a text's first piece, and white space at its end
-            self.known[p] = self._whole(p).tobytes()
-        once = {p: self._whole(p).tobytes() for p in long}
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(self._whole(text))
-            elif once:
-                out.append(np.frombuffer(b"".join([self.known[p] if p in self.known else once[p] for p in pieces]), "<u4"))
+        out: list[bytes] = [b""] * len(texts)
+        spaced = []
+        for i, t in enumerate(texts):
+            if not self.cuts:
+                out[i] = self._whole(t)
+            elif not _UNEVEN_SPACE.search(t):
+                spaced.append((i, t.replace("\n", " \n").split(" ")))
+            elif _OTHER_SPACE.search(t):
+                out[i] = self._whole(t)
             else:
-                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4"))
-        return out
+                out[i] = b"".join(map(self._piece, _PIECE.findall(t)))
+        for (i, words), ids in zip(spaced, self._word_ids([w[1:] for _, w in spaced]), strict=True):
+            out[i] = (self._piece(words[0]) if words[0] else b"") + ids
+        return [np.frombuffer(x, "<u4") for x in out]
 
 
 _ENCODERS: dict[str, Encoder] = {}
