@@ -11,6 +11,7 @@ from cardloom.llm.chat_format import format_chats, read_back
 from cardloom.llm.decontaminate import contaminated
 from cardloom.llm.exact_dedup import exact_dedup
 from cardloom.llm.language_id import identify_languages
+from cardloom.llm.lm_score import score_documents
 from cardloom.llm.packing import pack_documents
 from cardloom.llm.shared import new_folder
 from cardloom.llm.simhash import near_duplicates
@@ -70,6 +71,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return found
