@@ -1,11 +1,381 @@
-"""All card queries by name."""
+"""All card queries by name, over the domain of ``sources.fixtures``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cardloom.functions import numeric, text
+from cardloom.operators import accounts, advice, catalogue, compare, history, quality, ranking, scoring, spending
+from cardloom.plans import sql
+from cardloom.sources import dims
+from cardloom.sources.fixtures import Domain
+
+KEYWORDS = {"A": ("ring",), "B": ("widget", "bolt"), "C": ()}
+USAGE_MONTH = "1997-06-01"
+
+_FOUND: dict[str, Callable[[Domain], DataFrame]] = {}
+
+
+def query(f: Callable[[Domain], DataFrame]) -> Callable[[Domain], DataFrame]:
+    _FOUND[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, f=f: f(Domain(spark, sf_dir))) for name, f in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracles()
+
+
+# ---------------------------------------------------------------- catalogue
+
+
+@query
+def card_list(d: Domain) -> DataFrame:
+    return catalogue.card_list(d.card)
+
+
+@query
+def card_filter(d: Domain) -> DataFrame:
+    found = catalogue.Criteria(card_type="신용", fee_band="~10만원", performance_cap="~50만원", has_event=True, companies=["Brand#11", "Brand#12", "Brand#21", "Brand#22", "Brand#31", "Brand#32", "Brand#41", "Brand#42", "Brand#51", "Brand#52"])
+    return catalogue.filter_cards(d.card, found).select("card_id", "company", "card_type", "annual_fee_dom_basic", "min_performance")
+
+
+@query
+def category_keyword_match(d: Domain) -> DataFrame:
+    wanted = (["A"], ["B"], ["A", "B"], ["C"], ["pin"], [])
+    parts = [catalogue.match_categories(d.card, s, KEYWORDS).select("card_id", F.lit(",".join(s)).alias("selected")) for s in wanted]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def card_search(d: Domain) -> DataFrame:
+    return catalogue.search_cards(d.card, "RING", d.card.filter("card_id % 10 = 0").select("card_id")).select("card_id", "card_name", "company")
+
+
+@query
+def decode_dimensions(d: Domain) -> DataFrame:
+    return catalogue.decode_dimensions(d.card)
+
+
+@query
+def card_sort(d: Domain) -> DataFrame:
+    return catalogue.sort_cards(d.card, "benefit_desc")
+
+
+@query
+def card_preview(d: Domain) -> DataFrame:
+    return catalogue.card_preview(d.card)
+
+
+@query
+def card_detail(d: Domain) -> DataFrame:
+    nested = catalogue.card_detail(d.card, d.benefit)
+    rows = nested.select("card_id", "card_name", F.explode_outer("benefits").alias("b"))
+    return rows.select("card_id", "card_name", "b.benefit_pos", "b.category", "b.benefit_title", "b.benefit_content", "b.value_text", "b.max_limit")
+
+
+@query
+def benefit_groups(d: Domain) -> DataFrame:
+    return catalogue.benefit_groups(catalogue.detail_rows(d.card, d.benefit))
+
+
+@query
+def selected_category_hits(d: Domain) -> DataFrame:
+    return catalogue.selected_category_hits(d.bridge, ["백화점/아울렛", "편의점", "반려동물", "쇼핑", "의료"], {**dims.CATEGORY_KEYWORDS})
+
+
+@query
+def facet_counts(d: Domain) -> DataFrame:
+    return catalogue.facet_counts(d.card)
+
+
+# ---------------------------------------------------------------- scoring
+
+
+@query
+def practicality_score(d: Domain) -> DataFrame:
+    return scoring.practicality_score(d.benefit)
+
+
+@query
+def fee_performance_score(d: Domain) -> DataFrame:
+    return scoring.fee_performance_score(d.card)
+
+
+@query
+def diversity_score(d: Domain) -> DataFrame:
+    return scoring.diversity_score(d.benefit)
+
+
+@query
+def limit_score(d: Domain) -> DataFrame:
+    return scoring.limit_score(d.benefit)
+
+
+@query
+def card_scores(d: Domain) -> DataFrame:
+    return scoring.card_scores(d.card, d.benefit)
+
+
+# ---------------------------------------------------------------- spending and advice
+
+
+def _spend(d: Domain) -> DataFrame:
+    return spending.spend_by_category(d.transactions)
+
+
+def _candidate_rows(d: Domain) -> DataFrame:
+    """Bridge rows of the candidates: one card an issuer."""
+    return d.bridge.join(F.broadcast(d.candidate.select("card_id")), "card_id")
+
+
+def _coverage(d: Domain) -> DataFrame:
+    return spending.covered_categories(_candidate_rows(d), d.match_map)
+
+
+def _fit(d: Domain) -> DataFrame:
+    return spending.card_fit(_spend(d), _coverage(d), d.candidate.select("card_id", "candidate_pos"))
+
+
+def _owned_rows(d: Domain) -> DataFrame:
+    return advice.owned_benefits(d.owned, _candidate_rows(d))
+
+
+@query
+def spend_by_category(d: Domain) -> DataFrame:
+    return _spend(d)
+
+
+@query
+def spend_summary(d: Domain) -> DataFrame:
+    return spending.spend_summary(_spend(d))
+
+
+@query
+def spend_share(d: Domain) -> DataFrame:
+    return spending.spend_share(_spend(d))
+
+
+@query
+def card_fit(d: Domain) -> DataFrame:
+    return _fit(d).select("user_id", "card_id", "fit")
+
+
+@query
+def candidate_cards(d: Domain) -> DataFrame:
+    return ranking.candidate_cards(d.card_rank)
+
+
+@query
+def candidate_by_fit(d: Domain) -> DataFrame:
+    return advice.rank_by_fit(_fit(d))
+
+
+@query
+def matched_benefits(d: Domain) -> DataFrame:
+    return advice.matched_benefits(_owned_rows(d), _spend(d), d.match_map)
+
+
+@query
+def benefit_status(d: Domain) -> DataFrame:
+    firsts = d.first_category.select("card_id", "benefit_id", "benefit_pos", "category_id").join(F.broadcast(d.candidate.select("card_id")), "card_id")
+    return advice.benefit_status(advice.owned_benefits(d.owned, firsts), _spend(d), d.match_map)
+
+
+@query
+def overlap_categories(d: Domain) -> DataFrame:
+    return advice.overlap_categories(d.owned, _candidate_rows(d))
+
+
+def _verdicts(d: Domain) -> DataFrame:
+    return advice.card_verdicts(d.owned, _fit(d))
+
+
+@query
+def card_verdicts(d: Domain) -> DataFrame:
+    return _verdicts(d)
+
+
+def _alternatives(d: Domain) -> DataFrame:
+    return advice.switch_alternatives(_fit(d), d.owned, _candidate_rows(d))
+
+
+@query
+def switch_alternatives(d: Domain) -> DataFrame:
+    return _alternatives(d)
+
+
+@query
+def recommended_combo(d: Domain) -> DataFrame:
+    return advice.recommended_combo(_verdicts(d), _alternatives(d))
+
+
+@query
+def combo_coverage(d: Domain) -> DataFrame:
+    return advice.combo_coverage(d.owned.select("user_id", "card_id"), _coverage(d), _spend(d))
+
+
+@query
+def card_usage(d: Domain) -> DataFrame:
+    tx = d.transactions.join(F.broadcast(d.candidate.select("card_id", "candidate_pos")), "candidate_pos")
+    return spending.card_usage(tx, d.card_limit, F.lit(USAGE_MONTH).cast("timestamp"))
+
+
+# ---------------------------------------------------------------- ranking
+
+
+@query
+def engagement_monthly(d: Domain) -> DataFrame:
+    return ranking.engagement_monthly(d.engagement)
+
+
+def _ranked(d: Domain) -> DataFrame:
+    monthly = ranking.engagement_monthly(d.engagement).join(d.card.select("card_id", "company", "card_type"), "card_id")
+    return ranking.popularity_ranking(ranking.filter_ranked(monthly, card_type="신용"), ["month"])
+
+
+@query
+def issuer_ranking(d: Domain) -> DataFrame:
+    return _ranked(d)
+
+
+@query
+def ranking_with_issuer(d: Domain) -> DataFrame:
+    """Ranked cards with their issuer's own figures: one row an issuer."""
+    meta = d.card.groupBy("company").agg(F.count(F.lit(1)).alias("n_cards"), F.max("max_benefit").alias("top_benefit")).filter("n_cards > 2")
+    rows = _ranked(d).select("month", "card_id", "place").join(d.card.select("card_id", "company"), "card_id")
+    return ranking.with_issuer_meta(rows, meta, "company").select("month", "card_id", "place", "company", "n_cards", "top_benefit")
+
+
+@query
+def issuer_top5(d: Domain) -> DataFrame:
+    ranked = d.card_rank.withColumn("card_rank", F.when(F.col("card_id") % 9 != 0, F.col("card_rank")))
+    return ranking.issuer_top_n(ranked)
+
+
+# ---------------------------------------------------------------- comparison
+
+
+def _sets(d: Domain) -> DataFrame:
+    return compare.at_least_two(d.compare_items.select("set_id", "card_id", "pos"))
+
+
+def _rates(d: Domain) -> DataFrame:
+    return compare.set_rates(_sets(d), compare.first_rates(d.first_category))
+
+
+def _scores(d: Domain) -> DataFrame:
+    counts = d.benefit.groupBy("card_id").agg(F.count(F.lit(1)).alias("n_benefits"))
+    cards = d.card.select("card_id", "max_benefit", "annual_fee_dom_basic", "min_performance", "rating_x10")
+    return compare.compare_scores(_sets(d).select("set_id", "card_id", "pos"), cards, counts)
+
+
+@query
+def compare_scores(d: Domain) -> DataFrame:
+    return _scores(d)
+
+
+@query
+def score_unpivot(d: Domain) -> DataFrame:
+    return compare.score_matrix(_scores(d))
+
+
+@query
+def compare_categories(d: Domain) -> DataFrame:
+    return compare.set_categories(_rates(d))
+
+
+@query
+def shared_categories(d: Domain) -> DataFrame:
+    return compare.shared_categories(_rates(d))
+
+
+@query
+def rate_matrix(d: Domain) -> DataFrame:
+    return compare.rate_matrix(_rates(d))
+
+
+@query
+def benefit_cells(d: Domain) -> DataFrame:
+    return compare.benefit_cells(_sets(d), _rates(d))
+
+
+@query
+def shared_rate_diff(d: Domain) -> DataFrame:
+    return compare.shared_rate_diff(_rates(d))
+
+
+@query
+def pair_headline(d: Domain) -> DataFrame:
+    return compare.pair_headline(_rates(d))
+
+
+@query
+def best_badge(d: Domain) -> DataFrame:
+    return compare.best_badge(_rates(d))
+
+
+@query
+def max_benefit_winner(d: Domain) -> DataFrame:
+    return compare.max_benefit_winner(_sets(d), d.card)
+
+
+# ---------------------------------------------------------------- history, accounts, labels, quality
+
+
+@query
+def recent_views(d: Domain) -> DataFrame:
+    views = history.recent_views(d.engagement.filter("event_type = 'view'"))
+    return history.history_cards(views, d.card.select("card_id", "card_name")).select("user_id", "card_id", "place", "card_name")
+
+
+@query
+def recent_compares(d: Domain) -> DataFrame:
+    return history.recent_compares(history.compare_events(d.compare_items))
+
+
+@query
+def favourites(d: Domain) -> DataFrame:
+    return history.favourites(d.toggles)
+
+
+@query
+def compare_basket(d: Domain) -> DataFrame:
+    return history.compare_basket(d.toggles)
+
+
+@query
+def signup_validation(d: Domain) -> DataFrame:
+    return accounts.validate_signups(d.signups, d.users)
+
+
+@query
+def phone_format(d: Domain) -> DataFrame:
+    phone = F.expr("substring(phone, 1, cast(signup_id % 12 as int))")
+    return d.signups.select("signup_id", text.format_phone(F.col("phone")).alias("phone"), text.format_phone(F.concat(F.lit("+"), phone)).alias("part"))
+
+
+@query
+def parse_selection(d: Domain) -> DataFrame:
+    listed = F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("%20,")), F.lit(" , a+b,%EC%B9%B4,"))
+    return d.raw("part").select(F.col("p_partkey").alias("card_id"), F.concat_ws("|", text.parse_selection(listed)).alias("items"))
+
+
+@query
+def money_labels(d: Domain) -> DataFrame:
+    fee, need = F.col("annual_fee_dom_basic"), F.col("min_performance")
+    return d.card.select("card_id", numeric.won_label(fee).alias("fee"), numeric.manwon_label(F.col("max_benefit")).alias("benefit"), numeric.manwon_label(F.col("max_benefit"), 1).alias("benefit1"), numeric.performance_label(need).alias("performance"))
+
+
+@query
+def unmapped_categories(d: Domain) -> DataFrame:
+    return quality.unmapped_categories(d.bridge, d.match_map, "category_id")
