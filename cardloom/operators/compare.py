@@ -6,14 +6,21 @@ benefit_pos)`` has the first benefit of each category of a card. Work of a set s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardloom.functions.numeric import percent, percent_difference, whole_div
 
 MOST_CARDS = 3
-SET = W.partitionBy("set_id")
+
+
+def _set() -> WindowSpec:
+    return W.partitionBy("set_id")
+
+
+def _category() -> WindowSpec:
+    return W.partitionBy("set_id", "category_id")
 
 
 def first_rates(benefits: DataFrame) -> DataFrame:
@@ -25,7 +32,7 @@ def first_rates(benefits: DataFrame) -> DataFrame:
 
 def at_least_two(sets: DataFrame) -> DataFrame:
     """Sets of two or more cards, at most three each, with their size."""
-    return sets.filter(F.col("pos") < MOST_CARDS).withColumn("set_size", F.count(F.lit(1)).over(SET)).filter("set_size >= 2")
+    return sets.filter(F.col("pos") < MOST_CARDS).withColumn("set_size", F.count(F.lit(1)).over(_set())).filter("set_size >= 2")
 
 
 def compare_scores(sets: DataFrame, cards: DataFrame, benefit_counts: DataFrame) -> DataFrame:
@@ -34,7 +41,7 @@ def compare_scores(sets: DataFrame, cards: DataFrame, benefit_counts: DataFrame)
     ``cards``: card_id, max_benefit, annual_fee_dom_basic, min_performance, rating_x10. ``benefit_counts``: card_id, n_benefits.
     """
     rows = sets.join(cards, "card_id").join(benefit_counts, "card_id", "left").withColumn("n_benefits", F.coalesce("n_benefits", F.lit(0)))
-    top = {c: F.greatest(F.max(F.col(c).cast("long")).over(SET), F.lit(1).cast("long")) for c in ("max_benefit", "annual_fee_dom_basic", "min_performance", "n_benefits")}
+    top = {c: F.greatest(F.max(F.col(c).cast("long")).over(_set()), F.lit(1).cast("long")) for c in ("max_benefit", "annual_fee_dom_basic", "min_performance", "n_benefits")}
     part = rows.select(
         "set_id", "card_id", "pos", percent(F.col("max_benefit"), top["max_benefit"]).alias("benefit_score"),
         percent(top["annual_fee_dom_basic"] - F.col("annual_fee_dom_basic"), top["annual_fee_dom_basic"]).alias("fee_score"),
@@ -42,7 +49,7 @@ def compare_scores(sets: DataFrame, cards: DataFrame, benefit_counts: DataFrame)
         (F.col("rating_x10") * 2).cast("long").alias("rating_score"), percent(F.col("n_benefits"), top["n_benefits"]).alias("diversity_score"),
     )
     total = whole_div(F.col("benefit_score") * 30 + F.col("fee_score") * 25 + F.col("spending_score") * 20 + F.col("rating_score") * 15 + F.col("diversity_score") * 10 + 50, F.lit(100))
-    return part.withColumn("total", total).withColumn("place", (F.row_number().over(SET.orderBy(F.desc("total"), "pos")) - 1).cast("long"))
+    return part.withColumn("total", total).withColumn("place", (F.row_number().over(_set().orderBy(F.desc("total"), "pos")) - 1).cast("long"))
 
 
 SUBJECTS = ("benefit_score", "fee_score", "spending_score", "rating_score", "diversity_score")
@@ -63,7 +70,7 @@ def set_rates(sets: DataFrame, rates: DataFrame) -> DataFrame:
 def set_categories(rows: DataFrame) -> DataFrame:
     """Categories of each set in the order in which its cards first show them."""
     first = rows.groupBy("set_id", "category_id").agg(F.min(F.struct("pos", "benefit_pos")).alias("first"))
-    return first.select("set_id", "category_id", F.row_number().over(SET.orderBy("first", "category_id")).cast("long").alias("place"))
+    return first.select("set_id", "category_id", F.row_number().over(_set().orderBy("first", "category_id")).cast("long").alias("place"))
 
 
 def shared_categories(rows: DataFrame) -> DataFrame:
@@ -83,18 +90,15 @@ def benefit_cells(sets: DataFrame, rows: DataFrame) -> DataFrame:
     return cells.join(rows.select("set_id", "pos", "category_id", "rate", "unit", "max_limit"), ["set_id", "pos", "category_id"], "left").select("set_id", "card_id", "category_id", "rate", "unit", "max_limit")
 
 
-CATEGORY = W.partitionBy("set_id", "category_id")
-
-
 def shared_rows(rows: DataFrame) -> DataFrame:
     """Rates of the categories that all cards of the set have."""
-    return rows.withColumn("n", F.count(F.lit(1)).over(CATEGORY)).filter("n = set_size")
+    return rows.withColumn("n", F.count(F.lit(1)).over(_category())).filter("n = set_size")
 
 
 def shared_rate_diff(rows: DataFrame) -> DataFrame:
     """Against the average of the other cards, in percent; the bar against the best rate; all best ones are flagged."""
-    others = F.sum("rate").over(CATEGORY) - F.col("rate")
-    best = F.max("rate").over(CATEGORY)
+    others = F.sum("rate").over(_category()) - F.col("rate")
+    best = F.max("rate").over(_category())
     return shared_rows(rows).select("set_id", "category_id", "card_id", "rate", percent_difference(F.col("rate") * (F.col("n") - 1), others).alias("diff"), F.when(best > 0, percent(F.col("rate"), best)).otherwise(0).alias("bar"), (F.col("rate") == best).alias("is_best"))
 
 
@@ -109,8 +113,8 @@ def pair_headline(rows: DataFrame) -> DataFrame:
 
 def best_badge(rows: DataFrame) -> DataFrame:
     """Cards with a category's best rate in their set: over 0, and not the rate of every card."""
-    top = F.max("rate").over(CATEGORY)
-    ties = F.sum(F.when(F.col("rate") == F.col("top"), 1).otherwise(0)).over(CATEGORY)
+    top = F.max("rate").over(_category())
+    ties = F.sum(F.when(F.col("rate") == F.col("top"), 1).otherwise(0)).over(_category())
     found = rows.withColumn("top", top).withColumn("ties", ties)
     return found.filter("rate = top AND top > 0 AND ties < set_size").select("set_id", "category_id", "card_id", "rate")
 
@@ -118,5 +122,5 @@ def best_badge(rows: DataFrame) -> DataFrame:
 def max_benefit_winner(sets: DataFrame, cards: DataFrame) -> DataFrame:
     """The card with the largest maximum benefit, the last of equal ones; ``tied`` counts all of these."""
     rows = sets.join(cards.select("card_id", "max_benefit"), "card_id")
-    rows = rows.withColumn("is_top", F.col("max_benefit") == F.max("max_benefit").over(SET))
+    rows = rows.withColumn("is_top", F.col("max_benefit") == F.max("max_benefit").over(_set()))
     return rows.groupBy("set_id").agg(F.max_by("card_id", F.struct("max_benefit", "pos")).alias("winner"), F.count_if("is_top").alias("tied"))
