@@ -184,7 +184,9 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
     stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    names = docs.columns
-    keyed = docs.withColumn("_sha_of", sha)
-    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_sha_of"] == stay["_sha"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_sha_of"]).select(*names)
+    names, own = docs.columns, "_sha_of"
+    while own in names:
+        own += "_"
+    keyed = docs.withColumn(own, sha)
+    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed[own] == stay["_sha"]), "left_semi")
+    return found.dropDuplicates(["doc_id", own]).select(*names)
