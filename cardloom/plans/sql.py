@@ -195,6 +195,9 @@ QUERIES = {
             SELECT *, row_number() OVER (PARTITION BY user_id, list_sort(ids) ORDER BY ts DESC, set_id DESC) AS k
             FROM (SELECT set_id, user_id, ts, list(card_id ORDER BY pos) AS ids FROM item GROUP BY ALL) WHERE len(ids) >= 2) WHERE k = 1) WHERE place <= 5""",
     "favourites": "SELECT user_id, k % 10 AS card_id FROM event WHERE event_type = 'purchase' GROUP BY ALL HAVING count(*) % 2 = 1",
+    "compare_basket": """SELECT user_id, array_to_string(list_reduce(e, lambda held, x: CASE WHEN list_contains(held, x[1]) THEN list_filter(held, lambda y: y <> x[1])
+          WHEN len(held) < 3 THEN list_append(held, x[1]) ELSE held END, []::BIGINT[]), ',') AS basket
+        FROM (SELECT user_id, list([k % 10] ORDER BY ts, event_id, k % 10) AS e FROM event WHERE event_type = 'purchase' GROUP BY user_id)""",
     "signup_validation": """SELECT signup_id, form_errors, coalesce(server_error, '') AS server_error, ok AND row_number() OVER (PARTITION BY email, ok ORDER BY signup_id) = 1 AS accepted FROM (
           SELECT *, form_errors = '' AND server_error IS NULL AS ok FROM (
             SELECT signup_id, email, concat_ws(',', CASE WHEN length(name) < 2 THEN 'name' END, CASE WHEN NOT contains(email, '@') THEN 'email' END,
