@@ -109,42 +109,51 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _link_sorted(radius: int):
-    """Over rows sorted by bucket: links inside each bucket; holds one bucket at a time."""
+    """Over rows sorted by bucket: links inside each bucket, joined into stars over all buckets of the task.
+
+    Holds one bucket's rows at a time, and of the links one entry for each fingerprint that has any.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush(parts: list, final: bool) -> tuple[list, list]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        def join(links: list[tuple[int, int]]) -> None:
+            for a, b in links:
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+
+        def take(parts: list, final: bool) -> list:
             tab, key, fp = (np.concatenate([p[k] for p in parts]) for k in range(3))
             starts = np.flatnonzero(np.r_[True, (tab[1:] != tab[:-1]) | (key[1:] != key[:-1])])
             ends = np.r_[starts[1:], len(fp)]
+            rest = [] if final else [(tab[starts[-1] :], key[starts[-1] :], fp[starts[-1] :])]
             if not final:
-                rest = [(tab[starts[-1] :], key[starts[-1] :], fp[starts[-1] :])]
                 starts, ends = starts[:-1], ends[:-1]
-            else:
-                rest = []
-            links: list[tuple[int, int]] = []
             size = ends - starts
             two = starts[size == 2]  # the common case, all at once
             close = np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= radius
-            links += zip(fp[two][close].tolist(), fp[two + 1][close].tolist(), strict=True)
+            join(list(zip(fp[two][close].tolist(), fp[two + 1][close].tolist(), strict=True)))
             for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-                links += _forest(fp[a:b], radius)
-            return links, rest
-
-        def batch_of(links: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+                join(_forest(fp[a:b], radius))
+            return rest
 
         for batch in batches:
             if batch.num_rows:
-                held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("tab", "key", "fp")))
-                links, held = flush(held, False)
-                if links:
-                    yield batch_of(links)
+                held = take([*held, tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("tab", "key", "fp"))], False)
         if held:
-            links, _ = flush(held, True)
-            if links:
-                yield batch_of(links)
+            take(held, True)
+        stars = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        for at in range(0, len(stars), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars[at : at + 100_000]], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
