@@ -24,6 +24,8 @@ SIZES = (4, 6, 8)
 HASH_BITS = 20
 #: Labelled rows of each class that the fit uses at most.
 MAX_ROWS = 10_000
+#: Tasks that read the sample.
+SAMPLE_PARTS = 8
 #: N-grams that the classifier weighs, and rows of the sample that must have one.
 FEATURES, LEAST_ROWS = 20_000, 4
 THRESHOLD = 0.7
@@ -84,7 +86,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     some = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for k in (0, 1)]
     chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
-    return cut(chosen.select("text", "label").dropDuplicates()), {k: max(1.0, n / max_rows) for k, n in total.items()}
+    return cut(chosen.select("text", "label").dropDuplicates().coalesce(SAMPLE_PARTS)), {k: max(1.0, n / max_rows) for k, n in total.items()}
 
 
 def ngram_counts(sample: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def log_count_ratios(counts: DataFrame, features: int = FEATURES, least_rows: in
         return pd.DataFrame({"id": np.zeros(0, np.int64), "ratio": np.zeros(0)})
     ratio = F.log((F.col("toxic") + 1) / F.lit(float(sums.t))) - F.log((F.col("clean") + 1) / F.lit(float(sums.c)))
     ranked = counts.filter(F.col("clean") + F.col("toxic") >= least_rows).select("id", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("clean") + F.col("toxic"))).alias("rank"))
-    return ranked.orderBy(F.desc("rank"), "id").limit(features).select("id", "ratio").toPandas()
+    return ranked.orderBy(F.desc("rank"), "id").limit(features).select("id", "ratio").toArrow().to_pandas()
 
 
 def sparse_rows(sample: DataFrame, place: np.ndarray) -> pd.DataFrame:
@@ -126,7 +128,7 @@ def sparse_rows(sample: DataFrame, place: np.ndarray) -> pd.DataFrame:
             index, value = zip(*[model.found(t.as_py()) for t in batch.column("text")], strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([i.astype(np.int32) for i in index], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for v in value], pa.list_(pa.float32()))], ["label", "index", "value"])
 
-    return sample.mapInArrow(run, "label int, index array<int>, value array<float>").toPandas()
+    return sample.mapInArrow(run, "label int, index array<int>, value array<float>").toArrow().to_pandas()
 
 
 def logistic(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np.ndarray, penalty: float = PENALTY, steps: int = 150) -> tuple[np.ndarray, float]:
@@ -164,7 +166,7 @@ def logistic(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, we
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: float = PENALTY) -> Classifier:
     """A classifier from the labelled rows that are not held out. With labels of one kind only, it scores their share everywhere."""
     sample, stands_for = labelled_sample(docs, labels, max_rows)
-    ratios = log_count_ratios(ngram_counts(sample))
+    ratios = log_count_ratios(cut(ngram_counts(sample)))
     place = np.full(1 << HASH_BITS, -1, np.int32)
     place[ratios["id"].to_numpy(np.int64)] = np.arange(len(ratios), dtype=np.int32)
     rows = sparse_rows(sample, place)
