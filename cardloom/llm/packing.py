@@ -1,9 +1,10 @@
 """Best-fit packing of documents into token sequences, with a certificate from dual-feasible functions.
 
-Pieces are dealt into groups of bounded size. Each group is packed by best-fit decreasing and gets a
-lower bound on its sequences. Where the two meet the group is proven optimal and final. Groups with a
-gap release their poorly filled sequences; what all of them release is dealt into fewer groups and
-packed again, for as long as that saves sequences, down to one group.
+Pieces are dealt into groups of bounded size, and each group is packed by best-fit decreasing. Lower
+bounds on sequences certify each group's packing, and the whole packing: where the sequences used meet the
+bound of all lengths, nothing can be saved. While they do not, all groups release their poorly filled
+sequences; what they release is dealt into fewer groups and packed again, for as long as that
+saves sequences, down to one group.
 """
 
 from __future__ import annotations
@@ -22,18 +23,30 @@ from cardloom.llm.tokens import encoded
 
 #: Pieces packed in one task's group.
 GROUP_PIECES = 20_000
-#: A sequence filled less than this is released where its group has a gap.
+#: A sequence filled less than this is released while the whole packing has a gap.
 WELL_FILLED = 0.98
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """No packing of these lengths (1 to capacity) has fewer sequences.
+    """No packing of these lengths (1 to capacity) has fewer sequences."""
+    return histogram_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def length_bound(pieces: DataFrame, capacity: int) -> int:
+    """The same over a table's ``length``: its histogram has ``capacity`` rows at most."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    return histogram_bound(count, capacity)
+
+
+def histogram_bound(count: np.ndarray, capacity: int) -> int:
+    """The bound for ``count[n]`` pieces of each length n.
 
     The largest of two families of dual-feasible functions, applied to the histogram of lengths: one
     rounds what is over ``capacity - e`` up and drops what is under ``e``; the other scales by k + 1 and
     rounds down.
     """
-    count = np.bincount(lengths, minlength=capacity + 1).astype(object if len(lengths) > 1 << 40 else np.int64)
     size = np.arange(capacity + 1)
     some, tokens = np.cumsum(count), np.cumsum(count * size)
     e = np.arange(1, capacity // 2 + 1)
@@ -115,15 +128,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GRO
     n = pieces.count()
     settled: DataFrame | None = None
     packed = cut(_pack_groups(pieces, 1 + n // group_pieces, capacity, 0)).withColumn("turn", F.lit(0))
+    used = packed.select("grp", "bin").distinct().count()
+    fewest = length_bound(pieces, capacity)
     for turn in range(1, 32):
-        loose = (F.col("bins") > F.col("bound")) & (F.col("fill") < int(well_filled * capacity))
+        loose = F.col("fill") < int(well_filled * capacity)
         released = packed.filter(loose)
         seen = released.agg(F.count("row").alias("n"), F.countDistinct("grp", "bin").alias("bins"), F.countDistinct("grp").alias("groups")).first()
-        if seen.groups < 2:
+        if used <= fewest or seen.groups < 2:
             break
         again = cut(_pack_groups(released, 1 + seen.n // group_pieces, capacity, turn)).withColumn("turn", F.lit(turn))
-        if again.agg(F.countDistinct("grp", "bin")).first()[0] >= seen.bins:
+        saved = seen.bins - again.select("grp", "bin").distinct().count()
+        if saved <= 0:
             break
+        used -= saved
         final = packed.filter(~loose)
         settled = final if settled is None else settled.unionByName(final)
         packed = again
@@ -146,8 +163,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
 
 def certificate(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
-    """Sequences used, and the fewest that any packing of all these pieces has: from their histogram, at most ``capacity`` rows."""
-    used = packed.agg(F.countDistinct("sequence_id")).first()[0]
-    histogram = packed.groupBy("length").count().collect()
-    lengths = np.array([r["length"] for r in histogram], np.int64)
-    return used, lower_bound(np.repeat(lengths, [r["count"] for r in histogram]), capacity) if histogram else 0
+    """Sequences used, and the fewest that any packing of all these pieces has."""
+    return packed.select("sequence_id").distinct().count(), length_bound(packed, capacity)
