@@ -89,7 +89,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
 def trigram_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and for each the log probability of every hashed trigram: 65,536 numbers a language, however many documents."""
-    counts = trigram_counts(docs).toPandas()
+    counts = trigram_counts(docs).toArrow().to_pandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((len(langs), 1 << HASH_BITS), 0.5)
     for k, lang in enumerate(langs):
