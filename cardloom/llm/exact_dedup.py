@@ -166,9 +166,8 @@ def exact_dedup(docs: DataFrame, digest_hex: int = 64, keys_per_filter: int = KE
     merged = grown.select("digest", (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n"), F.greatest("last", "new_last").alias("last"))
     groups = cut(merged.unionByName(batch.select("digest", "n", "last").join(hits.select("digest"), "digest", "left_anti")))
 
-    suspects = groups.filter("n > 1").select("digest")
-    checked = hashed.select("digest", "text").join(suspects.hint("shuffle_hash"), "digest", "left_semi")
-    mixed = cut(checked.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same")).filter(~F.col("same")).select("digest"))
+    # The least and the greatest text of a digest are equal exactly if all its texts are; partial extremes meet a hot digest before the shuffle.
+    mixed = cut(hashed.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same")).filter(~F.col("same")).select("digest"))
 
     out = rows.join(groups, "digest").join(mixed, "digest", "left_anti") if not mixed.isEmpty() else rows.join(groups, "digest")
     told = [F.col("last.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("last.row") == F.col("row")).alias("kept"), "text_sha256"]
