@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.components import components
+from cardloom.llm.near_copies import drop_near_copies  # noqa: F401
 from cardloom.llm.shared import cut
 
 BITS = 64
@@ -197,9 +198,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = cut(rooted.join(lowest, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's id, with all their columns; rows without a doc_id all stay."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")

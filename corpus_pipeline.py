@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cardloom.llm.decontaminate import drop_contaminated
 from cardloom.llm.exact_dedup import drop_exact_copies
+from cardloom.llm.near_copies import drop_near_copies
 from cardloom.llm.packing import pack_documents
 from cardloom.llm.queries import table, tokenizer_path
 from cardloom.llm.shared import new_folder
-from cardloom.llm.simhash import drop_near_copies
 from cardloom.llm.toxicity import drop_toxic
 
 #: SQL has no tokenizer, no classifier and no 64-bit fingerprints; the tests hold the stages against brute force.
