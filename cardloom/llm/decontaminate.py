@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.shared import cut
@@ -154,16 +154,20 @@ def _keyed(rows: DataFrame, name: str) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``hash, item_id, item_pos, item_slots, n`` of ``benchmark (item_id, text)``, one row per hash: that of the smallest item."""
-    found = _keyed(benchmark, "item_id").mapInArrow(_windows([], True, None, LITERAL), HITS)
-    first = found.groupBy("hash").agg(F.min(F.struct(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))).alias("w"))
-    return first.select("hash", "w.*")
+    """``hash, text_id, item_pos, item_slots`` of each distinct text of ``benchmark (item_id, text)``: every window of every text."""
+    texts = benchmark.select(_text_id().alias("key"), _text_id().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["key"])
+    found = texts.mapInArrow(_windows([], True, None, LITERAL), HITS)
+    return found.select("hash", F.col("doc_id").alias("text_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+
+
+def _text_id() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _screen(windows: DataFrame) -> np.ndarray:
     """Bits of the window hashes, or-ed together by Spark; at most SCREEN_BITS_MOST of them reach the driver."""
     bits = 1 << 16
-    while bits < min(SCREEN_BITS_MOST, SCREEN_BITS_EACH * windows.count()):
+    while bits < min(SCREEN_BITS_MOST, SCREEN_BITS_EACH * windows.select("hash").distinct().count()):
         bits *= 2
     bit = F.col("hash").bitwiseAND(F.lit(bits - 1))
     words = windows.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, CAST(hash & 63L AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()
@@ -180,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     * A passage counts from ``WINDOW`` tokens of an item on, ``LITERAL`` of them no placeholders; items of
       ``LEAST`` to ``WINDOW`` tokens must be held whole, and shorter ones are never looked for.
-    * Windows that several items share are told of the smallest item_id.
+    * Every item that holds a window is compared and told of; items of one text are compared once.
     * Null texts are empty; null ids stay null. Rows that repeat an id and a text count as one document.
     * No documents or no items give no rows. Other columns are ignored.
     """
@@ -189,11 +193,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     screen = _screen(windows)
     found = _keyed(docs, "doc_id").mapInArrow(_windows(sorted(r.n for r in sizes), False, screen, LITERAL), HITS).join(windows, "hash")
     runs = found.withColumn("run", F.col("pos") - F.col("item_pos"))
-    pairs = runs.select("key", "doc_id", "item_id", "run", "pos", F.explode_outer(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s"))
-    run = ["key", "doc_id", "item_id", "run"]
+    pairs = runs.select("key", "doc_id", "text_id", "run", "pos", F.explode_outer(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s"))
+    run = ["key", "doc_id", "text_id", "run"]
     judged = pairs.groupBy(*run).agg(F.countDistinct("pos").alias("windows"), F.size(F.collect_set("s.i")).alias("i"), F.size(F.collect_set("s.d")).alias("d"), F.size(F.collect_set(F.when(F.col("s").isNotNull(), F.col("s")))).alias("slots"))
     same = judged.filter((F.col("i") == F.col("slots")) & (F.col("d") == F.col("slots")))
-    return same.groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("slots").cast("long").alias("slots"))
+    items = benchmark.select(_text_id().alias("text_id"), F.col("item_id").cast("long").alias("item_id")).distinct()
+    return same.join(items, "text_id").groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("slots").cast("long").alias("slots"))
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
