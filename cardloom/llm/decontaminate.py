@@ -179,7 +179,8 @@ def _screen(windows: DataFrame) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``key, doc_id, item_id, windows, slots``: documents that hold a passage of an item, whatever fills its slots.
 
-    One row per document and item with at least one aligned run of windows whose slots are consistent.
+    One row per document and item with at least one aligned run of windows whose slots are consistent, or
+    with a window that holds the item's own values, whatever the rest of its run holds.
     ``windows`` counts the matched windows, ``slots`` the distinct slot values; ``key`` hashes id and text.
 
     * A passage counts from ``WINDOW`` tokens of an item on, ``LITERAL`` of them no placeholders; items of
@@ -192,11 +193,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = _keyed(benchmark, "item_id").mapInArrow(_sizes, "n long").distinct().collect()
     screen = _screen(windows)
     found = _keyed(docs, "doc_id").mapInArrow(_windows(sorted(r.n for r in sizes), False, screen, LITERAL), HITS).join(windows, "hash")
-    runs = found.withColumn("run", F.col("pos") - F.col("item_pos"))
-    pairs = runs.select("key", "doc_id", "text_id", "run", "pos", F.explode_outer(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s"))
+    runs = found.select("key", "doc_id", "text_id", (F.col("pos") - F.col("item_pos")).alias("run"), "pos", "slots", "item_slots", (F.col("slots") == F.col("item_slots")).alias("literal"))
+    pairs = runs.select("key", "doc_id", "text_id", "run", "pos", "literal", F.explode_outer(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s"))
     run = ["key", "doc_id", "text_id", "run"]
-    judged = pairs.groupBy(*run).agg(F.countDistinct("pos").alias("windows"), F.size(F.collect_set("s.i")).alias("i"), F.size(F.collect_set("s.d")).alias("d"), F.size(F.collect_set(F.when(F.col("s").isNotNull(), F.col("s")))).alias("slots"))
-    same = judged.filter((F.col("i") == F.col("slots")) & (F.col("d") == F.col("slots")))
+    pair = F.when(F.col("s").isNotNull(), F.col("s"))
+    judged = pairs.groupBy(*run).agg(
+        F.countDistinct("pos").alias("windows"), F.size(F.collect_set("s.i")).alias("i"), F.size(F.collect_set("s.d")).alias("d"), F.size(F.collect_set(pair)).alias("slots"),
+        F.countDistinct(F.when(F.col("literal"), F.col("pos"))).alias("literal_windows"), F.size(F.collect_set(F.when(F.col("literal"), pair))).alias("literal_slots"),
+    )
+    agree = (F.col("i") == F.col("slots")) & (F.col("d") == F.col("slots"))
+    same = judged.filter(agree | (F.col("literal_windows") > 0)).select(*run, *[F.when(agree, F.col(n)).otherwise(F.col(f"literal_{n}")).alias(n) for n in ("windows", "slots")])
     items = benchmark.select(_text_id().alias("text_id"), F.col("item_id").cast("long").alias("item_id")).distinct()
     return same.join(items, "text_id").groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("slots").cast("long").alias("slots"))
 

@@ -10,3 +10,12 @@ def found(spark, items, texts):
 def test_items_that_share_windows(spark):
     three, four = (f"Ann has 3 apples and Bob has {n} pears in the basket today" for n in (3, 4))
     assert found(spark, [three, four, four], [four, three]) == [(1, 2), (1, 3), (2, 1)]
+
+
+def test_a_clash_leaves_verbatim_windows_found(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    words[5] = words[50] = "17"
+    words[20] = "23"
+    changed = [*words[:50], "18", *words[51:]]
+    other = [*words[:40], *["18" if w == "17" else w for w in words[40:]]]
+    assert found(spark, [" ".join(words)], [" ".join(changed), " ".join(other), " ".join(words[:7])]) == [(1, 1), (2, 1)]
