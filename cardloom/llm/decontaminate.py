@@ -22,7 +22,7 @@ from cardloom.llm.shared import cut
 
 #: Tokens of a window; items with fewer make one window of all their tokens, if these are LEAST or more.
 WINDOW, LEAST = 8, 5
-#: Tokens of a window that must not be placeholders.
+#: Tokens of a window that must not be placeholders; windows with fewer are looked for by their values.
 LITERAL = 4
 #: Bits of the screen for window hashes: 16 for each hash, up to 32 MB. The exact join follows, so a full screen costs time only.
 SCREEN_BITS_EACH, SCREEN_BITS_MOST = 16, 1 << 28
@@ -111,29 +111,55 @@ def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Keeps hashes of values apart from those of templates.
+_LITERAL_SALT = 1 << 32
+
+
+def _hashes_at(tokens: np.ndarray, firsts: np.ndarray, at: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """``window_hashes`` at some places only, the first token taken from ``firsts``."""
+    out = np.full(len(at), n + salt, np.uint64)
+    for k in range(n if len(at) else 0):
+        out = (out + (tokens if k else firsts)[at + k]) * np.uint64(_BASE | 1)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 _VOCABULARY = Vocabulary()
 HITS = "key long, doc_id long, pos long, hash long, slots array<long>"
 
 
 def _windows(lengths: list[int], whole: bool, screen: np.ndarray | None, least_literal: int):
-    """Windows of each text, those that may match where a screen is given. ``whole``: a short text makes one window of all its tokens."""
+    """Windows of each text, those that may match where a screen is given. ``whole``: a short text makes one window of all its tokens.
+
+    A window with fewer than ``least_literal`` tokens that are no placeholders is hashed by its values instead. One that starts
+    with a name is hashed with the name as a word too, since a name at the start of a sentence is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for key, doc, text in zip(batch.column("key"), batch.column("doc_id"), batch.column("text"), strict=True):
                 tokens, value, slot = _VOCABULARY.template(text.as_py())
+                name = tokens == _PLACEHOLDER[NAME]
                 slots = np.concatenate([[0], np.cumsum(slot)])
                 for n in [min(len(tokens), WINDOW)] if whole else lengths:
-                    if n < LEAST:
+                    if n < LEAST or n > len(tokens):
                         continue
+                    literal = n - (slots[n:] - slots[:-n])
                     h = window_hashes(tokens, n)
-                    ok = n - (slots[n:] - slots[:-n]) >= least_literal
-                    if screen is not None:
-                        bit = h & np.uint64(len(screen) * 64 - 1)
-                        ok &= (screen[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                    for p in np.flatnonzero(ok).tolist():
-                        rows.append((key.as_py(), doc.as_py(), p, int(h[p : p + 1].view(np.int64)[0]), value[p : p + n][slot[p : p + n]].view(np.int64).tolist()))
+                    few = np.flatnonzero(literal < least_literal)
+                    named = np.flatnonzero(name[: len(h)] & (literal + 1 >= least_literal))
+                    for at, hashes, kept, word in (
+                        (np.arange(len(h)), h, literal >= least_literal, 0),
+                        (few, _hashes_at(value, value, few, n, _LITERAL_SALT), None, 0),
+                        (named, _hashes_at(tokens, value, named, n, 0), None, 1),
+                    ):
+                        ok = np.ones(len(at), bool) if kept is None else kept
+                        if screen is not None:
+                            bit = hashes & np.uint64(len(screen) * 64 - 1)
+                            ok = ok & ((screen[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
+                        for p, x in zip(at[ok].tolist(), hashes[ok].view(np.int64).tolist(), strict=True):
+                            rows.append((key.as_py(), doc.as_py(), p, x, value[p + word : p + n][slot[p + word : p + n]].view(np.int64).tolist()))
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
@@ -183,8 +209,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with a window that holds the item's own values, whatever the rest of its run holds.
     ``windows`` counts the matched windows, ``slots`` the distinct slot values; ``key`` hashes id and text.
 
-    * A passage counts from ``WINDOW`` tokens of an item on, ``LITERAL`` of them no placeholders; items of
-      ``LEAST`` to ``WINDOW`` tokens must be held whole, and shorter ones are never looked for.
+    * A passage counts from ``WINDOW`` tokens of an item on; with fewer than ``LITERAL`` that are no placeholders, it must
+      hold the item's own values. Items of ``LEAST`` to ``WINDOW`` tokens must be held whole, and shorter ones are never looked for.
     * Every item that holds a window is compared and told of; items of one text are compared once.
     * Null texts are empty; null ids stay null. Rows that repeat an id and a text count as one document.
     * No documents or no items give no rows. Other columns are ignored.

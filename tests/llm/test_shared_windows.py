@@ -19,3 +19,10 @@ def test_a_clash_leaves_verbatim_windows_found(spark):
     changed = [*words[:50], "18", *words[51:]]
     other = [*words[:40], *["18" if w == "17" else w for w in words[40:]]]
     assert found(spark, [" ".join(words)], [" ".join(changed), " ".join(other), " ".join(words[:7])]) == [(1, 1), (2, 1)]
+
+
+def test_windows_of_placeholders_and_first_words(spark):
+    sums = "12 34 56 78 90 11 22 33 44 55 km 66"
+    france, river = "What is the capital of France?", "the Paris river flows through many green towns here"
+    texts = [f"so {sums} end", "so 12 34 56 78 90 11 22 34 44 55 km 67 end", f"Q: {france} yes", "Q: Where is the capital of France?", "Paris river flows through many green towns here today", "London river flows through many green towns here"]
+    assert found(spark, [sums, france, river], texts) == [(1, 1), (3, 2), (5, 3)]
