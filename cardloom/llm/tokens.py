@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 from urllib.parse import urlparse
 
 import numpy as np
@@ -23,23 +25,44 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct pieces of text whose ids a worker remembers, and characters of one remembered piece at most.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+#: Distinct words whose ids a worker remembers in each of two generations, and characters of one remembered word at most.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: Characters tokenized in one string.
 CALL_CHARS = 1 << 16
 
 _PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+\Z")
-#: Where white space is single and within the text, every space starts a new piece.
-_UNEVEN_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 #: White space besides the four plain ones: beside other white space, such texts are tokenized without cutting.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+class Memory(dict):
+    """Ids of words. A word that is not known is noted down and gives None."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.new: set[str] = set()
+
+    def __missing__(self, word: str) -> bytes | None:
+        found = self.old.get(word)
+        if found is None:
+            self.new.add(word)
+        else:
+            self[word] = found
+        return found
+
+    def age(self, most: int) -> None:
+        """Beyond ``most`` words, only those that come again in the next generation stay."""
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Ids of whole texts, equal to the tokenizer's own, with memory for pieces that come again.
+    """Ids of whole texts, equal to the tokenizer's own, with memory for words that come again.
 
     A byte-level pre-tokenizer never joins a character with white space that follows it, so a text may
-    be cut before each run of white space. The strings of special tokens are ordinary text.
+    be cut before each run of white space. A text that holds the string of an added token is not cut.
     """
 
     def __init__(self, path: str):
@@ -48,16 +71,16 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         alphabet = set(ByteLevel.alphabet())
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
-        self.cuts = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        plain = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.cuts = plain and not any(set(a) & set(" \n") for a in self.added)
         self.width = np.zeros(self.size, np.int64)  # bytes of text under each id
         for token, i in vocabulary.items():
             self.width[i] = len(token) if set(token) <= alphabet else len(token.encode())
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Memory(), Memory()
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -85,18 +108,23 @@ class Encoder:
                 self.words[p] = whole[start:end]
                 start = end
 
-    def _word_ids(self, cut: list[list[str]]) -> list[bytes]:
-        """Ids of words that a space stands before; one that starts with a line end has no space."""
-        known = self.words
-        new = set().union(*cut) - known.keys()
-        once = {p: self._whole(p if p[0] == "\n" else " " + p) for p in new if len(p) > REMEMBERED_CHARS}
-        plain, lines, ended = set(), [], []
-        for p in new - once.keys():
-            if p[0] == "\n":
+    def _meet(self, new: set[str]) -> dict[str, bytes]:
+        """Learns words that a space stands before, or that start with a line end; gives the ids of those that are too long to be remembered.
+
+        Empty words and words with white space at an end come from runs of white space: they get no ids.
+        """
+        known, plain, lines, ended, once = self.words, set(), [], [], {}
+        for p in new:
+            body = p[1:] if p[:1] == "\n" else p
+            if body != body.strip() or not body:
+                continue
+            if len(p) > REMEMBERED_CHARS:
+                once[p] = self._whole(p if p[0] == "\n" else " " + p)
+            elif p[0] == "\n":
                 lines.append(p)
-            elif (stem := p.rstrip(".,;:!?")) != p and stem.isalpha():  # letters and what follows them are never one token
+            elif (stem := p.rstrip(string.punctuation)) != p and stem.isalpha():  # letters and the punctuation after them are never one token
                 ended.append((p, stem))
-                if stem not in known:
+                if stem not in known and known[stem] is None:
                     plain.add(stem)
             else:
                 plain.add(p)
@@ -104,39 +132,47 @@ class Encoder:
         self._learn(lines, "\n")
         for p, stem in ended:
             known[p] = known[stem] + self._piece(p[len(stem) :])
-        known.update(once)
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for p in once:
-            del known[p]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
+        return once
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        found = self.pieces[piece]
         if found is None:
+            self.pieces.new.clear()
             found = self._whole(piece)
             if len(piece) <= REMEMBERED_CHARS:
-                if len(self.pieces) > REMEMBERED // 4:
-                    self.pieces.clear()
+                self.pieces.age(REMEMBERED // 4)
                 self.pieces[piece] = found
         return found
 
+    def _uneven(self, text: str) -> bytes:
+        """Ids of a text with runs of white space."""
+        return self._whole(text) if _OTHER_SPACE.search(text) else b"".join(map(self._piece, _PIECE.findall(text)))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids."""
-        out: list[bytes] = [b""] * len(texts)
-        spaced = []
-        for i, t in enumerate(texts):
-            if not self.cuts:
-                out[i] = self._whole(t)
-            elif not _UNEVEN_SPACE.search(t):
-                spaced.append((i, t.replace("\n", " \n").split(" ")))
-            elif _OTHER_SPACE.search(t):
-                out[i] = self._whole(t)
+        cut = [self.cuts and not any(a in t for a in self.added) for t in texts]
+        words: list[str] = []
+        ends = [0]
+        for t, c in zip(texts, cut, strict=True):
+            if c and t:
+                words += t.replace("\n", " \n").split(" ")
+            ends.append(len(words))
+        found: list[bytes | None] = list(map(self.words.__getitem__, words))
+        if self.words.new:
+            new, self.words.new = self.words.new, set()
+            once = self._meet(new)
+            self.words.new.clear()
+            for i in [i for i, f in enumerate(found) if f is None]:
+                found[i] = self.words.get(words[i]) or once.get(words[i])
+        out: list[bytes] = []
+        for t, c, (a, b) in zip(texts, cut, pairwise(ends), strict=True):
+            if not c:
+                out.append(self._whole(t))
+            elif None in (run := found[a + 1 : b]) or a < b and not words[a]:
+                out.append(self._uneven(t))
             else:
-                out[i] = b"".join(map(self._piece, _PIECE.findall(t)))
-        for (i, words), ids in zip(spaced, self._word_ids([w[1:] for _, w in spaced]), strict=True):
-            out[i] = (self._piece(words[0]) if words[0] else b"") + ids
+                out.append((self._piece(words[a]) if a < b else b"") + b"".join(run))
+        self.words.age(REMEMBERED)
         return [np.frombuffer(x, "<u4") for x in out]
 
 
@@ -177,16 +213,13 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if urlparse(uri).scheme else f"file://{uri}")
 
 
-#: Stands in the ``docs`` file for a null doc_id.
-NO_ID = -(1 << 63)
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Writes ``docs (doc_id, text, ...)`` as token files in ``folder`` and returns the manifest.
 
-    ``manifest``: ``part, path, width, docs, tokens, base``, one row per partition, also kept as a table in the folder.
+    ``manifest``: ``part, path, width, docs, nulls, tokens, base``, one row per partition, also kept as a table in the folder.
 
     * Documents stand in ascending doc_id order, null first, rows of one doc_id in the order of their texts.
+      ``nulls`` counts the documents without a doc_id, which are a partition's first; any 64-bit doc_id comes back.
     * A null text is empty: the end id alone. Repeated rows are written again. No rows make no files.
     * A task writes under a name of its own and then renames, so a task that runs twice leaves one result.
     * Other columns are ignored.
@@ -201,22 +234,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         names = {k: f"{root}/part-{part:06d}.{k}" for k in ("ids", "docs", "ends")}
         own = {k: f"{v}.{uuid.uuid4().hex}" for k, v in names.items()}
         store.create_dir(root, recursive=True)
-        docs_out, total = 0, 0
+        docs_out, total, nulls = 0, 0, 0
         files = {k: store.open_output_stream(v) for k, v in own.items()}
         for doc_ids, ids in encoded(batches, tokenizer_path, end_id):
             files["ids"].write(np.concatenate(ids).astype(f"<u{width}").tobytes())
-            files["docs"].write(np.array([NO_ID if i is None else i for i in doc_ids], "<i8").tobytes())
+            files["docs"].write(np.array([0 if i is None else i for i in doc_ids], "<i8").tobytes())
             ends = total + np.cumsum([len(x) for x in ids])
             files["ends"].write(ends.astype("<u8").tobytes())
-            docs_out, total = docs_out + len(doc_ids), int(ends[-1])
+            docs_out, total, nulls = docs_out + len(doc_ids), int(ends[-1]), nulls + doc_ids.count(None)
         for k, f in files.items():
             f.close()
             store.move(own[k], names[k])
         if docs_out:
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}"], "width": [width], "docs": [docs_out], "tokens": [total]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}"], "width": [width], "docs": [docs_out], "nulls": [nulls], "tokens": [total]})
 
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    counts = ordered.mapInArrow(write, "part long, path string, width long, docs long, tokens long")
+    counts = ordered.mapInArrow(write, "part long, path string, width long, docs long, nulls long, tokens long")
     counts.write.mode("overwrite").parquet(f"{folder}/counts")
     return _manifest(spark, folder)
 
@@ -227,18 +260,25 @@ def _manifest(spark: SparkSession, folder: str) -> DataFrame:
     for r in rows:
         out.append((*r, base))
         base += r.tokens
-    manifest = spark.createDataFrame(out, "part long, path string, width long, docs long, tokens long, base long")
+    manifest = spark.createDataFrame(out, "part long, path string, width long, docs long, nulls long, tokens long, base long")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def _mapped(store: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """The file as an array: mapped into memory where the store is local, else read."""
-    if isinstance(store, pafs.LocalFileSystem):
-        info = store.get_file_info(path)
-        return np.memmap(path, kind, "r") if info.size else np.zeros(0, kind)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+class Flat:
+    """A flat file as an array: mapped into memory where the store is local, else read range by range."""
+
+    def __init__(self, store: pafs.FileSystem, path: str, kind: str):
+        self.kind, self.file, self.map = np.dtype(kind), None, np.zeros(0, kind)
+        if not isinstance(store, pafs.LocalFileSystem):
+            self.file = store.open_input_file(path)
+        elif store.get_file_info(path).size:
+            self.map = np.memmap(path, kind, "r")
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        if self.file is None:
+            return self.map[span]
+        return np.frombuffer(self.file.read_at((span.stop - span.start) * self.kind.itemsize, span.start * self.kind.itemsize), self.kind)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -250,13 +290,16 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 store, path = _filesystem(row["path"])
-                ids, doc_ids, ends = (_mapped(store, f"{path}.{k}", t) for k, t in (("ids", f"<u{row['width']}"), ("docs", "<i8"), ("ends", "<u8")))
-                for a in range(0, len(doc_ids), 4096):
-                    to = ends[a : a + 4096].astype(np.int64)
-                    start = np.concatenate([[int(ends[a - 1]) if a else 0], to[:-1]])
+                ids, doc_ids, ends = (Flat(store, f"{path}.{k}", t) for k, t in (("ids", f"<u{row['width']}"), ("docs", "<i8"), ("ends", "<u8")))
+                before = 0
+                for a in range(0, row["docs"], 4096):
+                    b = min(a + 4096, row["docs"])
+                    to = ends[a:b].astype(np.int64)
+                    start = np.concatenate([[before], to[:-1]])
+                    before = int(to[-1])
                     crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(start.tolist(), to.tolist(), strict=True)]
-                    some = doc_ids[a : a + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(some), pa.int64(), mask=np.asarray(some) == NO_ID), pa.array(start + row["base"]), pa.array(to - start), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    named = pa.array(np.asarray(doc_ids[a:b]), pa.int64(), mask=np.arange(a, b) < row["nulls"])
+                    yield pa.RecordBatch.from_arrays([named, pa.array(start + row["base"]), pa.array(to - start), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("path", "width", "base").repartition(max(n, spark.sparkContext.defaultParallelism), "path")
+    files = manifest.select("path", "width", "docs", "nulls", "base").repartition(max(n, spark.sparkContext.defaultParallelism), "path")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
