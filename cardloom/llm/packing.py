@@ -1,10 +1,10 @@
 """Best-fit packing of documents into token sequences, with a certificate from dual-feasible functions.
 
-Pieces are dealt into groups of bounded size, and each group is packed by best-fit decreasing. Lower
-bounds on sequences certify each group's packing, and the whole packing: where the sequences used meet the
-bound of all lengths, nothing can be saved. While they do not, all groups release their poorly filled
-sequences; what they release is dealt into fewer groups and packed again, for as long as that
-saves sequences, down to one group.
+Pieces are dealt into groups of bounded size, and each group is packed by best-fit decreasing. A lower
+bound on sequences certifies each group's packing: where its sequences meet the bound, the group alone can
+save nothing. Groups with a gap between the two release every sequence that is not full; certified groups, which may
+still lose what their bounds were rounded up by, release their least filled one. What is released is dealt into groups anew and
+packed again. This ends when the whole packing meets the bound of all lengths, or when rounds in a row save nothing.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from cardloom.llm.tokens import encoded
 
 #: Pieces packed in one task's group.
 GROUP_PIECES = 20_000
-#: A sequence filled less than this is released while the whole packing has a gap.
-WELL_FILLED = 0.98
+#: Exchanges in a row that may save nothing, each with other groups, before the packing counts as final.
+PATIENCE = 3
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -104,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-PACKED = "row long, length long, grp long, bin long, offset long, fill long, bins long, bound long"
+PACKED = "row long, length long, grp long, bin long, offset long, fill long, least long, bins long, bound long"
 
 
 def _pack_groups(rows: DataFrame, groups: int, capacity: int, salt: int) -> DataFrame:
@@ -114,36 +114,36 @@ def _pack_groups(rows: DataFrame, groups: int, capacity: int, salt: int) -> Data
         part = part.sort_values("row", ignore_index=True)
         lengths = part["length"].to_numpy()
         sequence, place, fill = best_fit_decreasing(lengths, capacity)
-        return part.assign(bin=sequence, offset=place, fill=fill[sequence], bins=len(fill), bound=lower_bound(lengths, capacity))[[c.split()[0] for c in PACKED.split(", ")]]
+        return part.assign(bin=sequence, offset=place, fill=fill[sequence], least=fill.min(), bins=len(fill), bound=lower_bound(lengths, capacity))[[c.split()[0] for c in PACKED.split(", ")]]
 
     dealt = rows.select("row", "length", F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(groups)).alias("grp"))
     return dealt.groupBy("grp").applyInPandas(pack, PACKED)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES, well_filled: float = WELL_FILLED) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity`` and a unique ``row``.
 
     Every piece is placed, every sequence is gapless from offset 0. An empty table gives no rows.
     """
-    n = pieces.count()
     settled: DataFrame | None = None
-    packed = cut(_pack_groups(pieces, 1 + n // group_pieces, capacity, 0)).withColumn("turn", F.lit(0))
-    used = packed.select("grp", "bin").distinct().count()
-    fewest = length_bound(pieces, capacity)
-    for turn in range(1, 32):
-        loose = F.col("fill") < int(well_filled * capacity)
+    packed = cut(_pack_groups(pieces, 1 + pieces.count() // group_pieces, capacity, 0)).withColumn("turn", F.lit(0))
+    used, fewest = packed.select("grp", "bin").distinct().count(), length_bound(pieces, capacity)
+    turn = idle = 0
+    loose = F.when(F.col("bins") > F.col("bound"), F.col("fill") < capacity).otherwise((F.col("fill") == F.col("least")) & (F.col("fill") < capacity))
+    while used > fewest and idle < PATIENCE:
+        turn += 1
         released = packed.filter(loose)
         seen = released.agg(F.count("row").alias("n"), F.countDistinct("grp", "bin").alias("bins"), F.countDistinct("grp").alias("groups")).first()
-        if used <= fewest or seen.groups < 2:
+        if seen.groups < 2:
             break
         again = cut(_pack_groups(released, 1 + seen.n // group_pieces, capacity, turn)).withColumn("turn", F.lit(turn))
         saved = seen.bins - again.select("grp", "bin").distinct().count()
-        if saved <= 0:
-            break
-        used -= saved
-        final = packed.filter(~loose)
-        settled = final if settled is None else settled.unionByName(final)
-        packed = again
+        idle = 0 if saved > 0 else idle + 1
+        if saved > 0:
+            used -= saved
+            final = packed.filter(~loose)
+            settled = final if settled is None else settled.unionByName(final)
+            packed = again
     placed = packed if settled is None else settled.unionByName(packed)
     number = F.shiftleft(F.col("turn").cast("long"), 56) + F.shiftleft(F.col("grp"), 32) + F.col("bin")
     return pieces.join(placed.select("row", number.alias("sequence_id"), "offset"), "row")

@@ -15,7 +15,6 @@ from cardloom.llm.tokens import encoder, read_token_files, write_token_files
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -26,7 +25,6 @@ PARTS = [" ", " ", "  ", "\n", "\t", "\r", "'s", "a", "Z", "é", "1", "!", "\u30
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=25).map("".join), max_size=5))
 def test_encoder_equals_the_library(texts):
     t = Tokenizer.from_file(tokenizer_path()) if not hasattr(test_encoder_equals_the_library, "t") else test_encoder_equals_the_library.t
-    t.encode_special_tokens = True
     test_encoder_equals_the_library.t = t
     assert [x.tolist() for x in encoder(tokenizer_path()).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
@@ -103,3 +101,23 @@ def test_exchange_of_many_groups_meets_the_bound(spark):
     assert packed.count() == 4000
     used, bound = packing.certificate(packed, 1024)
     assert bound == packing.lower_bound(lengths, 1024) and used <= bound + 1
+
+
+def test_any_doc_id_comes_back(spark):
+    ids = [None, None, -(1 << 63), -1, 0, (1 << 63) - 1]
+    rows = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
+    got = read_token_files(write_token_files(rows, new_folder(spark, "t"), tokenizer_path(), partitions=3)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == ids
+
+
+def test_strings_of_added_tokens_are_the_librarys(plain):
+    text = "a <|endoftext|> b"
+    assert encoder(tokenizer_path()).encode([text, "a b"])[0].tolist() == plain(text) and 50256 in plain(text)
+
+
+def test_certified_groups_lose_only_their_rounding(spark):
+    r = np.random.default_rng(3)
+    lengths = r.integers(700, 1100, 6000)
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "row long, length long")
+    used, bound = packing.certificate(packing.pack_pieces(pieces, 2048, group_pieces=500))
+    assert bound <= used <= bound + 1
