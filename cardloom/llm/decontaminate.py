@@ -1,189 +1,125 @@
 """Benchmark decontamination by canonical templates.
 
-Texts become token templates: numbers, names and units turn into typed placeholders, other words are
-lower-cased. Windows of template tokens of the documents hash-join those of the benchmark; aligned windows
-of one document and one item must then fill their slots consistently, each value of the item always
-with the same value of the document and the reverse. So a question asked again with other numbers and
-names is caught, and so is a literal copy.
+Texts become template tokens (see ``templates``). Windows of the documents hash-join those of the benchmark, in up to three readings:
+with no names, with those inside sentences, and with every capital as a name's. So a question asked again
+with other numbers and names is caught, and so is a copy in other capitals. A window with too few words
+besides its placeholders is hashed by its values instead: a copy of it is caught, any other filling is not.
+
+What a document shares with an item along one diagonal is a run. Each slot of a run pairs a value of the item with one of
+the document. A pair stands if it keeps the value, or else if it is the most frequent pair of both its values;
+slots with other pairs clash, and cut the run. Windows without a clashing slot are reported.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.shared import cut
+from cardloom.llm.templates import tokens_of
 
-#: Tokens of a window; items with fewer make one window of all their tokens, if these are LEAST or more.
-WINDOW, LEAST = 8, 5
-#: Tokens of a window that must not be placeholders; windows with fewer are looked for by their values.
+#: Tokens of a window. Items with fewer tokens make one window of all of them.
+WINDOW = 8
+#: Words that a window needs besides its placeholders; with fewer it is looked for by its values.
 LITERAL = 4
 #: Bits of the screen for window hashes: 16 for each hash, up to 32 MB. The exact join follows, so a full screen costs time only.
 SCREEN_BITS_EACH, SCREEN_BITS_MOST = 16, 1 << 28
+#: Characters of text whose windows are found at a time.
+BATCH_CHARS = 1 << 20
 
-# Units of measure.
-UNITS = frozenset(
-    "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
-    "mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons "
-    "s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
-    "cent cents dollar dollars euro euros percent degree degrees mph kmh".split()
-)
-_NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?\Z")
-_MEASURE = re.compile(r"[+\-]?[$€£]?\d[\d.,]*([a-z]+)\Z")
-_EDGE = re.compile(r"\A[^\w$€£+\-]+|[^\w%]+\Z")
-WORD, NUMBER, NAME, UNIT, MEASURE, NONE = range(6)
-#: Distinct raw tokens that a worker remembers.
-REMEMBERED = 300_000
-
-
-def canonical(token: str) -> tuple[int, str]:
-    """Kind and value of a token between white space. A capitalised word is a ``NAME`` here; at the start of a sentence it counts as a word."""
-    core = _EDGE.sub("", token)
-    if not core or not any(c.isalnum() for c in core):
-        return NONE, ""
-    low = core.lower()
-    if _NUMBER.match(core):
-        return NUMBER, low
-    if (m := _MEASURE.match(low)) and m[1] in UNITS:
-        return MEASURE, low
-    if low in UNITS:
-        return UNIT, low
-    return (NAME if len(core) > 1 and core[0].isupper() and core[1:].islower() else WORD), low
-
-
-class Vocabulary(dict):
-    """Index of a raw token in arrays of what it means."""
-
-    def __init__(self) -> None:
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.value = np.zeros(1 << 12, np.uint64)
-        self.kind = np.zeros(1 << 12, np.int8)
-        self.ends = np.zeros(1 << 12, bool)
-
-    def __missing__(self, token: str) -> int:
-        i = len(self)
-        if i == len(self.value):
-            for name in ("value", "kind", "ends"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        self.kind[i], value = canonical(token)
-        self.value[i] = xxhash.xxh64_intdigest(value.encode("utf-8", "replace"))
-        self.ends[i] = token.rstrip("\"'”’)]")[-1:] in {".", "!", "?"}
-        self[token] = i
-        return i
-
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of each template token, hash of its value, and whether it is a placeholder."""
-        if len(self) > REMEMBERED:
-            self.reset()
-        words = text.split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        kind = self.kind[at]
-        first = np.ones(len(at), bool)
-        first[1:] = self.ends[at[:-1]]
-        kind = np.where((kind == NAME) & first, WORD, kind)
-        kept = kind != NONE
-        kind, value = kind[kept], self.value[at][kept]
-        slot = kind != WORD
-        return np.where(slot, _PLACEHOLDER[kind], value), value, slot
-
-
-_PLACEHOLDER = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in range(6)], np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-
-
-def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each ``n`` neighbouring template tokens."""
-    count = len(tokens) - n + 1
-    out = np.full(max(0, count), n, np.uint64)
-    for k in range(n if count > 0 else 0):
-        out = (out + tokens[k : k + count]) * np.uint64(_BASE | 1)
-        out ^= out >> np.uint64(29)
-    return out
-
-
+HITS = "key long, doc_id long, pos long, hash long, mask int, slots array<long>"
 #: Keeps hashes of values apart from those of templates.
-_LITERAL_SALT = 1 << 32
-
-
-def _hashes_at(tokens: np.ndarray, firsts: np.ndarray, at: np.ndarray, n: int, salt: int) -> np.ndarray:
-    """``window_hashes`` at some places only, the first token taken from ``firsts``."""
-    out = np.full(len(at), n + salt, np.uint64)
-    for k in range(n if len(at) else 0):
-        out = (out + (tokens if k else firsts)[at + k]) * np.uint64(_BASE | 1)
-        out ^= out >> np.uint64(29)
-    return out
-
+_LITERAL_SALT = np.uint64(0x5851F42D4C957F2D)
 
-_VOCABULARY = Vocabulary()
-HITS = "key long, doc_id long, pos long, hash long, slots array<long>"
 
+def _hits(texts: list[str], sizes: list[int] | None, screen: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Text number, first token, hash, slot bits and slot values (flat, with offsets) of the windows that ``screen`` lets through.
 
-def _windows(lengths: list[int], whole: bool, screen: np.ndarray | None, least_literal: int):
-    """Windows of each text, those that may match where a screen is given. ``whole``: a short text makes one window of all its tokens.
-
-    A window with fewer than ``least_literal`` tokens that are no placeholders is hashed by its values instead. One that starts
-    with a name is hashed with the name as a word too, since a name at the start of a sentence is one.
+    Windows of each of ``sizes`` tokens; without ``sizes``, of WINDOW tokens or all tokens of a shorter text.
     """
+    t = tokens_of(texts)
+    n_tokens, place = len(t.value), np.arange(len(t.value))
+    plain, inner, every = t.readings()
+    kept: list[tuple] = []
+    for n in range(1, WINDOW + 1) if sizes is None else sizes:
+        if n > n_tokens:
+            continue
+        fits = place[: n_tokens + 1 - n] + n <= t.ends[: n_tokens + 1 - n]
+        if sizes is None and n < WINDOW:
+            fits &= (t.counts[t.text] == n)[: len(fits)]
+        if not fits.any():
+            continue
+
+        def count(x: np.ndarray, n: int = n) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+            return sums[n:] - sums[:-n]
+
+        slots = count(plain)
+        readings = [(t.windows(t.template(plain), n), fits & (slots + LITERAL <= n), plain)]
+        if (few := fits & (slots + LITERAL > n)).any():
+            readings.append((t.windows(t.value, n) ^ _LITERAL_SALT, few, np.zeros(n_tokens, bool)))
+        for reading, before in ((inner, plain), (every, inner)):
+            more = fits & (count(reading & ~before) > 0) & (count(reading) + LITERAL <= n)
+            if more.any():
+                readings.append((t.windows(t.template(reading), n), more, reading))
+        for hashes, ok, slot in readings:
+            at = np.flatnonzero(ok)
+            h = hashes[at]
+            if screen is not None:
+                bit = h & np.uint64(len(screen) * 64 - 1)
+                there = (screen[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                at, h = at[there], h[there]
+            if len(at):
+                cells = at[:, None] + np.arange(n)
+                on = slot[cells]
+                kept.append((at, h, (on << np.arange(n)).sum(axis=1), on.sum(axis=1), t.value[cells][on]))
+    if not kept:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, np.zeros(1, np.int32), none
+    at, h, mask, n_slots, values = (np.concatenate(k) for k in zip(*kept, strict=True))
+    first = np.cumsum(t.counts) - t.counts
+    return t.text[at], at - first[t.text[at]], h.view(np.int64), mask, np.concatenate([[0], np.cumsum(n_slots)]).astype(np.int32), values.view(np.int64)
+
+
+def _windows(sizes: list[int] | None, screen: Callable[[], np.ndarray] | None):
+    """``key, doc_id, text`` rows to windows, as HITS."""
+
+    def out(batch: pa.RecordBatch, a: int, texts: list[str]) -> pa.RecordBatch:
+        text, pos, h, mask, offsets, values = _hits(texts, sizes, screen() if screen else None)
+        rows = pa.array(text + a)
+        slots = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("doc_id").take(rows), pa.array(pos, pa.int64()), pa.array(h, pa.int64()), pa.array(mask, pa.int32()), slots], ["key", "doc_id", "pos", "hash", "mask", "slots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for key, doc, text in zip(batch.column("key"), batch.column("doc_id"), batch.column("text"), strict=True):
-                tokens, value, slot = _VOCABULARY.template(text.as_py())
-                name = tokens == _PLACEHOLDER[NAME]
-                slots = np.concatenate([[0], np.cumsum(slot)])
-                for n in [min(len(tokens), WINDOW)] if whole else lengths:
-                    if n < LEAST or n > len(tokens):
-                        continue
-                    literal = n - (slots[n:] - slots[:-n])
-                    h = window_hashes(tokens, n)
-                    few = np.flatnonzero(literal < least_literal)
-                    named = np.flatnonzero(name[: len(h)] & (literal + 1 >= least_literal))
-                    for at, hashes, kept, word in (
-                        (np.arange(len(h)), h, literal >= least_literal, 0),
-                        (few, _hashes_at(value, value, few, n, _LITERAL_SALT), None, 0),
-                        (named, _hashes_at(tokens, value, named, n, 0), None, 1),
-                    ):
-                        ok = np.ones(len(at), bool) if kept is None else kept
-                        if screen is not None:
-                            bit = hashes & np.uint64(len(screen) * 64 - 1)
-                            ok = ok & ((screen[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
-                        for p, x in zip(at[ok].tolist(), hashes[ok].view(np.int64).tolist(), strict=True):
-                            rows.append((key.as_py(), doc.as_py(), p, x, value[p + word : p + n][slot[p + word : p + n]].view(np.int64).tolist()))
-                if len(rows) > 20_000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+            texts, a, chars = [], 0, 0
+            for i, x in enumerate(batch.column("text")):
+                texts.append(x.as_py())
+                chars += len(texts[-1])
+                if chars > BATCH_CHARS:
+                    yield out(batch, a, texts)
+                    texts, a, chars = [], i + 1, 0
+            if texts:
+                yield out(batch, a, texts)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    key, doc, pos, h, slots = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["key", "doc_id", "pos", "hash", "slots"])
-
-
 def _keyed(rows: DataFrame, name: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return rows.select(F.xxhash64(F.coalesce(F.col(name), F.lit(-1)), text).alias("key"), F.col(name).cast("long").alias("doc_id"), text.alias("text"))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``hash, text_id, item_pos, item_slots`` of each distinct text of ``benchmark (item_id, text)``: every window of every text."""
+    """``hash, text_id, item_pos, mask, item_slots`` of each distinct text of ``benchmark (item_id, text)``: every window of every text."""
     texts = benchmark.select(_text_id().alias("key"), _text_id().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["key"])
-    found = texts.mapInArrow(_windows([], True, None, LITERAL), HITS)
-    return found.select("hash", F.col("doc_id").alias("text_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    found = texts.mapInArrow(_windows(None, None), HITS)
+    return found.select("hash", F.col("doc_id").alias("text_id"), F.col("pos").alias("item_pos"), "mask", F.col("slots").alias("item_slots")).distinct()
 
 
 def _text_id() -> Column:
@@ -202,41 +138,65 @@ def _screen(windows: DataFrame) -> np.ndarray:
     return out
 
 
+def standing_windows(windows: list[dict]) -> tuple[int, int]:
+    """Of one run's windows (``pos``, slot bits ``mask``, ``item`` and ``doc`` values): how many have no clashing slot, and how many pairs these hold."""
+    pairs: dict[tuple[int, int, int], None] = {}
+    held = []
+    for w in windows:
+        at = [w["pos"] + k for k in range(WINDOW) if w["mask"] >> k & 1]
+        held.append((w["pos"], list(zip(at, w["item"], w["doc"], strict=True))))
+        pairs.update(dict.fromkeys(held[-1][1]))
+    votes = Counter((i, d) for _, i, d in pairs)
+    best: list[dict[int, tuple[int, int] | None]] = [{}, {}]
+    for side, of in enumerate(best):
+        most: Counter = Counter()
+        for pair, n in votes.items():
+            n = n if pair[0] != pair[1] else len(pairs) + 1
+            if n > most[pair[side]]:
+                most[pair[side]], of[pair[side]] = n, pair
+            elif n == most[pair[side]]:
+                of[pair[side]] = None
+    stands = {pair for pair in votes if best[0][pair[0]] == pair and best[1][pair[1]] == pair}
+    clean = [(pos, slots) for pos, slots in held if all((i, d) in stands for _, i, d in slots)]
+    return len({pos for pos, _ in clean}), len({(i, d) for _, slots in clean for _, i, d in slots})
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        told = [standing_windows(r) for r in batch.column("run").to_pylist()]
+        counts = [pa.array([t[k] for t in told], pa.int64()) for k in (0, 1)]
+        rows = pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "doc_id", "text_id")] + counts, ["key", "doc_id", "text_id", "windows", "slots"])
+        yield rows.filter(pa.array([t[0] > 0 for t in told], pa.bool_()))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``key, doc_id, item_id, windows, slots``: documents that hold a passage of an item, whatever fills its slots.
 
-    One row per document and item with at least one aligned run of windows whose slots are consistent, or
-    with a window that holds the item's own values, whatever the rest of its run holds.
-    ``windows`` counts the matched windows, ``slots`` the distinct slot values; ``key`` hashes id and text.
+    One row per document and item with at least one window that no slot clashes in. ``windows`` counts these
+    windows by their places, ``slots`` the distinct pairs of slot values; ``key`` hashes id and text.
 
-    * A passage counts from ``WINDOW`` tokens of an item on; with fewer than ``LITERAL`` that are no placeholders, it must
-      hold the item's own values. Items of ``LEAST`` to ``WINDOW`` tokens must be held whole, and shorter ones are never looked for.
+    * A passage counts from ``WINDOW`` tokens of an item on. Shorter items must be held whole. A window with fewer than ``LITERAL`` words
+      besides placeholders must hold the item's own values, in any capitals. Items without a letter or digit are never found.
     * Every item that holds a window is compared and told of; items of one text are compared once.
     * Null texts are empty; null ids stay null. Rows that repeat an id and a text count as one document.
-    * No documents or no items give no rows. Other columns are ignored.
+    * No documents or no items give no rows. Other columns are ignored. Texts of any length are read whole.
     """
+    spark = docs.sparkSession
     windows = cut(benchmark_windows(benchmark))
-    sizes = _keyed(benchmark, "item_id").mapInArrow(_sizes, "n long").distinct().collect()
-    screen = _screen(windows)
-    found = _keyed(docs, "doc_id").mapInArrow(_windows(sorted(r.n for r in sizes), False, screen, LITERAL), HITS).join(windows, "hash")
-    runs = found.select("key", "doc_id", "text_id", (F.col("pos") - F.col("item_pos")).alias("run"), "pos", "slots", "item_slots", (F.col("slots") == F.col("item_slots")).alias("literal"))
-    pairs = runs.select("key", "doc_id", "text_id", "run", "pos", "literal", F.explode_outer(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s"))
-    run = ["key", "doc_id", "text_id", "run"]
-    pair = F.when(F.col("s").isNotNull(), F.col("s"))
-    judged = pairs.groupBy(*run).agg(
-        F.countDistinct("pos").alias("windows"), F.size(F.collect_set("s.i")).alias("i"), F.size(F.collect_set("s.d")).alias("d"), F.size(F.collect_set(pair)).alias("slots"),
-        F.countDistinct(F.when(F.col("literal"), F.col("pos"))).alias("literal_windows"), F.size(F.collect_set(F.when(F.col("literal"), pair))).alias("literal_slots"),
-    )
-    agree = (F.col("i") == F.col("slots")) & (F.col("d") == F.col("slots"))
-    same = judged.filter(agree | (F.col("literal_windows") > 0)).select(*run, *[F.when(agree, F.col(n)).otherwise(F.col(f"literal_{n}")).alias(n) for n in ("windows", "slots")])
+    sizes = sorted(r.n for r in _keyed(benchmark, "item_id").mapInArrow(_sizes, "n long").distinct().collect())
+    shared = spark.sparkContext.broadcast(_screen(windows))
+    found = _keyed(docs, "doc_id").mapInArrow(_windows(sizes, lambda: shared.value), HITS).join(windows, ["hash", "mask"])
+    run = F.struct(F.col("item_pos").alias("pos"), "mask", F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
+    runs = found.groupBy("key", "doc_id", "text_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(run).alias("run"))
+    standing = runs.mapInArrow(_judged, "key long, doc_id long, text_id long, windows long, slots long")
     items = benchmark.select(_text_id().alias("text_id"), F.col("item_id").cast("long").alias("item_id")).distinct()
-    return same.join(items, "text_id").groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("slots").cast("long").alias("slots"))
+    return standing.join(items, "text_id").groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("slots").alias("slots"))
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = {min(WINDOW, len(_VOCABULARY.template(t.as_py())[0])) for t in batch.column("text")}
-        yield pa.RecordBatch.from_pydict({"n": pa.array(sorted(n for n in sizes if n >= LEAST), pa.int64())})
+        counts = np.unique(np.minimum(tokens_of(batch.column("text").to_pylist()).counts, WINDOW))
+        yield pa.RecordBatch.from_pydict({"n": pa.array(counts[counts > 0].tolist(), pa.int64())})
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cardloom.llm import chat_format, decontaminate, language_id, toxicity, url_filter
+from cardloom.llm import chat_format, language_id, toxicity, url_filter
 
 
 # ---------------------------------------------------------------- URL filter
@@ -43,40 +43,6 @@ def test_chats_round_trip(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
-# ---------------------------------------------------------------- decontamination
-
-ITEM = "I know Tom has 5 red apples and 9 green pears in a wide basket today. Tom ate."
-
-
-def test_templates(spark, odd, no_docs):
-    items = spark.createDataFrame([(1, ITEM, "k"), (2, None, "k"), (3, "too short", "k"), (4, "five plain words in here", "k")], "item_id long, text string, key string")
-    rows = [
-        (1, "Well, Anna has 7 red apples and 12 green pears in a wide basket today"), (2, "x Anna has 7 red apples and 7 green pears in a wide basket today"),
-        (3, "Tom has 5 red apples AND 9 green pears IN a wide"), (4, None), (None, ITEM), (5, "say FIVE plain, words (in) here!"), (6, "I know that red apples and green pears are in a basket"), (1, "clean"),
-    ]
-    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, key string, hash string")
-    got = decontaminate.contaminated(docs, items)
-    assert sorted((str(r.doc_id), r.item_id) for r in got.collect()) == [("1", 1), ("3", 1), ("5", 4), ("None", 1)]
-    left = decontaminate.drop_contaminated(docs, items)
-    assert left.columns == docs.columns
-    assert sorted((str(r.doc_id), str(r.text)[:5]) for r in left.collect()) == [("1", "clean"), ("2", "x Ann"), ("4", "None"), ("6", "I kno")]
-    assert decontaminate.contaminated(no_docs, items).count() == 0 and decontaminate.contaminated(odd, items.limit(0)).count() == 0
-
-
-def test_windows_against_brute_force(spark, docs, sf_dir):
-    """Without names, numbers and units in them, texts match exactly where eight words in a row do."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    n, words = decontaminate.WINDOW, lambda t: [w for _, w in map(decontaminate.canonical, t.split()) if w]
-    known = {tuple(w[k : k + n]) for r in items.collect() for w in [words(r.text)] for k in range(len(w) - n + 1)}
-    want = {r.doc_id for r in docs.collect() for w in [words(r.text or "")] if any(tuple(w[k : k + n]) in known for k in range(len(w) - n + 1))}
-    assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == want and want
-
-
-def test_kinds():
-    kinds = {t: decontaminate.canonical(t)[0] for t in ("Tom,", "THE", "3,000", "$5.50", "5kg", "km", "1st", "***", "word", "(20%)")}
-    assert kinds == {"Tom,": decontaminate.NAME, "THE": decontaminate.WORD, "3,000": decontaminate.NUMBER, "$5.50": decontaminate.NUMBER, "5kg": decontaminate.MEASURE, "km": decontaminate.UNIT, "1st": decontaminate.NUMBER, "***": decontaminate.NONE, "word": decontaminate.WORD, "(20%)": decontaminate.NUMBER}
-
-
 # ---------------------------------------------------------------- toxicity
 
 
