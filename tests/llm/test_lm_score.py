@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from cardloom.llm import lm_score as lm
@@ -68,10 +69,27 @@ def same(got, rows):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-5, abs=1e-6)
 
 
-@pytest.mark.parametrize("heavy", [lm.HEAVY, 3])
+@pytest.mark.parametrize("heavy", [{}, {"heavy_words": 3, "heavy_keys": 5}, {"heavy_words": 0, "heavy_keys": 0}])
 def test_against_brute_force(docs, heavy):
     some = docs.filter("length(text) < 800").limit(60).cache()
-    same(lm.score_documents(some, heavy=heavy).collect(), [(r.doc_id, r.text) for r in some.collect()])
+    same(lm.score_documents(some, **heavy).collect(), [(r.doc_id, r.text) for r in some.collect()])
+
+
+def test_small_chunks_change_nothing(spark, docs, monkeypatch):
+    some = docs.limit(80).cache()
+    want = sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lm.score_documents(some).collect())
+    text = b"".join(lm.START + b" ".join(lm.words_of(r.text or "")) + lm.END for r in some.collect())
+    keys = lm.keys_of(text)
+    u, n = np.unique(keys[lm.scored(keys)], return_counts=True)
+    whole, _ = lm.weigh_below(u, n)
+    monkeypatch.setattr(lm, "KEY_ROWS", 500)
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(u[a : a + 77].view(np.int64)), pa.array(n[a : a + 77])], ["packed", "n"]) for a in range(0, len(u), 77)]
+    parts = [b"".join(b.column("mixed").drop_null().to_pylist()) for b in lm._below(iter(batches))]
+    assert b"".join(parts) == whole.astype("<f4").tobytes() and len(parts) > 4
+    got = sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lm.score_documents(some.repartition(7), heavy_words=100, heavy_keys=1000).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [x for g in got for x in g[2:]] == pytest.approx([x for w in want for x in w[2:]], rel=1e-5)
 
 
 def test_odd_rows(spark, odd, no_docs):
@@ -89,18 +107,21 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_byte_probabilities_sum_to_one(spark, docs):
-    import numpy as np
-
-    counted = docs.limit(50).selectExpr("coalesce(text, '') AS text").mapInArrow(lm._counts, "word binary, packed long, n long").filter("packed IS NOT NULL").groupBy("packed").sum("n").toDF("packed", "n")
-    kept = lm.tree_nodes(counted).toPandas()
-    for least in (1, 8):
-        some = kept[kept["zeros"] + kept["ones"] >= least]
-        tree = lm.Tree.build(*(some[c].to_numpy(np.int64) for c in ("depth", "node", "zeros", "ones")))
-        for context in (b"\r\r\r\r\r", b" the ", b"zzzzz", b"\xff\x00 qu"):
-            keys = np.array([int.from_bytes(context, "big") << 8 | b for b in range(256)], np.uint64)
-            assert (10 ** tree.log10_of(keys)).sum() == pytest.approx(1, abs=1e-5)
-
-
-def test_a_pruned_tree_still_beats_the_base_on_unseen_words(docs):
-    full, small = (lm.score_documents(docs, max_nodes=n).filter("held_out").selectExpr("sum(score)").first()[0] for n in (lm.MAX_NODES, 20_000))
-    assert small < full < 0
+    text = b"".join(lm.START + b" ".join(lm.words_of(r.text or "")) + lm.END for r in docs.limit(50).collect())
+    seen = Counter(lm.keys_of(text).tolist())
+    contexts = (b"\r\r\r\r\r", b" the ", b"zzzzz", b"\xff\x00 qu")
+    for c in contexts:
+        for b in range(256):
+            seen[int.from_bytes(c[::-1], "big") << 8 | b] += 0
+    rows = spark.createDataFrame([(k, n) for k, n in seen.items()], "packed long, n long")
+    logs = {r.packed: r.log for r in lm.byte_logs(rows).collect()}
+    for c in contexts:
+        assert sum(10 ** logs[int.from_bytes(c[::-1], "big") << 8 | b] for b in range(256)) == pytest.approx(1, abs=1e-5)
+
+
+def test_scores_do_not_depend_on_what_else_is_scored(spark, docs):
+    """Held-out rows teach nothing, however many there are."""
+    rows = [(r.doc_id, r.text) for r in docs.limit(150).collect()]
+    few = [r for r in rows if not held(r[0])] + [r for r in rows if held(r[0])][:2]
+    got = [{r.doc_id: (r.base_score, r.score) for r in lm.score_documents(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, few)]
+    assert len(few) < len(rows) and all(got[0][d] == pytest.approx(got[1][d], rel=1e-9) for d, _ in few)
