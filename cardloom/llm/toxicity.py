@@ -4,7 +4,8 @@ The classifier is fitted on a bounded sample of labelled rows, at most ``max_row
 order of a hash of doc_id; every document is scored. A feature is a hashed character n-gram of the
 lower-cased text whose white space is one space, valued by the logarithm of its rate in the text. Its
 log-count ratio, counted over documents that have it, scales it, and an L2-regularised logistic
-regression weighs the scaled features.
+regression, in which both classes weigh the same, weighs the scaled features. What it says of rows that it was not fitted on, fold by fold,
+calibrates it: a score is the probability of the label where both are as frequent.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SAMPLE_PARTS = 8
 FEATURES, LEAST_ROWS = 20_000, 4
 THRESHOLD = 0.7
 PENALTY = 0.3
+#: Folds of the sample that calibrate the scores.
+FOLDS = 3
 #: Characters hashed at a time.
 WINDOW = 1 << 18
 
@@ -120,15 +123,16 @@ def log_count_ratios(counts: DataFrame, features: int = FEATURES, least_rows: in
 
 
 def sparse_rows(sample: DataFrame, place: np.ndarray) -> pd.DataFrame:
-    """``label, index, value`` of each sampled row: its weighed n-grams. As many rows as the sample at most."""
+    """``label, key, index, value`` of each sampled row: its weighed n-grams. As many rows as the sample at most, in an order that the texts alone give."""
     model = Classifier(place, np.zeros(0), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, value = zip(*[model.found(t.as_py()) for t in batch.column("text")], strict=True) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([i.astype(np.int32) for i in index], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for v in value], pa.list_(pa.float32()))], ["label", "index", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("key"), pa.array([i.astype(np.int32) for i in index], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for v in value], pa.list_(pa.float32()))], ["label", "key", "index", "value"])
 
-    return sample.mapInArrow(run, "label int, index array<int>, value array<float>").toArrow().to_pandas()
+    keyed = sample.select("text", "label", F.xxhash64("text").alias("key"))
+    return keyed.mapInArrow(run, "label int, key long, index array<int>, value array<float>").toArrow().to_pandas().sort_values(["key", "label"], ignore_index=True)
 
 
 def logistic(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np.ndarray, penalty: float = PENALTY, steps: int = 150) -> tuple[np.ndarray, float]:
@@ -137,9 +141,12 @@ def logistic(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, we
     at, col = np.repeat(np.arange(len(rows)), size), np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
     value, k, n = scale[col] * (np.concatenate(values) if len(rows) else 1.0), len(scale), len(rows)
     sign, total = 2.0 * y - 1, weight.sum()
+    first, full = np.cumsum(size) - size, size > 0
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(at, v[col] * value, n) + v[k]
+        z = np.full(n, v[k])
+        if len(col):
+            z[full] += np.add.reduceat(v[col] * value, first[full])
         return float((weight * np.logaddexp(0, -sign * z)).sum() / total + penalty / 2 / total * (v[:k] ** 2).sum()), z
 
     def slope(v: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -163,7 +170,25 @@ def logistic(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, we
     return v[:k], float(v[k])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: float = PENALTY) -> Classifier:
+def calibration(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve through margins, both classes weighing the same; with smoothed targets, so that separable margins have one too."""
+    n1, n0 = max(y.sum(), 1.0), max((1 - y).sum(), 1.0)
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    x = np.stack([margin, np.ones(len(margin))], axis=1)
+    v = np.array([1.0, 0.0])
+    loss = lambda u: (weight * (np.logaddexp(0, x @ u) - target * (x @ u))).sum()
+    for _ in range(50):
+        p = _sigmoid(x @ v)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2)
+        step, t = np.linalg.solve(curve, x.T @ (weight * (p - target))), 1.0
+        while loss(v - t * step) > loss(v) and t > 1e-6:
+            t /= 2
+        v = v - t * step
+    return float(max(v[0], 1e-3)), float(v[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: float = PENALTY, folds: int = FOLDS) -> Classifier:
     """A classifier from the labelled rows that are not held out. With labels of one kind only, it scores their share everywhere."""
     sample, stands_for = labelled_sample(docs, labels, max_rows)
     ratios = log_count_ratios(cut(ngram_counts(sample)))
@@ -173,10 +198,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     y = rows["label"].to_numpy(np.float64)
     if not len(y):
         return Classifier(place, np.zeros(len(ratios)), -np.log(99.0))
-    weight = np.array([stands_for[int(k)] for k in y])
+    index, value = [np.asarray(f, np.int64) for f in rows["index"]], [np.asarray(f, np.float64) for f in rows["value"]]
     scale = ratios["ratio"].to_numpy(np.float64)
-    w, bias = logistic([np.asarray(f, np.int64) for f in rows["index"]], [np.asarray(f, np.float64) for f in rows["value"]], y, weight, scale, penalty)
-    return Classifier(place, (w * scale).astype(np.float64), bias)
+    share = {k: stands_for[k] * (y == k).sum() for k in (0, 1) if (y == k).any()}
+    weight = np.array([stands_for[int(k)] * sum(share.values()) / (len(share) * share[int(k)]) for k in y])
+
+    def learned(some: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
+        return logistic([index[i] for i in some], [value[i] for i in some], y[some], weight[some], scale, penalty, steps)
+
+    w, bias = learned(np.arange(len(y)))
+    if len(share) < 2 or min((y == 0).sum(), (y == 1).sum()) < 2 * folds:
+        return Classifier(place, w * scale, bias)
+    fold, margin = np.empty(len(y), np.int64), np.empty(len(y))
+    for k in (0, 1):  # each class is dealt over the folds by itself
+        mine = np.flatnonzero(y == k)
+        fold[mine] = np.arange(len(mine)) % folds
+    for f in range(folds):
+        fw, fb = learned(np.flatnonzero(fold != f), 60)
+        margin[fold == f] = [fb + (fw[index[i]] * scale[index[i]] * value[i]).sum() for i in np.flatnonzero(fold == f)]
+    a, b = calibration(margin, y)
+    return Classifier(place, a * w * scale, a * bias + b)
 
 
 # ---------------------------------------------------------------- scoring

@@ -1,5 +1,7 @@
 import html
+import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,6 +78,41 @@ def test_toxicity_held_out_accuracy(spark, docs, sf_dir):
     assert all(r.predicted == r.toxic for r in rows if not r.held_out)
 
 
+def test_toxicity_held_out_recall(spark):
+    """At the threshold, over labels that the fit has not seen."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    rows = [r for r in toxicity.toxicity(docs, labels).join(labels, "doc_id").collect() if r.held_out]
+    caught = [r.predicted for r in rows if r.toxic == 1]
+    assert sum(caught) >= 0.75 * len(caught) and sum(r.predicted for r in rows if r.toxic == 0) <= 2
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+
+
+def gram_id(gram):
+    """The polynomial hash of one n-gram, by its definition."""
+    h = (sum(ord(c) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(gram)) + len(gram)) * 0xD6E8FEB86659FD93
+    return h % (1 << 64) >> (64 - toxicity.HASH_BITS)
+
+
+def test_log_count_ratios_and_a_score_by_brute_force(spark):
+    texts = [("you rotten gargle", 1), ("gargle gargle you", 1), ("plain river talk", 0), ("you plain talk", 0), ("river", 0)]
+    grams = lambda t: [f" {t} "[i : i + n] for n in toxicity.SIZES for i in range(len(f" {t} ") - n + 1)]
+    of = gram_id
+    sample = spark.createDataFrame(texts, "text string, label int")
+    counts = {r.id: (r.clean, r.toxic) for r in toxicity.ngram_counts(sample).collect()}
+    every = {g for t, _ in texts for g in grams(t)}
+    assert counts == {of(g): tuple(sum(g in set(grams(t)) for t, y in texts if y == k) for k in (0, 1)) for g in every}
+    got = toxicity.log_count_ratios(spark.createDataFrame([(k, *v) for k, v in counts.items()], "id int, clean long, toxic long"), least_rows=1)
+    c, b = (sum(v[k] + 1 for v in counts.values()) for k in (0, 1))
+    assert dict(zip(got["id"], got["ratio"], strict=True)) == pytest.approx({i: math.log((v[1] + 1) / b) - math.log((v[0] + 1) / c) for i, v in counts.items()})
+    place = np.full(1 << toxicity.HASH_BITS, -1, np.int32)
+    ids = sorted(counts)
+    place[ids] = np.arange(len(ids))
+    model = toxicity.Classifier(place, np.arange(len(ids)) / 100, -0.3)
+    text = "gargle you gargle"
+    z = -0.3 + sum(ids.index(of(g)) / 100 * math.log1p(1000 * grams(text).count(g) / (len(text) + 200)) for g in set(grams(text)) if of(g) in counts)
+    assert model.score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 # ---------------------------------------------------------------- language
 
 
