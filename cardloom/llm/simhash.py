@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.components import components
-from cardloom.llm.near_copies import drop_near_copies  # noqa: F401
 from cardloom.llm.shared import cut
 
 BITS = 64

@@ -58,3 +58,19 @@ def test_bands_find_pairs_at_the_bound():
         a, b = np.unique(some[:576]), np.unique(some[64:])
         assert near_copies.jaccard(a, b) == 0.8
         assert set(near_copies.band_keys(a)) & set(near_copies.band_keys(b))
+
+
+def test_slices_and_blocks_find_every_pair(spark, sf_dir, monkeypatch):
+    """A bucket in many slices, compared in small blocks, loses no pair and finds none twice over."""
+    r = np.random.default_rng(9)
+    hub = [f"h{x}" for x in r.integers(0, 400, 120)]
+    texts = [edited(hub, int(n), r) for n in r.integers(1, 7, 90)]
+    sets = [near_copies.shingles(t) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(90), 2) if near_copies.jaccard(sets[i], sets[j]) >= 0.8}
+    monkeypatch.setattr(near_copies, "CELLS", 3000)
+    a, b = near_copies.alike_members(sets, np.arange(90), np.zeros(90, np.int64))
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(a) == len(want) > 50
+    monkeypatch.setattr(near_copies, "SLICE", 16)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rid long, text string")
+    members = spark.createDataFrame([(1, i, i) for i in range(90)], "key long, rid long, root long")
+    assert {(x.b, x.a) for x in near_copies._apart(members, rows).collect()} == want

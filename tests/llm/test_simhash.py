@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import xxhash
 
-from cardloom.llm import simhash
+from cardloom.llm import near_copies, simhash
 from cardloom.llm.components import components
 
 
@@ -84,7 +84,7 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_dropping(odd):
-    left = simhash.drop_near_copies(odd)
+    left = near_copies.drop_near_copies(odd)
     assert left.columns == odd.columns
     ids = sorted(r.doc_id for r in left.filter("doc_id IS NOT NULL").collect())
     assert ids == [1, 2, 5, 7]
