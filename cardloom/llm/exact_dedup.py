@@ -19,6 +19,8 @@ from cardloom.llm.shared import cut
 
 #: Digests per filter: a filter of this size takes about 75 kB.
 KEYS_PER_FILTER = 1 << 16
+#: Digests of two rows or more, 8 bytes each, that are broadcast; more of them are joined.
+BROADCAST_ROWS = 1 << 20
 
 
 # ---------------------------------------------------------------- binary-fuse filter
@@ -65,7 +67,7 @@ class FuseFilter:
             out = cls(seed, segment, segments, np.zeros((segments + 2) * segment, np.uint8))
             if out._solve(keys):
                 return out
-        raise ValueError("no seed gives a peelable graph")
+        raise ValueError("no seed of 200 gives a peelable graph; for three-wise fuse graphs one in two does")
 
     def _solve(self, keys: np.ndarray) -> bool:
         h = _mixed(keys, self.seed)
@@ -166,8 +168,12 @@ def exact_dedup(docs: DataFrame, digest_hex: int = 64, keys_per_filter: int = KE
     merged = grown.select("digest", (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n"), F.greatest("last", "new_last").alias("last"))
     groups = cut(merged.unionByName(batch.select("digest", "n", "last").join(hits.select("digest"), "digest", "left_anti")))
 
-    # The least and the greatest text of a digest are equal exactly if all its texts are; partial extremes meet a hot digest before the shuffle.
-    mixed = cut(hashed.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same")).filter(~F.col("same")).select("digest"))
+    # Only texts whose digest another row has are looked at. The least and the greatest text of a digest are equal exactly if
+    # all its texts are; partial extremes meet a hot digest before the shuffle.
+    again = groups.filter("n > 1").select(F.xxhash64("digest").alias("key64")).distinct()
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    suspects = hashed.withColumn("key64", F.xxhash64("digest")).join(again, "key64", "left_semi")
+    mixed = cut(suspects.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same")).filter(~F.col("same")).select("digest"))
 
     out = rows.join(groups, "digest").join(mixed, "digest", "left_anti") if not mixed.isEmpty() else rows.join(groups, "digest")
     told = [F.col("last.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("last.row") == F.col("row")).alias("kept"), "text_sha256"]
