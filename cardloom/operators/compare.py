@@ -1,16 +1,17 @@
 """Comparison of small sets of cards: relative scores, shared categories, rates, badges.
 
 ``sets (set_id, card_id, pos)`` has up to three rows a set. ``rates (card_id, category_id, rate,
-benefit_pos)`` has the first benefit of each category of a card. Work of a set stays partitioned by ``set_id``.
+benefit_pos)`` has the first benefit of each category of a card; rates have two decimals. Work of a set stays partitioned by ``set_id``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardloom.functions.numeric import percent, percent_difference, whole_div
+from cardloom.operators.ranking import medal
 
 MOST_CARDS = 3
 
@@ -24,10 +25,10 @@ def _category() -> WindowSpec:
 
 
 def first_rates(benefits: DataFrame) -> DataFrame:
-    """The first benefit of each card and category; a missing value is the rate 0. Rates are whole."""
+    """The first benefit of each card and category; a missing value is the rate 0. Rates keep their two decimals."""
     first = F.min_by(F.struct(F.col("benefit_value"), F.col("benefit_unit"), F.col("max_limit")), "benefit_pos")
     rows = benefits.groupBy("card_id", "category_id").agg(first.alias("b"), F.min("benefit_pos").alias("benefit_pos"))
-    return rows.select("card_id", "category_id", F.coalesce(F.col("b.benefit_value").cast("long"), F.lit(0).cast("long")).alias("rate"), F.col("b.benefit_unit").alias("unit"), F.col("b.max_limit").alias("max_limit"), "benefit_pos")
+    return rows.select("card_id", "category_id", F.coalesce(F.col("b.benefit_value"), F.lit(0)).cast("decimal(12,2)").alias("rate"), F.col("b.benefit_unit").alias("unit"), F.col("b.max_limit").alias("max_limit"), "benefit_pos")
 
 
 def at_least_two(sets: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def at_least_two(sets: DataFrame) -> DataFrame:
 
 
 def compare_scores(sets: DataFrame, cards: DataFrame, benefit_counts: DataFrame) -> DataFrame:
-    """Five parts relative to the set's maxima, their weighted total, and the place; ties keep the set's order.
+    """Five parts relative to the set's maxima, their weighted total, the place and its medal; ties keep the set's order.
 
     ``cards``: card_id, max_benefit, annual_fee_dom_basic, min_performance, rating_x10. ``benefit_counts``: card_id, n_benefits.
     """
@@ -49,7 +50,8 @@ def compare_scores(sets: DataFrame, cards: DataFrame, benefit_counts: DataFrame)
         (F.col("rating_x10") * 2).cast("long").alias("rating_score"), percent(F.col("n_benefits"), top["n_benefits"]).alias("diversity_score"),
     )
     total = whole_div(F.col("benefit_score") * 30 + F.col("fee_score") * 25 + F.col("spending_score") * 20 + F.col("rating_score") * 15 + F.col("diversity_score") * 10 + 50, F.lit(100))
-    return part.withColumn("total", total).withColumn("place", (F.row_number().over(_set().orderBy(F.desc("total"), "pos")) - 1).cast("long"))
+    placed = part.withColumn("total", total).withColumn("place", (F.row_number().over(_set().orderBy(F.desc("total"), "pos")) - 1).cast("long"))
+    return placed.withColumn("medal", medal(F.col("place") + 1))
 
 
 SUBJECTS = ("benefit_score", "fee_score", "spending_score", "rating_score", "diversity_score")
@@ -62,6 +64,11 @@ def score_matrix(scores: DataFrame) -> DataFrame:
     return wide.select("set_id", "subject", *[F.col(str(k)).alias(f"card{k}") for k in range(MOST_CARDS)])
 
 
+def cents(rate: Column) -> Column:
+    """Hundredths of a rate, so that ratios are exact in integers."""
+    return (rate * 100).cast("long")
+
+
 def set_rates(sets: DataFrame, rates: DataFrame) -> DataFrame:
     """Rates of the sets' cards."""
     return sets.join(rates, "card_id")
@@ -97,16 +104,17 @@ def shared_rows(rows: DataFrame) -> DataFrame:
 
 def shared_rate_diff(rows: DataFrame) -> DataFrame:
     """Against the average of the other cards, in percent; the bar against the best rate; all best ones are flagged."""
-    others = F.sum("rate").over(_category()) - F.col("rate")
-    best = F.max("rate").over(_category())
-    return shared_rows(rows).select("set_id", "category_id", "card_id", "rate", percent_difference(F.col("rate") * (F.col("n") - 1), others).alias("diff"), F.when(best > 0, percent(F.col("rate"), best)).otherwise(0).alias("bar"), (F.col("rate") == best).alias("is_best"))
+    own = cents(F.col("rate"))
+    others = F.sum(own).over(_category()) - own
+    best = F.max(own).over(_category())
+    return shared_rows(rows).select("set_id", "category_id", "card_id", "rate", percent_difference(own * (F.col("n") - 1), others).alias("diff"), F.when(best > 0, percent(own, best)).otherwise(0).alias("bar"), (own == best).alias("is_best"))
 
 
 def pair_headline(rows: DataFrame) -> DataFrame:
     """For sets of two and shared categories: the better card and by how many percent of the second one's rate; no row for a draw."""
     two = shared_rows(rows.filter("set_size = 2")).groupBy("set_id", "category_id").pivot("pos", [0, 1]).agg(F.max(F.struct("rate", "card_id")))
     a, b = F.col("0"), F.col("1")
-    diff = percent_difference(a["rate"], b["rate"])
+    diff = percent_difference(cents(a["rate"]), cents(b["rate"]))
     told = two.select("set_id", "category_id", F.when(diff > 0, a["card_id"]).otherwise(b["card_id"]).alias("winner"), diff.alias("d"))
     return told.filter("d <> 0").select("set_id", "category_id", "winner", F.abs("d").alias("by_percent"))
 

@@ -38,7 +38,7 @@ def popularity_ranking(rows: DataFrame, scope: list[str]) -> DataFrame:
 
 def with_issuer_meta(rows: DataFrame, meta: DataFrame, on: str) -> DataFrame:
     """Left join with the issuers' own table, which has one row an issuer."""
-    return rows.join(F.broadcast(meta), on, "left")
+    return rows.join(meta, on, "left")
 
 
 def issuer_top_n(cards: DataFrame, n: int = 5) -> DataFrame:
@@ -51,5 +51,5 @@ def candidate_cards(ranked: DataFrame, issuers: DataFrame | None = None) -> Data
     """The first card with rank 1 of each issuer; ``issuers (company, issuer_pos)`` gives the order, else the name does."""
     best = ranked.filter("card_rank = 1").groupBy("company").agg(F.min("card_id").alias("card_id"))
     if issuers is not None:
-        return best.join(F.broadcast(issuers), "company").select("company", "card_id", F.col("issuer_pos").alias("candidate_pos"))
+        return best.join(issuers, "company").select("company", "card_id", F.col("issuer_pos").alias("candidate_pos"))
     return best.select("company", "card_id", (F.row_number().over(W.orderBy("company")) - 1).cast("long").alias("candidate_pos"))

@@ -135,7 +135,7 @@ def _spend(d: Domain) -> DataFrame:
 
 def _candidate_rows(d: Domain) -> DataFrame:
     """Bridge rows of the candidates: one card an issuer."""
-    return d.bridge.join(F.broadcast(d.candidate.select("card_id")), "card_id")
+    return d.bridge.join(d.candidate.select("card_id"), "card_id")
 
 
 def _coverage(d: Domain) -> DataFrame:
@@ -187,7 +187,7 @@ def matched_benefits(d: Domain) -> DataFrame:
 
 @query
 def benefit_status(d: Domain) -> DataFrame:
-    firsts = d.first_category.select("card_id", "benefit_id", "benefit_pos", "category_id").join(F.broadcast(d.candidate.select("card_id")), "card_id")
+    firsts = d.first_category.select("card_id", "benefit_id", "benefit_pos", "category_id").join(d.candidate.select("card_id"), "card_id")
     return advice.benefit_status(advice.owned_benefits(d.owned, firsts), _spend(d), d.match_map)
 
 
@@ -226,7 +226,7 @@ def combo_coverage(d: Domain) -> DataFrame:
 
 @query
 def card_usage(d: Domain) -> DataFrame:
-    tx = d.transactions.join(F.broadcast(d.candidate.select("card_id", "candidate_pos")), "candidate_pos")
+    tx = d.transactions.join(d.candidate.select("card_id", "candidate_pos"), "candidate_pos")
     return spending.card_usage(tx, d.card_limit, F.lit(USAGE_MONTH).cast("timestamp"))
 
 
@@ -273,6 +273,11 @@ def _rates(d: Domain) -> DataFrame:
     return compare.set_rates(_sets(d), compare.first_rates(d.first_category))
 
 
+def _plain(rows: DataFrame) -> DataFrame:
+    """Rates as doubles."""
+    return rows.withColumns({c: F.col(c).cast("double") for c in rows.columns if c.startswith("rate")})
+
+
 def _scores(d: Domain) -> DataFrame:
     counts = d.benefit.groupBy("card_id").agg(F.count(F.lit(1)).alias("n_benefits"))
     cards = d.card.select("card_id", "max_benefit", "annual_fee_dom_basic", "min_performance", "rating_x10")
@@ -301,17 +306,17 @@ def shared_categories(d: Domain) -> DataFrame:
 
 @query
 def rate_matrix(d: Domain) -> DataFrame:
-    return compare.rate_matrix(_rates(d))
+    return _plain(compare.rate_matrix(_rates(d)))
 
 
 @query
 def benefit_cells(d: Domain) -> DataFrame:
-    return compare.benefit_cells(_sets(d), _rates(d))
+    return _plain(compare.benefit_cells(_sets(d), _rates(d)))
 
 
 @query
 def shared_rate_diff(d: Domain) -> DataFrame:
-    return compare.shared_rate_diff(_rates(d))
+    return _plain(compare.shared_rate_diff(_rates(d)))
 
 
 @query
@@ -321,7 +326,7 @@ def pair_headline(d: Domain) -> DataFrame:
 
 @query
 def best_badge(d: Domain) -> DataFrame:
-    return compare.best_badge(_rates(d))
+    return _plain(compare.best_badge(_rates(d)))
 
 
 @query

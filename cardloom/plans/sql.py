@@ -21,7 +21,7 @@ benefit AS (
   SELECT l_partkey || '-' || benefit_pos AS benefit_id, l_partkey AS card_id, benefit_pos,
          CASE WHEN l_returnflag <> 'N' THEN 'T' || (l_suppkey % 4) END AS benefit_title,
          CASE WHEN l_suppkey % 7 <> 0 THEN 'C' || (l_suppkey % 6) END AS benefit_content,
-         CASE WHEN round(l_tax * 100)::INT <> 8 THEN round(l_discount * 200)::DECIMAL(12, 2) END AS benefit_value,
+         CASE WHEN round(l_tax * 100)::INT <> 8 THEN (round(l_discount * 200) + l_suppkey % 4 * 0.25)::DECIMAL(12, 2) END AS benefit_value,
          CASE WHEN l_linestatus = 'O' THEN '%' END AS benefit_unit,
          CASE WHEN NOT (round(l_discount * 100)::INT = 1 AND round(l_tax * 100)::INT = 0) THEN round(l_extendedprice / 100)::BIGINT END AS max_limit,
          l_suppkey, l_linenumber, l_quantity
@@ -74,7 +74,7 @@ item AS (
 sets AS (SELECT * FROM (SELECT set_id, card_id, pos, count(*) OVER (PARTITION BY set_id) AS set_size FROM item) WHERE set_size >= 2),
 firsts AS (SELECT b.*, c.category_id FROM benefit b JOIN (SELECT benefit_id, min(category_id) AS category_id FROM bridge GROUP BY ALL) c USING (benefit_id)),
 rate AS (
-  SELECT card_id, category_id, coalesce(benefit_value, 0)::BIGINT AS rate, benefit_unit AS unit, max_limit, benefit_pos
+  SELECT card_id, category_id, coalesce(benefit_value, 0)::DOUBLE AS rate, (coalesce(benefit_value, 0) * 100)::BIGINT AS cents, benefit_unit AS unit, max_limit, benefit_pos
   FROM (SELECT *, row_number() OVER (PARTITION BY card_id, category_id ORDER BY benefit_pos) AS k FROM firsts) WHERE k = 1),
 rates AS (SELECT * FROM sets JOIN rate USING (card_id)),
 counts AS (SELECT card_id, count(*) AS n_benefits FROM benefit GROUP BY ALL),
@@ -165,7 +165,7 @@ QUERIES = {
     "ranking_with_issuer": """SELECT month, card_id, place, company, n_cards, top_benefit FROM popular JOIN card USING (card_id)
         LEFT JOIN (SELECT company, count(*) AS n_cards, max(max_benefit) AS top_benefit FROM card GROUP BY ALL HAVING count(*) > 2) USING (company)""",
     "issuer_top5": """SELECT company, card_id, place FROM (SELECT company, card_id, row_number() OVER (PARTITION BY company ORDER BY CASE WHEN card_id % 9 <> 0 THEN card_rank ELSE 99 END, card_id) AS place FROM card_rank) WHERE place <= 5""",
-    "compare_scores": "SELECT * FROM scores",
+    "compare_scores": "SELECT *, CASE WHEN place <= 2 THEN place + 1 END AS medal FROM scores",
     "score_unpivot": """SELECT set_id, subject, max(score) FILTER (pos = 0) AS card0, max(score) FILTER (pos = 1) AS card1, max(score) FILTER (pos = 2) AS card2
         FROM (UNPIVOT (SELECT set_id, pos, benefit_score, fee_score, spending_score, rating_score, diversity_score FROM scores)
               ON benefit_score, fee_score, spending_score, rating_score, diversity_score INTO NAME subject VALUE score) GROUP BY ALL""",
@@ -176,11 +176,11 @@ QUERIES = {
     "benefit_cells": """SELECT s.set_id, s.card_id, c.category_id, r.rate, r.unit, r.max_limit FROM sets s JOIN (SELECT DISTINCT set_id, category_id FROM rates) c USING (set_id)
         LEFT JOIN rates r ON r.set_id = s.set_id AND r.pos = s.pos AND r.category_id = c.category_id""",
     "shared_rate_diff": """SELECT set_id, category_id, card_id, rate, CASE WHEN a = 0 AND b = 0 THEN 0 WHEN b = 0 THEN 100 ELSE (200 * a + b) // (2 * b) - 100 END AS diff,
-          CASE WHEN m > 0 THEN (200 * rate + m) // (2 * m) ELSE 0 END AS bar, rate = m AS is_best FROM (
-          SELECT *, rate * (n - 1) AS a, (sum(rate) OVER w - rate)::BIGINT AS b, max(rate) OVER w AS m FROM shared WINDOW w AS (PARTITION BY set_id, category_id))""",
+          CASE WHEN m > 0 THEN (200 * cents + m) // (2 * m) ELSE 0 END AS bar, cents = m AS is_best FROM (
+          SELECT *, cents * (n - 1) AS a, (sum(cents) OVER w - cents)::BIGINT AS b, max(cents) OVER w AS m FROM shared WINDOW w AS (PARTITION BY set_id, category_id))""",
     "pair_headline": """SELECT set_id, category_id, CASE WHEN d > 0 THEN c0 ELSE c1 END AS winner, abs(d) AS by_percent FROM (
           SELECT *, CASE WHEN a = 0 AND b = 0 THEN 0 WHEN b = 0 THEN 100 ELSE (200 * a + b) // (2 * b) - 100 END AS d FROM (
-            SELECT set_id, category_id, max(rate) FILTER (pos = 0) AS a, max(rate) FILTER (pos = 1) AS b, max(card_id) FILTER (pos = 0) AS c0, max(card_id) FILTER (pos = 1) AS c1
+            SELECT set_id, category_id, max(cents) FILTER (pos = 0) AS a, max(cents) FILTER (pos = 1) AS b, max(card_id) FILTER (pos = 0) AS c0, max(card_id) FILTER (pos = 1) AS c1
             FROM shared WHERE set_size = 2 GROUP BY ALL)) WHERE d <> 0""",
     "best_badge": """SELECT set_id, category_id, card_id, rate FROM (
           SELECT *, sum((rate = m)::INT) OVER (PARTITION BY set_id, category_id) AS ties FROM (SELECT *, max(rate) OVER (PARTITION BY set_id, category_id) AS m FROM rates))

@@ -47,7 +47,7 @@ class Domain:
             F.concat(F.col("l_partkey").cast("string"), F.lit("-"), F.col("benefit_pos").cast("string")).alias("benefit_id"), F.col("l_partkey").alias("card_id"), "benefit_pos",
             F.when(F.col("l_returnflag") != "N", F.concat(F.lit("T"), (F.col("l_suppkey") % 4).cast("string"))).alias("benefit_title"),
             F.when(F.col("l_suppkey") % 7 != 0, F.concat(F.lit("C"), (F.col("l_suppkey") % 6).cast("string"))).alias("benefit_content"),
-            F.when(tax != 8, F.round(F.col("l_discount") * 200).cast("decimal(12,2)")).alias("benefit_value"),
+            F.when(tax != 8, (F.round(F.col("l_discount") * 200) + F.col("l_suppkey") % 4 * 0.25).cast("decimal(12,2)")).alias("benefit_value"),
             F.when(F.col("l_linestatus") == "O", "%").alias("benefit_unit"),
             F.when(~((off == 1) & (tax == 0)), F.round(F.col("l_extendedprice") / 100).cast("long")).alias("max_limit"),
             self._category_ids.alias("category_ids"),
@@ -84,7 +84,7 @@ class Domain:
     def owned(self) -> DataFrame:
         u = F.col("c_custkey")
         places = self.raw("customer").select(u.alias("user_id"), F.explode(F.array_distinct(F.array(u % 25, (u * 7 + 3) % 25, (u * 11 + 5) % 25))).alias("candidate_pos"))
-        return places.join(F.broadcast(self.candidate), "candidate_pos").select("user_id", "card_id", "candidate_pos")
+        return places.join(self.candidate, "candidate_pos").select("user_id", "card_id", "candidate_pos")
 
     @cached_property
     def transactions(self) -> DataFrame:

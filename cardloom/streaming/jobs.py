@@ -24,7 +24,10 @@ def monthly_from_days(days: DataFrame) -> DataFrame:
 
 
 def recent_views_stream(events: DataFrame, n: int = VIEWS) -> DataFrame:
-    """The last ``n`` distinct cards of each user, kept live: state is a list of ``n`` at most. Update mode; a batch's rows replace the user's list."""
+    """The last ``n`` distinct cards of each user, kept live: state is a list of ``n`` at most. Update mode; a batch's rows replace the user's list.
+
+    Rows without a card or a time are left out. State stays for every user who ever had a view: the history has no end date.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cards, times = state.get if state.exists else ([], [])
@@ -36,7 +39,7 @@ def recent_views_stream(events: DataFrame, n: int = VIEWS) -> DataFrame:
         state.update(([c for c, _ in kept], [t for _, t in kept]))
         yield pd.DataFrame({"user_id": key[0], "card_id": [c for c, _ in kept], "place": range(1, len(kept) + 1)})
 
-    timed = events.select("user_id", "card_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    timed = events.select("user_id", "card_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")).filter("card_id IS NOT NULL AND micros IS NOT NULL")
     return timed.groupBy("user_id").applyInPandasWithState(update, "user_id long, card_id long, place long", "cards array<long>, times array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
