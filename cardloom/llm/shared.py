@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster sets it.
 
-    Only where it is unset (tests on one machine) a temporary folder is chosen and set.
+    Only where it is unset on one machine, as in tests, a temporary folder is chosen and set; on a cluster that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named
