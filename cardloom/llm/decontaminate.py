@@ -1,7 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
 Texts become template tokens (see ``templates``). Windows of the documents hash-join those of the benchmark, in up to three readings:
-with no names, with those inside sentences, and with every capital as a name's. So a question asked again
+with no names, with those inside sentences, and with every capital as a name's. A name that opens a sentence of
+a document stands for one that opens a sentence of the item; one inside a sentence stands for any name of the item. So a question asked again
 with other numbers and names is caught, and so is a copy in other capitals. A window with too few words
 besides its placeholders is hashed by its values instead: a copy of it is caught, any other filling is not.
 
@@ -63,10 +64,10 @@ def _hits(texts: list[str], sizes: list[int] | None, screen: np.ndarray | None)
         readings = [(t.windows(t.template(plain), n), fits & (slots + LITERAL <= n), plain)]
         if (few := fits & (slots + LITERAL > n)).any():
             readings.append((t.windows(t.value, n) ^ _LITERAL_SALT, few, np.zeros(n_tokens, bool)))
-        for reading, before in ((inner, plain), (every, inner)):
+        for reading, before, opening in ((inner, plain, False), (every, inner, True), *([(every, inner, False)] if sizes is None else [])):
             more = fits & (count(reading & ~before) > 0) & (count(reading) + LITERAL <= n)
             if more.any():
-                readings.append((t.windows(t.template(reading), n), more, reading))
+                readings.append((t.windows(t.template(reading, opening), n), more, reading))
         for hashes, ok, slot in readings:
             at = np.flatnonzero(ok)
             h = hashes[at]

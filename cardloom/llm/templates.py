@@ -6,8 +6,8 @@ lower-cased characters; all tokens of a batch of texts are found and hashed at o
 
 * ``NUMBER``: digits and no letter (``3,000``, ``2+2``); ``MEASURE``: letters behind a digit (``5kg``, ``1st``).
 * ``UNIT``: a unit of measure directly behind a number. The same word elsewhere is a word.
-* ``NAME``: two characters or more with a capital first. At the start of a sentence that may be a word as well,
-  and a text in small letters has no names, so windows are read in several ways (see ``decontaminate``).
+* ``NAME``: two characters or more with a capital first, but for function words. At the start of a sentence that may be a word as
+  well, and a text in small letters has no names, so windows are read in several ways (see ``decontaminate``).
 """
 
 from __future__ import annotations
@@ -32,6 +32,13 @@ _OTHER = (
 ).split()
 UNITS = frozenset([*(p + y for p in _PREFIX for y in _SYMBOL), *(x + s for x in (*(p + y for p in _PREFIX.values() for y in _NAME), *_OTHER) for s in ("", "s", "n", "e", "es"))])
 
+# Words that open sentences and are no names.
+FUNCTION_WORDS = frozenset(
+    "the an this that these those what which who whom whose when where why how if in on at by to of for from with as and or but so then there here "
+    "is are was were do does did can could will would should may he she it we they you his her its our their my your not no after before while during each every "
+    "le la les un une des el los las uno una der die das ein eine qué que quel quelle wie was wer wo wann cuál quién dónde cuándo comment pourquoi warum".split()
+)
+
 # ---------------------------------------------------------------- characters
 
 _SPACE, _LETTER, _DIGIT, _UPPER, _ALONE, _CLOSER, _STOP = (1 << i for i in range(7))
@@ -168,8 +175,10 @@ class Tokens:
         name = self.kind == NAME
         return [plain, plain | (name & ~self.initial), plain | name]
 
-    def template(self, slot: np.ndarray) -> np.ndarray:
-        return np.where(slot, _PLACEHOLDER[self.kind], self.value)
+    def template(self, slot: np.ndarray, opening: bool = False) -> np.ndarray:
+        """Hashes of the template tokens. ``opening``: names that open a sentence have a placeholder of their own."""
+        kind = np.where(self.initial & (self.kind == NAME), NONE, self.kind) if opening else self.kind
+        return np.where(slot, _PLACEHOLDER[kind], self.value)
 
 
 def tokens_of(texts: list[str]) -> Tokens:
@@ -198,10 +207,12 @@ def tokens_of(texts: list[str]) -> Tokens:
     initial[1:] = stop[:-1] | (text[1:] != text[:-1])
     kept = kind != NONE
     value, kind, initial, text = value[kept], kind[kept], initial[kept], text[kept]
+    named = np.flatnonzero(kind == NAME)
+    kind[named[np.isin(value[named], _FUNCTION_VALUES)]] = WORD
     after = 1 + np.flatnonzero((kind[:-1] == NUMBER) & (text[1:] == text[:-1]))
     kind[after[np.isin(value[after], _UNIT_VALUES) & ((kind[after] == WORD) | (kind[after] == NAME))]] = UNIT
     counts = np.bincount(text, minlength=len(texts))
     return Tokens(value, kind, initial, text, np.repeat(np.cumsum(counts), counts), counts)
 
 
-_UNIT_VALUES = np.unique(_raw(sorted(UNITS))[0])
+_UNIT_VALUES, _FUNCTION_VALUES = (np.unique(_raw(sorted(x))[0]) for x in (UNITS, FUNCTION_WORDS))

@@ -55,7 +55,7 @@ def kinds(text):
             elif number_before and core.lower() in templates.UNITS:
                 kind = "unit"
             else:
-                kind = "name" if core[0].isupper() and len(core) > 1 else "word"
+                kind = "name" if core[0].isupper() and len(core) > 1 and core.lower() not in templates.FUNCTION_WORDS else "word"
             out.append((kind, core.lower(), starts))
             number_before = kind == "number"
         told = t.rstrip("\"'”’»)]")
@@ -71,9 +71,9 @@ def windows(text, sizes):
             some = t[at : at + n]
             plain = [k in ("number", "unit", "measure") for k, _, _ in some]
             readings = [plain, [p or (k == "name" and not s) for p, (k, _, s) in zip(plain, some, strict=True)], [p or k == "name" for p, (k, _, _) in zip(plain, some, strict=True)]]
-            for slot in readings:
+            for slot, opening in [*((r, False) for r in readings[: 2 if sizes else 3]), (readings[2], True)]:
                 if n - sum(slot) >= LITERAL:
-                    yield tuple(k if x else (v,) for x, (k, v, _) in zip(slot, some, strict=True)), at, {i: v for i, (x, (_, v, _)) in enumerate(zip(slot, some, strict=True)) if x}
+                    yield tuple((k, opening and k == "name" and s) if x else (v,) for x, (k, v, s) in zip(slot, some, strict=True)), at, {i: v for i, (x, (_, v, _)) in enumerate(zip(slot, some, strict=True)) if x}
             if n - sum(plain) < LITERAL:
                 yield ("values", *(v for _, v, _ in some)), at, {}
 
@@ -183,5 +183,5 @@ def test_kinds():
     got = templates.tokens_of([text, "", text])
     want = kinds(text)
     assert got.kind.tolist() == [names[k] for k, _, _ in want] * 2 and got.initial.tolist() == [s for _, _, s in want] * 2
-    assert [k for k, _, _ in want] == ["name", "word", "number", "unit", "word", "measure", "measure", "number", "name", "number", "name", "word", "number", "unit", "word", "word", "name"]
+    assert [k for k, _, _ in want] == ["name", "word", "number", "unit", "word", "measure", "measure", "number", "name", "number", "word", "word", "number", "unit", "word", "word", "name"]
     assert got.value[0] == templates.value_of("tom")
