@@ -1,9 +1,10 @@
 """Language identification by Bayesian fusion of evidence.
 
 For each page four kinds of evidence meet: the likelihood of its text under a trigram model of each
-language, the language that its markup declares, the suffix of its address, and the prior of its host.
-The priors come from grouped sums of what the texts say, smoothed level by level: a host leans on its
-domain, a domain on its suffix, a suffix on all pages.
+language, that of the language its markup declares, that of its address suffix, and the prior of its host.
+All but the first come from grouped sums of what the texts of the other pages say: how often pages of a
+language declare this language or have this suffix, and a host's shares, smoothed level by level (a host
+leans on its domain, a domain on all pages). A page's own text is taken out of every sum that judges it.
 """
 
 from __future__ import annotations
@@ -135,17 +136,27 @@ def _total(share: Column) -> Column:
     return F.aggregate(share, F.lit(0.0), lambda a, x: a + x)
 
 
+def _without(share: Column, own: Column) -> Column:
+    """Sums without a page's own shares."""
+    return F.zip_with(share, own, lambda s, o: F.greatest(s - o, F.lit(0.0)))
+
+
 def smoothed(share: Column, above: Column) -> Column:
     """Shares of a level, leaning on the level above."""
     return F.zip_with(share, above, lambda s, a: (s + STRENGTH * a) / (_total(share) + STRENGTH))
 
 
+def log_likelihood(share: Column, everywhere: Column, kinds: int) -> Column:
+    """For each language, the log probability that its pages are of a kind with these sums, where ``kinds`` of them occur."""
+    return F.zip_with(share, everywhere, lambda s, e: F.log((s + 1.0) / (e + kinds)))
+
+
 def identify_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """Language of every row of ``pages (page_id, url, html, ...)``, with models from all of ``docs (text, lang, ...)``.
 
     Returns ``page_id, lang, probability, text_lang, declared``; ``text_lang`` is what the text alone says.
 
-    * A page's own text is taken out of its host's sums before these judge it.
+    * A page's own text is taken out of the sums of its host, domain, suffix and declared language before these judge it.
     * Without text, declared language or host (null or empty columns) the other evidence decides; ties go to the first language in order.
     * Languages are those of ``docs``; without any, lang and probability are null. Pages of other languages get the nearest.
     * Repeated rows all stay. No pages give no rows. Other columns are ignored.
@@ -161,27 +172,34 @@ def identify_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     host = cut(_sums(rows, ["suffix", "domain", "host"], n))
     domain = _sums(host, ["suffix", "domain"], n)
-    suffix = _sums(domain, ["suffix"], n)
-    everywhere = suffix.agg(*[F.sum(F.col("share")[i]) for i in range(n)]).first()
-    total = sum(x or 0.0 for x in everywhere)
-    base = F.array(*[F.lit(((x or 0.0) + 1.0) / (total + n)) for x in everywhere])
-    of_suffix = suffix.select("suffix", smoothed(F.col("share"), base).alias("up"))
-    of_domain = domain.join(of_suffix, "suffix").select("domain", "suffix", smoothed(F.col("share"), F.col("up")).alias("up"))
-    of_host = cut(host.withColumnRenamed("share", "host_share").join(of_domain, ["domain", "suffix"]).select("host", "host_share", "up"))
-
+    suffix = cut(_sums(domain, ["suffix"], n))
     # At most 26**2 + 26**3 declared languages match the pattern.
-    said = _sums(rows.filter("declared IS NOT NULL"), ["declared"], n)
-    all_said = said.agg(*[F.sum(F.col("share")[i]) for i in range(n)], F.count("declared")).first()
-    kinds = all_said[n] + 1
-    spread = F.array(*[F.lit((all_said[i] or 0.0) + kinds) for i in range(n)])
-    told_log = said.select("declared", F.zip_with("share", spread, lambda s, t: F.log((s + 1.0) / t)).alias("said_log"))
-
-    judged = rows.join(of_host, "host").join(F.broadcast(told_log), "declared", "left")
-    others = F.zip_with("host_share", "share", lambda h, s: F.greatest(h - s, F.lit(0.0)))
-    prior = F.transform(smoothed(others, F.col("up")), lambda p: F.log(p))
+    said = cut(_sums(rows.filter("declared IS NOT NULL"), ["declared"], n))
+
+    def all_of(sums: DataFrame, key: str) -> tuple[Column, int]:
+        """Sums over every kind, and the number of kinds."""
+        found = sums.agg(*[F.sum(F.col("share")[i]) for i in range(n)], F.count(key)).first()
+        return F.array(*[F.lit(x or 0.0) for x in found[:n]]), found[n]
+
+    everywhere, _ = all_of(suffix, "suffix")
+    named, suffixes = all_of(suffix.filter("suffix <> ''"), "suffix")
+    declaring, kinds = all_of(said, "declared")
+    of_domain = domain.withColumnRenamed("share", "domain_share").join(suffix.withColumnRenamed("share", "suffix_share"), "suffix").drop("suffix")
+    of_host = cut(host.select("host", "domain", F.col("share").alias("host_share")).join(of_domain, "domain").drop("domain"))
+
+    told_of = said.withColumnRenamed("share", "said_share")
+    judged = rows.drop("domain").join(of_host, "host").join(F.broadcast(told_of), "declared", "left")
+    own = F.col("share")
+    base = F.transform(_without(everywhere, own), lambda x: x + 1.0)
+    base = F.transform(base, lambda x: x / _total(base))
+    prior = smoothed(_without(F.col("host_share"), own), smoothed(_without(F.col("domain_share"), own), base))
     silent = F.array(*[F.lit(0.0)] * n)
-    fused = F.zip_with(F.zip_with(F.col("text_log"), prior, lambda a, b: a + b), F.coalesce("said_log", silent), lambda a, b: a + b)
+    by_suffix = F.when(F.col("suffix") != "", log_likelihood(_without(F.col("suffix_share"), own), _without(named, own), suffixes)).otherwise(silent)
+    by_markup = F.coalesce(log_likelihood(_without(F.col("said_share"), own), _without(declaring, own), kinds), silent)
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    told_prior = judged.select("page_id", "declared", "share", "text_log", prior.alias("prior"), by_suffix.alias("by_suffix"), by_markup.alias("by_markup"))
+    fused = add(add(F.col("text_log"), F.transform("prior", lambda p: F.log(p))), add(F.col("by_suffix"), F.col("by_markup")))
     names = F.array(*[F.lit(x) for x in langs])
-    found = judged.select("page_id", "declared", softmax(fused).alias("p"), "share")
+    found = told_prior.select("page_id", "declared", softmax(fused).alias("p"), "share")
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     return found.select("page_id", best(F.col("p")).alias("lang"), F.array_max("p").alias("probability"), best(F.col("share")).alias("text_lang"), "declared")

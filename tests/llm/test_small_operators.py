@@ -1,5 +1,7 @@
+import collections
 import html
 import math
+import re
 
 import numpy as np
 import pytest
@@ -151,6 +153,56 @@ def test_evidence_beside_the_text(spark, docs):
     assert language_id.identify_languages(spark.createDataFrame([], "page_id long, url string, html string"), train).count() == 0
 
 
+def test_fusion_is_the_brute_force_one(spark, docs):
+    """Every sum is taken again for each page over the other pages alone."""
+    train = docs.select("text", "lang")
+    some = docs.filter("length(text) > 100").orderBy("doc_id").limit(60).collect()
+    rows = [(r.doc_id, [f"http://h{k % 3}.a.{r.lang}/", f"http://b{k % 2}.site.com/x", "no url"][k % 3 if k % 4 else 0], f"<html lang='{['en', r.lang, 'xx'][k % 3]}'>" * (k % 5 > 0) + "<p>" + html.escape(r.text)[: 40 + 30 * k]) for k, r in enumerate(some)]
+    rows += [(-1, None, None), (-2, "http://h1.a.de/", ""), (-3, "http://h1.a.de/", ""), (-4, "http://new.q/", "<html lang=fr>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    langs, model = language_id.trigram_model(train)
+    log = {r.page_id: np.array(r.text_log) for r in language_id.text_evidence(pages.select("page_id", "html"), model).collect()}
+    share = {i: np.exp(x - x.max()) / np.exp(x - x.max()).sum() for i, x in log.items()}
+    told = {i: (m.group(1).lower() if (m := re.search(language_id.DECLARED, h or "")) else None) for i, _, h in rows}
+    host = {i: u.split("://")[1].split("/")[0] if u and "://" in u else "" for i, u, _ in rows}
+    domain = {i: ".".join(h.split(".")[-2:]) for i, h in host.items()}
+    suffix = {i: h.split(".")[-1] for i, h in host.items()}
+
+    def others(i, kind, value):
+        return sum((share[j] for j in share if j != i and (kind is None or kind[j] == value)), np.zeros(len(langs)))
+
+    def fits(i, kind):
+        if not kind[i]:
+            return np.zeros(len(langs))
+        known = sum((share[j] for j in share if j != i and kind[j]), np.zeros(len(langs)))
+        return np.log((others(i, kind, kind[i]) + 1) / (known + len({x for x in kind.values() if x})))
+
+    got = {r.page_id: r for r in language_id.identify_languages(pages, train).collect()}
+    assert len(got) == len(rows)
+    for i in share:
+        prior = (others(i, None, None) + 1) / (others(i, None, None) + 1).sum()
+        for kind in (domain, host):
+            mine = others(i, kind, kind[i])
+            prior = (mine + language_id.STRENGTH * prior) / (mine.sum() + language_id.STRENGTH)
+        fused = log[i] + np.log(prior) + fits(i, suffix) + fits(i, told)
+        p = np.exp(fused - fused.max()) / np.exp(fused - fused.max()).sum()
+        assert abs(got[i].probability - p.max()) < 1e-9 and abs(p[langs.index(got[i].lang)] - p.max()) < 1e-9
+        assert got[i].declared == told[i]
+
+
+def test_trigram_model_is_the_brute_force_one(spark, docs):
+    train = docs.select("text", "lang")
+    langs, model = language_id.trigram_model(train)
+    counts = {x: collections.Counter() for x in langs}
+    for r in train.filter("text IS NOT NULL AND lang IS NOT NULL").collect():
+        for ids in language_id.trigram_ids(r.text):
+            counts[r.lang].update(ids.tolist())
+    wide = 1 << language_id.HASH_BITS
+    for k, lang in enumerate(langs):
+        expected = np.log((np.array([counts[lang][i] for i in range(wide)]) + 0.5) / (sum(counts[lang].values()) + 0.5 * wide))
+        assert np.allclose(model[k], expected, atol=1e-4)
+
+
 @pytest.mark.parametrize("text", ["", "a", "ab"])
 def test_short_texts_have_features_or_none(text):
     assert sum(len(x) for x in toxicity.ngram_ids(text)) >= 0 and sum(len(x) for x in language_id.trigram_ids(text)) >= 0
