@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,14 +49,35 @@ def favourites(toggles: DataFrame) -> DataFrame:
 
 
 def compare_basket(toggles: DataFrame, most: int = BASKET) -> DataFrame:
-    """What each user's basket holds after all toggles in time order, where additions to a full basket are ignored."""
-    events = toggles.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "card_id"))).alias("e"))
+    """What each user's basket holds after all toggles in time order, where additions to a full basket are ignored.
 
-    def step(held, event):
-        card = event["card_id"]
-        return F.when(F.array_contains(held, card), F.array_remove(held, card)).when(F.size(held) < most, F.array_append(held, card)).otherwise(held)
+    Every toggle depends on those before it, so a user's toggles stream in order through one task, which holds one
+    basket at a time, however many they are. Toggles without a card change nothing.
+    """
 
-    return events.select("user_id", F.concat_ws(",", F.transform(F.aggregate("e", F.array().cast("array<bigint>"), step), lambda x: x.cast("string"))).alias("basket"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, held, begun = None, [], False
+        for batch in batches:
+            done = []
+            for who, card in zip(batch.column("user_id").to_pylist(), batch.column("card_id").to_pylist(), strict=True):
+                if begun and who != user:
+                    done.append((user, held))
+                if not begun or who != user:
+                    user, held, begun = who, [], True
+                if card in held:
+                    held.remove(card)
+                elif card is not None and len(held) < most:
+                    held.append(card)
+            yield _baskets(done, batch.schema.field("user_id").type)
+        if begun:
+            yield _baskets([(user, held)], batch.schema.field("user_id").type)
+
+    ordered = toggles.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id", "card_id").select("user_id", "card_id")
+    return ordered.mapInArrow(fold, f"user_id {ordered.schema['user_id'].dataType.simpleString()}, basket string")
+
+
+def _baskets(done: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([u for u, _ in done], key), pa.array([",".join(map(str, h)) for _, h in done], pa.string())], ["user_id", "basket"])
 
 
 def parse_history(rows: DataFrame) -> DataFrame:

@@ -149,6 +149,19 @@ def test_basket_ignores_a_fourth(spark):
     assert history.compare_basket(spark.createDataFrame(toggles, "user_id long, event_id long, ts timestamp, card_id long")).first().basket == "2,3,4"
 
 
+def test_baskets_of_many_users_and_odd_rows(spark):
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    schema = "user_id long, event_id long, ts timestamp, card_id long"
+    toggles = [(1, 1, at(1), 7), (1, 2, at(1), None), (1, 3, at(2), 8), (1, 4, None, 9), (2, 5, at(1), None), (None, 6, at(3), 5), (3, 7, at(1), 4), (3, 8, at(2), 4)]
+    toggles += [(4, 100 + m, at(m % 50), m % 2) for m in range(30_001)]
+    got = {r.user_id: r.basket for r in history.compare_basket(spark.createDataFrame(toggles, schema)).collect()}
+    held = []
+    for _, _, c in sorted((t, e, c) for u, e, t, c in toggles if u == 4):
+        held = [x for x in held if x != c] if c in held else [*held, c]
+    assert got == {1: "9,7,8", 2: "", None: "5", 3: "", 4: ",".join(map(str, held))}
+    assert history.compare_basket(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_stored_histories(spark):
     got = history.parse_history(spark.createDataFrame([(1, "[3,1]", "[[1,2]]"), (2, "x", None)], "user_id long, viewed string, compared string")).orderBy("user_id").collect()
     assert (got[0].viewed, got[0].compared, got[1].viewed, got[1].compared) == ([3, 1], [[1, 2]], None, None)
