@@ -149,12 +149,12 @@ def benefit_groups(detail: DataFrame) -> DataFrame:
     title = F.coalesce(F.nullif("benefit_title", F.lit("")), F.nullif("benefit_content", F.lit("")), F.lit(OTHER_TITLE))
     rows = detail.filter(F.col("benefit_id").isNotNull() & (F.col("category") != OTHER)).withColumn("title", title)
     content = F.nullif("benefit_content", F.lit(""))
-    grouped = rows.groupBy("card_id", "category", "title").agg(
-        F.min("benefit_pos").alias("first_pos"), F.min_by("value_text", "benefit_pos").alias("value_text"), F.min_by(F.struct("max_limit"), "benefit_pos")["max_limit"].alias("max_limit"),
-        F.sort_array(F.collect_list(F.when(content.isNotNull(), F.struct("benefit_pos", content.alias("c"))))).alias("found"),
-    )
+    head = F.min(F.struct("benefit_pos", "value_text", "max_limit")).alias("head")
+    once = rows.groupBy("card_id", "category", "title", content.alias("c")).agg(head)  # a content that repeats is one row before anything is gathered
+    found = F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("head.benefit_pos", "c")))).alias("found")
+    grouped = once.groupBy("card_id", "category", "title").agg(F.min("head").alias("head"), found).select("card_id", "category", "title", F.col("head.benefit_pos").alias("first_pos"), "head.value_text", "head.max_limit", "found")
     first = F.min_by("title", "first_pos").over(W.partitionBy("card_id", "category"))
-    return grouped.select("card_id", "category", "title", "value_text", "max_limit", F.concat_ws("|", F.array_distinct(F.col("found.c"))).alias("contents"), first.alias("preview"))
+    return grouped.select("card_id", "category", "title", "value_text", "max_limit", F.concat_ws("|", F.col("found.c")).alias("contents"), first.alias("preview"))
 
 
 def selected_category_hits(benefits: DataFrame, selected: list[str], keywords: dict[str, tuple] | None = None) -> DataFrame:
