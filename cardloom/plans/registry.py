@@ -12,9 +12,11 @@ from cardloom.operators import accounts, advice, catalogue, compare, history, qu
 from cardloom.plans import sql
 from cardloom.sources import dims
 from cardloom.sources.fixtures import Domain
+from cardloom.streaming import jobs
 
 KEYWORDS = {"A": ("ring",), "B": ("widget", "bolt"), "C": ()}
 USAGE_MONTH = "1997-06-01"
+ISSUERS_ALLOWED = sql.ISSUERS_ALLOWED
 
 _FOUND: dict[str, Callable[[Domain], DataFrame]] = {}
 
@@ -384,3 +386,64 @@ def money_labels(d: Domain) -> DataFrame:
 @query
 def unmapped_categories(d: Domain) -> DataFrame:
     return quality.unmapped_categories(d.bridge, d.match_map, "category_id")
+
+
+# ---------------------------------------------------------------- arms of operators that no other query takes
+
+
+@query
+def issuer_names(d: Domain) -> DataFrame:
+    """Issuers named by short name, long name or a name that the alias table lacks."""
+    names = [short for _, short, *_ in dims.ISSUERS] + [name for name, *_ in dims.ISSUERS]
+    named = F.coalesce(F.get(F.array(*map(F.lit, names)), (F.col("card_id") % (len(names) + 1)).cast("int")), F.col("company"))
+    return catalogue.canonical_issuer(d.card.select("card_id", named.alias("named")), "named").select("card_id", "named", "issuer")
+
+
+@query
+def benefit_kinds(d: Domain) -> DataFrame:
+    """Labels of a benefit's kind in both vocabularies; some kinds are null or unknown."""
+    kind = F.get(F.array(*map(F.lit, [*dims.KIND_LABELS["comparison"], "gift"])), (F.col("card_id") % 6).cast("int"))
+    label = {v: catalogue.decode_benefit_kind(kind, v).alias(v) for v in dims.KIND_LABELS}
+    return d.benefit.select("benefit_id", label["comparison"], label["ranking"])
+
+
+@query
+def card_lookup(d: Domain) -> DataFrame:
+    """Cards asked for by key, and the keys that no card has."""
+    hits, misses = catalogue.lookup_cards(d.card.select("card_id", "card_name"), d.engagement.select((F.col("card_id") * 7).alias("card_id")).distinct())
+    return hits.select("card_id", "card_name", F.lit(True).alias("found")).unionByName(misses.select("card_id", F.lit(None).cast("string").alias("card_name"), F.lit(False).alias("found")))
+
+
+@query
+def ranking_of_issuers(d: Domain) -> DataFrame:
+    """Popularity of the cards of allowed issuers, and of one issuer's credit cards among them."""
+    monthly = ranking.engagement_monthly(d.engagement).join(d.card.select("card_id", "company", "card_type"), "card_id")
+    allowed = ranking.filter_ranked(monthly, allowed=ISSUERS_ALLOWED)
+    one = ranking.filter_ranked(allowed, card_type="신용", issuer=ISSUERS_ALLOWED[0])
+    arms = [ranking.popularity_ranking(rows, ["month"]).withColumn("arm", F.lit(name)) for name, rows in (("allowed", allowed), ("one", one))]
+    return arms[0].unionByName(arms[1])
+
+
+@query
+def card_words(d: Domain) -> DataFrame:
+    """The last word of a card's name, and the persona that a word in any case, an unknown one or none stands for."""
+    persona = F.get(F.array(F.lit("worker"), F.lit("Senior"), F.lit("FAMILY"), F.lit("nobody")), (F.col("card_id") % 5).cast("int"))
+    return d.card.select("card_id", text.last_word(F.col("card_name")).alias("word"), scoring.persona_key(persona).alias("persona"))
+
+
+@query
+def engagement_daily(d: Domain) -> DataFrame:
+    """The daily stream's job over the whole table at once."""
+    return jobs.engagement_stream(d.engagement)
+
+
+@query
+def engagement_rolled_up(d: Domain) -> DataFrame:
+    """Months summed from days."""
+    return jobs.monthly_from_days(jobs.engagement_stream(d.engagement))
+
+
+@query
+def favourite_counts(d: Domain) -> DataFrame:
+    """The favourites stream's job over the whole table at once."""
+    return jobs.favourites_stream(d.toggles)

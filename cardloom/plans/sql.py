@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from cardloom.sources import dims
 
+ISSUERS_ALLOWED = [f"Brand#{i}" for i in range(11, 20)]
+
 DOMAIN = """
 card AS (
   SELECT p_partkey AS card_id, p_name AS card_name, p_brand AS company,
@@ -216,6 +218,23 @@ QUERIES = {
           (max_benefit + 5000) // 10000 || '만원' AS benefit, (max_benefit + 500) // 10000 || '.' || (max_benefit + 500) // 1000 % 10 || '만원' AS benefit1,
           CASE WHEN min_performance = 0 THEN '무실적' ELSE min_performance // 10000 || '만원' END AS performance FROM card""",
     "unmapped_categories": "SELECT category_id, count(*) AS n, false AS damaged FROM bridge WHERE category_id > 18 GROUP BY ALL",
+    "issuer_names": """SELECT card_id, named, coalesce(issuer, named) AS issuer FROM (
+          SELECT card_id, coalesce(([{short}, {long}])[(card_id % {issuers} + 1)::INT], company) AS named FROM card)
+        LEFT JOIN (SELECT unnest([{short}]) AS alias, unnest([{long}]) AS issuer UNION ALL SELECT i, i FROM (SELECT unnest([{long}]) AS i)) ON named = alias""",
+    "benefit_kinds": """SELECT benefit_id, CASE card_id % 6 WHEN 0 THEN '할인' WHEN 1 THEN '캐시백' WHEN 2 THEN '적립' WHEN 3 THEN '특별' END AS comparison,
+          CASE card_id % 6 WHEN 1 THEN '캐시백' WHEN 2 THEN '적립' ELSE '할인' END AS ranking FROM benefit""",
+    "card_lookup": """SELECT k.card_id, card_name, c.card_id IS NOT NULL AS found FROM (SELECT DISTINCT k * 7 AS card_id FROM event WHERE event_type IN ('view', 'click')) k
+        LEFT JOIN card c ON c.card_id = k.card_id""",
+    "ranking_of_issuers": """SELECT arm, month, card_id, score, place, bar, CASE WHEN place <= 3 THEN place END AS medal FROM (
+          SELECT arm, month, card_id, score, row_number() OVER (w ORDER BY score DESC, card_id) AS place, (200 * score + max(score) OVER w) // (2 * max(score) OVER w) AS bar FROM (
+            SELECT arm, month, card_id, views + clicks AS score FROM monthly JOIN card USING (card_id), (VALUES ('allowed'), ('one')) AS a(arm)
+            WHERE company IN ({allowed}) AND (arm = 'allowed' OR company = {first} AND card_type = '신용')) WINDOW w AS (PARTITION BY arm, month))""",
+    "card_words": """SELECT card_id, string_split(card_name, ' ')[-1] AS word,
+          CASE card_id % 5 WHEN 0 THEN 'WORKER' WHEN 1 THEN 'SENIOR' WHEN 2 THEN 'FAMILY' WHEN 3 THEN 'SINGLE' ELSE 'STUDENT' END AS persona FROM card""",
+    "engagement_daily": """SELECT ts::DATE AS day, k AS card_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks
+        FROM event WHERE event_type IN ('view', 'click') GROUP BY ALL""",
+    "engagement_rolled_up": "SELECT month, card_id, views, clicks FROM monthly",
+    "favourite_counts": "SELECT user_id, k % 10 AS card_id, count(*) AS n, count(*) % 2 = 1 AS favourite FROM event WHERE event_type = 'purchase' GROUP BY ALL",
 }
 
 
@@ -228,4 +247,6 @@ def oracles() -> dict[str, str]:
     weights = [(p, c, dims.HIGH_WEIGHT if c in hi else dims.MIDDLE_WEIGHT if c in mid else dims.LOW_WEIGHT) for p, (hi, mid) in dims.PERSONAS.items() for c in range(1, len(dims.CATEGORIES) + 1)]
     domain = DOMAIN.format(categories=_values(list(enumerate(dims.CATEGORIES, 1))), weights=_values(weights))
     parts = {k: QUERIES[k] for k in ("fee_performance_score", "diversity_score", "limit_score", "practicality_score")}
+    parts |= {k: ", ".join(f"'{x}'" for x in v) for k, v in (("long", [i[0] for i in dims.ISSUERS]), ("short", [i[1] for i in dims.ISSUERS]), ("allowed", ISSUERS_ALLOWED), ("first", ISSUERS_ALLOWED[:1]))}
+    parts["issuers"] = str(2 * len(dims.ISSUERS) + 1)
     return {name: f"WITH {domain} {body.format(**parts)}" for name, body in QUERIES.items()}
