@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cardloom.functions import numeric, text
 from cardloom.operators import accounts, advice, catalogue, compare, history, quality, ranking, scoring, spending
 from cardloom.plans import sql
-from cardloom.sources import dims
+from cardloom.sources import dims, io
 from cardloom.sources.fixtures import Domain
 from cardloom.streaming import jobs
 
@@ -394,7 +394,7 @@ def unmapped_categories(d: Domain) -> DataFrame:
 @query
 def issuer_names(d: Domain) -> DataFrame:
     """Issuers named by short name, long name or a name that the alias table lacks."""
-    names = [short for _, short, *_ in dims.ISSUERS] + [name for name, *_ in dims.ISSUERS]
+    names = [short for _, short in dims.ISSUERS] + [name for name, _ in dims.ISSUERS]
     named = F.coalesce(F.get(F.array(*map(F.lit, names)), (F.col("card_id") % (len(names) + 1)).cast("int")), F.col("company"))
     return catalogue.canonical_issuer(d.card.select("card_id", named.alias("named")), "named").select("card_id", "named", "issuer")
 
@@ -447,3 +447,40 @@ def engagement_rolled_up(d: Domain) -> DataFrame:
 def favourite_counts(d: Domain) -> DataFrame:
     """The favourites stream's job over the whole table at once."""
     return jobs.favourites_stream(d.toggles)
+
+
+# ---------------------------------------------------------------- tables written and read back
+
+
+def _statements(d: Domain) -> DataFrame:
+    tx = d.transactions.join(d.candidate.select("candidate_pos", "card_id"), "candidate_pos")
+    return tx.select("user_id", "card_id", "ts", F.get(F.array(*map(F.lit, dims.SPENDING_MATCH)), F.col("spend_category").cast("int")).alias("category"), "amount")
+
+
+def _summed(statements: DataFrame) -> DataFrame:
+    rows = statements.groupBy("user_id", "card_id", "category")
+    return rows.agg(F.count("amount").alias("n"), F.sum("amount").alias("amount"), F.max(F.col("ts").cast("date")).alias("last_day"), F.count("_corrupt_record").alias("damaged"))
+
+
+@query
+def statements_csv(d: Domain) -> DataFrame:
+    """Sums of statements that were written as CSV and read by the statement schema."""
+    path = io.scratch_path(d.spark, "statements-csv")
+    _statements(d).write.option("header", True).csv(path)
+    return _summed(io.read_statements_csv(d.spark, path))
+
+
+@query
+def statements_json(d: Domain) -> DataFrame:
+    """Sums of statements that were written as JSON lines and read by the statement schema."""
+    path = io.scratch_path(d.spark, "statements-json")
+    io.write_table(_statements(d), path, form="json")
+    return _summed(io.read_statements_json(d.spark, path))
+
+
+@query
+def stored_views(d: Domain) -> DataFrame:
+    """Recent views written in folders by a hash of the user, then read back."""
+    path = io.scratch_path(d.spark, "views")
+    io.write_table(recent_views(d), path, user_buckets=16)
+    return d.spark.read.parquet(path).drop("user_bucket")

@@ -98,6 +98,9 @@ detail AS (
   FROM card LEFT JOIN benefit USING (card_id) LEFT JOIN (SELECT benefit_id, min(category_id) AS category_id FROM bridge GROUP BY ALL) USING (benefit_id) LEFT JOIN category USING (category_id))
 """
 
+STATEMENTS = """SELECT user_id, card_id, ([{spending}])[spend_category + 1] AS category, count(*) AS n, sum(amount)::BIGINT AS amount, max(ts)::DATE AS last_day, 0::BIGINT AS damaged
+        FROM tx JOIN candidate USING (candidate_pos) GROUP BY ALL"""
+
 QUERIES = {
     "card_list": "SELECT card_id, card_name, company, card_type, annual_fee_dom_basic AS annual_fee, min_performance, summary, has_cashback AS has_event, has_transport FROM card",
     "card_filter": """SELECT card_id, company, card_type, annual_fee_dom_basic, min_performance FROM card
@@ -235,7 +238,10 @@ QUERIES = {
         FROM event WHERE event_type IN ('view', 'click') GROUP BY ALL""",
     "engagement_rolled_up": "SELECT month, card_id, views, clicks FROM monthly",
     "favourite_counts": "SELECT user_id, k % 10 AS card_id, count(*) AS n, count(*) % 2 = 1 AS favourite FROM event WHERE event_type = 'purchase' GROUP BY ALL",
+    "statements_csv": STATEMENTS,
+    "statements_json": STATEMENTS,
 }
+QUERIES["stored_views"] = QUERIES["recent_views"]
 
 
 def _values(rows: list[tuple]) -> str:
@@ -247,6 +253,6 @@ def oracles() -> dict[str, str]:
     weights = [(p, c, dims.HIGH_WEIGHT if c in hi else dims.MIDDLE_WEIGHT if c in mid else dims.LOW_WEIGHT) for p, (hi, mid) in dims.PERSONAS.items() for c in range(1, len(dims.CATEGORIES) + 1)]
     domain = DOMAIN.format(categories=_values(list(enumerate(dims.CATEGORIES, 1))), weights=_values(weights))
     parts = {k: QUERIES[k] for k in ("fee_performance_score", "diversity_score", "limit_score", "practicality_score")}
-    parts |= {k: ", ".join(f"'{x}'" for x in v) for k, v in (("long", [i[0] for i in dims.ISSUERS]), ("short", [i[1] for i in dims.ISSUERS]), ("allowed", ISSUERS_ALLOWED), ("first", ISSUERS_ALLOWED[:1]))}
+    parts |= {k: ", ".join(f"'{x}'" for x in v) for k, v in (("long", [i[0] for i in dims.ISSUERS]), ("short", [i[1] for i in dims.ISSUERS]), ("allowed", ISSUERS_ALLOWED), ("spending", dims.SPENDING_MATCH), ("first", ISSUERS_ALLOWED[:1]))}
     parts["issuers"] = str(2 * len(dims.ISSUERS) + 1)
     return {name: f"WITH {domain} {body.format(**parts)}" for name, body in QUERIES.items()}

@@ -44,17 +44,11 @@ SPENDING_MATCH = {
     "주유": ("주유",),
 }
 
-# Issuers with their short name, colour, background, mark and slogan.
+# Issuers with their short name.
 ISSUERS = (
-    ("삼성카드", "삼성", "#1428A0", "#E8EBF5", "삼", "라이프스타일 중심"),
-    ("신한카드", "신한", "#c0392b", "#FDECEA", "신", "포인트 특화"),
-    ("현대카드", "현대", "#1E1E1E", "#F0F0F0", "현", "프리미엄 혜택"),
-    ("KB국민카드", "국민", "#F5A200", "#FFF8E7", "국", "실속형 할인"),
-    ("NH농협카드", "농협", "#00A84F", "#E7F7EF", "농", "농협 제휴"),
-    ("우리카드", "우리", "#0080C6", "#E6F4FB", "우", "다양한 선택"),
-    ("하나카드", "하나", "#008C8F", "#E6F5F5", "하", "글로벌 혜택"),
-    ("롯데카드", "롯데", "#E31937", "#FCE8EB", "롯", "쇼핑 최적화"),
-)
+    ("삼성카드", "삼성"), ("신한카드", "신한"), ("현대카드", "현대"), ("KB국민카드", "국민"),
+    ("NH농협카드", "농협"), ("우리카드", "우리"), ("하나카드", "하나"), ("롯데카드", "롯데"),
+)
 
 # Fee bands, inclusive at both ends, and caps of the required monthly spending.
 FEE_BANDS = {"전체": (0, 999_999), "~1만원": (1, 10_000), "~3만원": (1, 30_000), "~10만원": (1, 100_000), "10만원~": (100_001, 999_999)}
@@ -90,4 +84,4 @@ def match_map(spark: SparkSession) -> DataFrame:
 
 
 def issuer_meta(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ISSUERS), "issuer string, short string, color string, bg string, logo string, slogan string")
+    return spark.createDataFrame(list(ISSUERS), "issuer string, short string")

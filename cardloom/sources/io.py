@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,13 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         df = df.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(user_buckets))).repartition("user_bucket")
         by.append("user_bucket")
     df.write.mode("overwrite").partitionBy(*by).format(form).save(path)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; in a local session without that setting, in a temporary folder."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
