@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from cardloom.llm import sql
 from cardloom.llm.chat_format import format_chats, read_back
 from cardloom.llm.decontaminate import contaminated
+from cardloom.llm.divergence import source_divergence
 from cardloom.llm.exact_dedup import exact_dedup
 from cardloom.llm.language_id import identify_languages
 from cardloom.llm.lm_score import score_documents
 from cardloom.llm.packing import pack_documents
 from cardloom.llm.shared import new_folder
+from cardloom.llm.sharding import shard_documents
 from cardloom.llm.simhash import near_duplicates
 from cardloom.llm.tokens import read_token_files, write_token_files
 from cardloom.llm.toxicity import toxicity
@@ -75,6 +77,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return found
