@@ -14,6 +14,7 @@ from cardloom.llm.exact_dedup import exact_dedup
 from cardloom.llm.language_id import identify_languages
 from cardloom.llm.lm_score import score_documents
 from cardloom.llm.packing import pack_documents
+from cardloom.llm.prefix_trie import prefix_trie
 from cardloom.llm.shared import new_folder
 from cardloom.llm.sharding import shard_documents
 from cardloom.llm.simhash import near_duplicates
@@ -81,6 +82,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 

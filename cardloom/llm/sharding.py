@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cardloom.llm.shared import cut
+from cardloom.llm.shared import written
 
 SHARDS, ROUNDS = 16, 8
 #: Rows of a text that keep together where a text has to be split, and rows that one task numbers.
@@ -39,13 +39,13 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     """``row, doc_id, size, text_crc32, key, n``: ``key`` is the text's SHA-256, ``n`` how many rows have it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     total = rows.count()
     large = shared.filter(F.col("n") > max(1, total // HEAVY))
     hit = rows.join(F.broadcast(large), "key", "left")
     rest = hit.filter("n IS NULL").drop("n").join(shared.filter(F.col("n") <= max(1, total // HEAVY)), "key", "left")
-    return cut(hit.filter("n IS NOT NULL").unionByName(rest.withColumn("n", F.coalesce("n", F.lit(1)))))
+    return written(hit.filter("n IS NOT NULL").unionByName(rest.withColumn("n", F.coalesce("n", F.lit(1)))))
 
 
 def propagate(linked: DataFrame, quota: float, shards: int, rounds: int, heavy: int) -> DataFrame:
@@ -64,13 +64,13 @@ def propagate(linked: DataFrame, quota: float, shards: int, rounds: int, heavy:
         free = F.array(*[F.lit(room[s] >= 1) for s in range(shards)])
         best = F.array_max(F.filter("offers", lambda o: F.element_at(free, o["shard"] + 1) & (o["votes"] > 0)))
         wish = F.when(best > own, best["shard"])
-        asked = cut(_met(linked, votes, heavy).select("row", "key", "n", "shard", wish.alias("wish")))
+        asked = written(_met(linked, votes, heavy).select("row", "key", "n", "shard", wish.alias("wish")))
         wants = {r.wish: r.k for r in asked.filter("wish IS NOT NULL").groupBy("wish").agg(F.count(F.lit(1)).alias("k")).collect()}
         if not wants:
             return linked
         chance = F.element_at(F.array(*[F.lit(min(1.0, room[s] / wants[s]) if s in wants else 0.0) for s in range(shards)]), F.col("wish") + 1)
         moves = F.col("wish").isNotNull() & (_unit("row", F.lit(turn)) < chance)
-        linked = cut(asked.select("row", "key", "n", F.when(moves, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
+        linked = written(asked.select("row", "key", "n", F.when(moves, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
     return linked
 
 
@@ -103,16 +103,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     total = rows.count()
     heavy = max(1, total // HEAVY)
     start = rows.filter("n > 1").select("row", "key", "n", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
-    linked = propagate(cut(start), total / shards, shards, rounds, heavy)
+    linked = propagate(written(start), total / shards, shards, rounds, heavy)
 
     # A text's rows keep together in chunks where they are split: the place of a chunk is one hash.
     chunk = F.when(F.col("n") > CHUNK, F.pmod(F.xxhash64("row"), F.greatest(F.call_function("div", F.col("n"), F.lit(CHUNK)), F.lit(1)))).otherwise(0)
     placed = rows.join(linked.select("row", "shard"), "row", "left").withColumn("place", F.xxhash64("key", chunk))
-    placed = cut(placed)
+    placed = written(placed)
     inside = _ranked(placed.filter("shard IS NOT NULL"), ["shard"], total)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     fits = F.col("rank") < F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard") + 1)
-    inside = cut(inside.withColumn("fits", fits))
+    inside = written(inside.withColumn("fits", fits))
     taken = {r.shard: r.k for r in inside.filter("fits").groupBy("shard").agg(F.count(F.lit(1)).alias("k")).collect()}
     stay = inside.filter("fits").withColumnRenamed("rank", "slot").drop("fits")
 

@@ -39,6 +39,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once into a table in the shared folder, and read from there.
+
+    Unlike a checkpoint, which carries on an estimate of its size that grows with every join before it, the table has the
+    size of its files: many rounds of joins stay quick to plan, and small tables are known to be small.
+    """
+    path = new_folder(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def held_out(key: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the key, written as text, leaves this remainder; a null key is never held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
@@ -83,7 +94,7 @@ def scanned(rows: DataFrame, by: str, order: list[str], sums: tuple[str, ...] =
             yield pa.RecordBatch.from_pydict(out)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "_part int, _seq long, at long"])
-    local = cut(rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order).mapInArrow(scan, schema))
+    local = written(rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order).mapInArrow(scan, schema))
     told = [*sums, *xors]
     ends = local.groupBy("_part").agg(F.max_by(F.struct("_seq", F.col(by).alias("_by"), "at", *told), "_seq").alias("e")).select("_part", "e.*").orderBy("_part").collect()
     before, key, total = [], None, None

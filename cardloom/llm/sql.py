@@ -49,4 +49,26 @@ SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION B
 UNION ALL SELECT lang, source, 'term', item, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM t) WHERE rank <= 50
 """
 
-ORACLES = {"op2_url_filter": URL_FILTER, "op6_exact_dedup": EXACT_DEDUP, "op7_chat_formatting": CHAT_FORMATTING, "op13_source_divergence": SOURCE_DIVERGENCE}
+# crc32 of the decimal id: bits of each byte's table entry, then one step a byte
+CONVERSATION_TRIE = r"""
+WITH src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, t, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS pos
+      FROM (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS t, strlen(text) AS bytes FROM src)),
+c AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base, xor(4294967295::BIGINT, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+        lambda crc, x: xor(crc >> 8, list_reduce([xor(crc, x) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)) % 9 AS h
+      FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id)),
+r AS (SELECT c.conv_id, o.pos AS depth, t, bytes FROM c JOIN o ON o.conv_id = c.base AND o.pos <= h
+      UNION ALL SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + o.pos - c.h, t, bytes FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h LEFT JOIN c b ON b.conv_id = c.base),
+path AS (SELECT conv_id, depth, bytes, sha256(string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS p FROM r),
+m AS (SELECT conv_id, 0 AS depth, 0 AS bytes, '' AS p FROM c UNION ALL SELECT * FROM path),
+e AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS deep, lag(p) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM m),
+node AS (SELECT depth, p, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (depth = deep), '') AS ends FROM e GROUP BY depth, p),
+kids AS (SELECT depth - 1 AS depth, up AS p, count(*) AS k FROM node WHERE depth > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kids USING (depth, p)),
+under AS (SELECT DISTINCT x.depth, x.p, y.depth AS d2, y.p AS p2 FROM m x JOIN m y ON x.conv_id = y.conv_id AND y.depth >= x.depth),
+total AS (SELECT u.depth, u.p, count(*) FILTER (f.k = 0) AS leaves, sum((f.n - 1) * f.bytes) AS saved FROM under u JOIN full_node f ON f.depth = u.d2 AND f.p = u.p2 GROUP BY ALL)
+SELECT f.conv_id, f.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, f.n AS n_convs, f.k AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_node f JOIN total USING (depth, p) LEFT JOIN full_node a ON a.depth = f.depth - 1 AND a.p = f.up
+"""
+
+ORACLES = {"op2_url_filter": URL_FILTER, "op6_exact_dedup": EXACT_DEDUP, "op7_chat_formatting": CHAT_FORMATTING, "op12_conversation_trie": CONVERSATION_TRIE, "op13_source_divergence": SOURCE_DIVERGENCE}
