@@ -48,40 +48,6 @@ def benefit_status(owned: DataFrame, spend: DataFrame, match_map: DataFrame) ->
     return rows.select("user_id", "card_id", "benefit_id", status.alias("status"), F.when(status == "active", F.col("matched")).alias("matched"))
 
 
-def card_verdicts(owned: DataFrame, fit: DataFrame) -> DataFrame:
-    """Keep a card from a fit of 60 on, else switch."""
-    rows = owned.select("user_id", "card_id").join(fit.select("user_id", "card_id", "fit"), ["user_id", "card_id"])
-    return rows.select("user_id", "card_id", "fit", F.when(F.col("fit") >= KEEP_FROM, "keep").otherwise("switch").alias("verdict"))
-
-
-def scored_alternatives(fit: DataFrame, owned: DataFrame, benefits: DataFrame) -> DataFrame:
-    """Candidates that a user does not own: fit less 12 for each benefit row whose category an owned card has, ranked.
-
-    Candidates' benefit categories travel as one array a card; a user's owned categories are one array of
-    21 ids at most, so the penalty is a function of the row.
-    """
-    lists = benefits.groupBy("card_id").agg(F.collect_list("category_id").alias("rows"))
-    mine = owned.select("user_id", "card_id").join(lists, "card_id", "left").groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_set("rows"))).alias("mine"))
-    empty = F.array().cast("array<bigint>")
-    open_cards = fit.join(owned.select("user_id", "card_id"), ["user_id", "card_id"], "left_anti").join(lists, "card_id", "left").join(mine, "user_id", "left")
-    overlaps = F.size(F.filter(F.coalesce("rows", empty), lambda c: F.array_contains(F.coalesce("mine", empty), c)))
-    scored = open_cards.select("user_id", "card_id", "candidate_pos", "fit", overlaps.cast("long").alias("n_overlaps"), (F.col("fit") - overlaps * OVERLAP_PENALTY).cast("long").alias("score"))
-    order = W.partitionBy("user_id").orderBy(F.desc("score"), "candidate_pos")
-    return scored.withColumn("place", F.row_number().over(order).cast("long"))
-
-
-def switch_alternatives(fit: DataFrame, owned: DataFrame, benefits: DataFrame, n: int = ALTERNATIVES) -> DataFrame:
-    return scored_alternatives(fit, owned, benefits).filter(F.col("place") <= n).select("user_id", "card_id", "fit", "n_overlaps", "score", "place")
-
-
-def recommended_combo(verdicts: DataFrame, alternatives: DataFrame) -> DataFrame:
-    """Kept cards, and the best alternative where some card is to be switched."""
-    kept = verdicts.filter("verdict = 'keep'").select("user_id", "card_id", F.lit("kept").alias("part"))
-    movers = verdicts.filter("verdict = 'switch'").select("user_id").distinct()
-    best = alternatives.filter("place = 1").join(movers, "user_id", "left_semi").select("user_id", "card_id", F.lit("new").alias("part"))
-    return kept.unionByName(best)
-
-
 def combo_coverage(combos: DataFrame, coverage: DataFrame, spend: DataFrame) -> DataFrame:
     """Percent of each user's spending that some card of the combination covers. ``coverage`` has one array a card."""
     union = combos.join(coverage, "card_id", "left").groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("covered", F.array().cast("array<bigint>"))))).alias("covered"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import numeric, text
-from cardloom.operators import accounts, advice, catalogue, compare, history, quality, ranking, scoring, spending
+from cardloom.operators import accounts, advice, catalogue, compare, history, profile, quality, ranking, scoring, spending
 from cardloom.plans import sql
 from cardloom.sources import dims, io
 from cardloom.sources.fixtures import Domain
@@ -198,27 +198,25 @@ def overlap_categories(d: Domain) -> DataFrame:
     return advice.overlap_categories(d.owned, _candidate_rows(d))
 
 
-def _verdicts(d: Domain) -> DataFrame:
-    return advice.card_verdicts(d.owned, _fit(d))
+def _advised(d: Domain) -> DataFrame:
+    """One row a user, from which verdicts, alternatives and the combination are read."""
+    grid = profile.candidate_grid(d.candidate, d.bridge, d.match_map)
+    return profile.advised(profile.user_profiles(d.transactions, d.owned_places, list(range(9))), grid)
 
 
 @query
 def card_verdicts(d: Domain) -> DataFrame:
-    return _verdicts(d)
-
-
-def _alternatives(d: Domain) -> DataFrame:
-    return advice.switch_alternatives(_fit(d), d.owned, _candidate_rows(d))
+    return profile.verdicts(_advised(d))
 
 
 @query
 def switch_alternatives(d: Domain) -> DataFrame:
-    return _alternatives(d)
+    return profile.alternatives(_advised(d))
 
 
 @query
 def recommended_combo(d: Domain) -> DataFrame:
-    return advice.recommended_combo(_verdicts(d), _alternatives(d))
+    return profile.combination(_advised(d))
 
 
 @query

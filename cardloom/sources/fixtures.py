@@ -81,10 +81,14 @@ class Domain:
         return best.select("card_id", "company", (F.row_number().over(W.orderBy("company")) - 1).cast("long").alias("candidate_pos"))
 
     @cached_property
-    def owned(self) -> DataFrame:
+    def owned_places(self) -> DataFrame:
+        """Owned cards by their candidate's place; some places may have no candidate."""
         u = F.col("c_custkey")
-        places = self.raw("customer").select(u.alias("user_id"), F.explode(F.array_distinct(F.array(u % 25, (u * 7 + 3) % 25, (u * 11 + 5) % 25))).alias("candidate_pos"))
-        return places.join(self.candidate, "candidate_pos").select("user_id", "card_id", "candidate_pos")
+        return self.raw("customer").select(u.alias("user_id"), F.explode(F.array_distinct(F.array(u % 25, (u * 7 + 3) % 25, (u * 11 + 5) % 25))).alias("candidate_pos"))
+
+    @cached_property
+    def owned(self) -> DataFrame:
+        return self.owned_places.join(self.candidate, "candidate_pos").select("user_id", "card_id", "candidate_pos")
 
     @cached_property
     def transactions(self) -> DataFrame:

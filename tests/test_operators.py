@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import accounts, advice, catalogue, compare, history, quality, ranking, scoring, spending
+from cardloom.operators import accounts, advice, catalogue, compare, history, profile, quality, ranking, scoring, spending
 from cardloom.sources import dims, io
 
 BENEFIT = "card_id long, benefit_pos long, benefit_id string, benefit_title string, benefit_content string, benefit_value decimal(12,2), benefit_unit string, max_limit long, category_ids array<long>"
@@ -99,20 +99,47 @@ def test_sample_card_on_sample_spending(spark):
     fit = spending.card_fit(spend, coverage, candidates)
     got = {r.card_id: r.fit for r in fit.collect()}
     assert got == {7: 59, 8: 0}
-    owned = spark.createDataFrame([(1, 7)], "user_id long, card_id long")
-    assert advice.card_verdicts(owned, fit).first().verdict == "switch"
     top = spending.spend_summary(spend).first()
     assert (top.total, top.n_categories, top.top_category, top.top_share) == (1_500_000, 9, 0, 30)
 
 
+def advice_of(spark, tx, owned, cards, benefits, match=((0, 5), (1, 6), (2, 9))):
+    """Users advised from tiny tables: ``tx (user, category, amount)``, ``owned (user, place)``, ``cards (card, place)``, ``benefits (card, category)``."""
+    table = lambda rows, names: spark.createDataFrame(list(rows), ", ".join(f"{c} long" for c in names.split()))
+    grid = profile.candidate_grid(table(cards, "card_id candidate_pos"), table(benefits, "card_id category_id"), table(match, "spend_category category_id"))
+    return profile.advised(profile.user_profiles(table(tx, "user_id spend_category amount"), table(owned, "user_id candidate_pos"), [0, 1, 2]), grid)
+
+
 def test_alternatives_and_combination(spark):
-    fit = spark.createDataFrame([(1, c, p, f) for c, p, f in ((1, 0, 70), (2, 1, 50), (3, 2, 50), (4, 3, 74))], "user_id long, card_id long, candidate_pos long, fit long")
-    owned = spark.createDataFrame([(1, 1), (1, 2)], "user_id long, card_id long")
-    rows = spark.createDataFrame([(1, 5), (2, 6), (4, 5), (4, 5), (3, 9)], "card_id long, category_id long")
-    alternatives = advice.switch_alternatives(fit, owned, rows)
-    assert [(r.card_id, r.n_overlaps, r.score) for r in alternatives.orderBy("place").collect()] == [(3, 0, 50), (4, 2, 50)]
-    combo = advice.recommended_combo(advice.card_verdicts(owned, fit), alternatives)
-    assert sorted((r.card_id, r.part) for r in combo.collect()) == [(1, "kept"), (3, "new")]
+    """User 1 owns cards 1 (fits 70) and 2 (fits 20); cards 3 and 4 are open, and 4 has two benefit rows in a category that they hold."""
+    cards = [(1, 0), (2, 1), (3, 2), (4, 3)]
+    benefits = [(1, 5), (2, 6), (2, 6), (4, 5), (4, 5), (3, 9), (3, 40)]
+    users = advice_of(spark, [(1, 0, 70), (1, 1, 20), (1, 2, 10), (1, 7, None)], [(1, 0), (1, 1), (1, 1), (1, 99), (2, 0)], cards, benefits)
+    assert sorted(tuple(r) for r in profile.verdicts(users).collect()) == [(1, 1, 70, "keep"), (1, 2, 20, "switch")]  # user 2 spends nothing
+    assert [tuple(r) for r in profile.alternatives(users).orderBy("place").collect()] == [(1, 4, 70, 2, 46, 1), (1, 3, 10, 0, 10, 2)]
+    assert sorted((r.card_id, r.part) for r in profile.combination(users).collect()) == [(1, "kept"), (4, "new")]
+
+
+def test_advice_ends_and_ties(spark):
+    cards = [(k, k) for k in range(5)]
+    users = advice_of(spark, [(1, 8, 50), (2, 0, 0), (3, 0, 10), (None, 0, 1)], [(3, k) for k in range(5)], cards, [(0, 5), (1, 5)])
+    got = [tuple(r) for r in profile.alternatives(users).collect()]
+    assert sorted(r[1] for r in got if r[0] == 1) == [0, 1, 2] and {r[2] for r in got if r[0] == 1} == {0}  # ties in the order of the cards; spending that no card covers
+    assert [(r[1], r[2]) for r in sorted(got, key=str) if r[0] == 2] == [(0, None), (1, None), (2, None)]  # a total of 0 has no fit
+    assert not [r for r in got if r[0] == 3]  # owns them all
+    assert {tuple(r) for r in profile.combination(users).collect()} == {(3, 0, "kept"), (3, 1, "kept")}
+    assert sorted(r[1] for r in got if r[0] is None) == [0, 1, 2]
+    none = advice_of(spark, [], [(1, 0)], cards, [])
+    assert profile.alternatives(none).count() == profile.verdicts(none).count() == 0
+    no_cards = advice_of(spark, [(1, 0, 5)], [(1, 0)], [], [])
+    assert profile.alternatives(no_cards).count() == profile.combination(no_cards).count() == 0
+
+
+def test_sample_verdict(spark):
+    """The sample spending's card fits 59 percent: switch."""
+    amounts = [450_000, 320_000, 180_000, 150_000, 120_000, 90_000, 75_000, 60_000, 55_000]
+    users = advice_of(spark, [(1, 0, 885_000), (1, 9, sum(amounts) - 885_000)], [(1, 0)], [(7, 0)], [(7, 5)])
+    assert [tuple(r) for r in profile.verdicts(users).collect()] == [(1, 7, 59, "switch")]
 
 
 def test_overlap_counts_rows(spark):

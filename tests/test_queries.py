@@ -46,6 +46,13 @@ def test_scores_need_one_exchange_of_benefits(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning") <= 2  # the mapping's row numbers, and the sum by card
 
 
+@pytest.mark.parametrize("name", ["card_verdicts", "switch_alternatives", "recommended_combo"])
+def test_advice_is_one_exchange_by_user(spark, sf_dir, name):
+    initial = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert initial.count("Exchange hashpartitioning(user_id") == 1
+    assert initial.count("Exchange hashpartitioning(company") == 1  # the candidates' window stands there once
+
+
 def test_basket(spark, sf_dir):
     rows = registry.queries()["compare_basket"](spark, sf_dir).collect()
     assert rows and all(len(r.basket.split(",")) <= 3 for r in rows)
