@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import trim_all
@@ -12,7 +11,7 @@ LEAST_NAME, LEAST_PASSWORD = 2, 8
 
 
 def validate_signups(signups: DataFrame, users: DataFrame) -> DataFrame:
-    """``form_errors`` names every failed field, ``server_error`` the first failed check; of equal emails in one batch only the first row that passes is accepted."""
+    """``form_errors`` names every failed field, ``server_error`` the first failed check; of equal emails in one batch only the first row that passes is accepted. ``signup_id`` is a key."""
     text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("name", "email", "password", "password_confirm")}
     form = F.array_compact(F.array(
         F.when((trim_all(text["name"]) == "") | (F.length(text["name"]) < LEAST_NAME), "name"),
@@ -25,5 +24,7 @@ def validate_signups(signups: DataFrame, users: DataFrame) -> DataFrame:
     server = F.coalesce(F.when(F.col("taken"), "email"), F.when(F.length(text["password"]) < LEAST_PASSWORD, "password"), F.when(text["password"] != text["password_confirm"], "password_confirm"))
     checked = rows.select("signup_id", "email", F.concat_ws(",", form).alias("form_errors"), server.alias("server_error"))
     passes = (F.col("form_errors") == "") & F.col("server_error").isNull()
-    first = F.row_number().over(W.partitionBy("email", passes).orderBy("signup_id")) == 1
-    return checked.select("signup_id", "form_errors", F.coalesce("server_error", F.lit("")).alias("server_error"), (passes & first).alias("accepted"))
+    # the least id of each email among rows that pass: partial minima meet a hot email before the shuffle, and ids are met by id
+    first = checked.filter(passes).groupBy("email").agg(F.min("signup_id").alias("signup_id")).select("signup_id", F.lit(True).alias("first"))
+    told = checked.join(first, "signup_id", "left")
+    return told.select("signup_id", "form_errors", F.coalesce("server_error", F.lit("")).alias("server_error"), (passes & F.coalesce("first", F.lit(False))).alias("accepted"))

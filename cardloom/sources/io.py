@@ -60,10 +60,18 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; in a local session without that setting, in a temporary folder."""
+    """A new path in ``spark.checkpoint.dir``; only on one machine and without that setting, in a temporary folder that is made once."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` computed once into a table in the shared folder, and read from there: what it says about its partitions stays true."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

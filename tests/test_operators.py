@@ -234,3 +234,34 @@ def test_write_and_read(spark, tmp_path, buckets):
     io.write_table(df, str(tmp_path / "t.parquet"), ["company"], user_buckets=buckets)
     back = io.read_tables(spark, str(tmp_path), ["t"])["t"]
     assert back.count() == 20 and set(df.columns) <= set(back.columns)
+
+
+def test_places_of_one_month_over_many_partitions(spark, sf_dir):
+    """Long runs of ties cross the partitions' bounds; every place is the one that a sort of the whole month gives."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        rows = spark.range(5_000).select(F.lit("m1").alias("month"), ((F.col("id") * 7919) % 5_000).alias("card_id"), (F.col("id") % 3).alias("views"), F.lit(1).alias("clicks"))
+        rows = rows.unionByName(spark.createDataFrame([(None, 1, 0, 0), (None, 2, 4, 0), ("m2", 9, 0, 0)], "month string, card_id long, views long, clicks int"))
+        plan = ranking.popularity_ranking(rows, ["month"])._jdf.queryExecution().executedPlan().toString()
+        parts = ranking.placed(rows.withColumn("score", F.col("views")), ["month"], [F.desc("score"), F.asc("card_id")], "score")
+        got = ranking.popularity_ranking(rows, ["month"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert "Window" not in plan and parts.count() == 5_003
+    month = [r for r in got if r.month == "m1"]
+    assert [r.card_id for r in sorted(month, key=lambda r: r.place)] == [r.card_id for r in sorted(month, key=lambda r: (-r.score, r.card_id))]
+    assert sorted(r.place for r in month) == list(range(1, 5_001))
+    assert {(r.month, r.card_id, r.place, r.bar) for r in got if r.month != "m1"} == {(None, 2, 1, 100), (None, 1, 2, 0), ("m2", 9, 1, None)}
+
+
+def test_ranking_of_nothing(spark):
+    assert ranking.popularity_ranking(spark.createDataFrame([], "month string, card_id long, views long, clicks long"), ["month"]).count() == 0
+
+
+def test_first_of_equal_emails(spark):
+    rows = [(k, "Ann", "a@x", "longenough" if k else "short", "longenough" if k else "short", None) for k in range(5)] + [(9, "Bo", "b@x", "longenough", "longenough", None), (8, "Bo", None, "longenough", "longenough", None), (7, "Bo", "t@x", "longenough", "longenough", None)]
+    signups = spark.createDataFrame(rows, "signup_id long, name string, email string, password string, password_confirm string, phone string")
+    users = spark.createDataFrame([("t@x",), ("t@x",)], "email string")
+    got = {r.signup_id: r.accepted for r in accounts.validate_signups(signups, users).collect()}
+    assert len(got) == len(rows) and {k for k, v in got.items() if v} == {1, 9}
