@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cardloom.llm.shared import cut, scanned
+from cardloom.llm.shared import scanned, written
 
 #: A term is kept in a language where so many of its documents have it.
 LEAST_DOCS = 30
@@ -38,39 +38,45 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERM_BYTES).split(b" ")
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, n, n_docs``: occurrences and documents; a group without terms has one row with a null term.
+def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """``lang, source, term, n, lang_n``: occurrences of the terms that at least ``least_docs`` documents of the language have, in the source and in the language; every group has one more row, with a null term.
 
-    Each task adds up its own rows first, so a hot source is some few partial rows a task before the shuffle.
+    Each task adds up its own rows first, so a hot source or term is some few partial rows a task in the shuffle. Sums
+    of the source and of the language come from the one exchange by language and term.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
 
-        def give() -> pa.RecordBatch:
-            rows = [(lang, source, t.decode() if t else None, n if t else 0, seen[t]) for (lang, source), (all_n, seen) in held.items() for t, n in all_n.items()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["lang", "source", "term", "n", "n_docs"])
+        def give() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (all_n, seen) in held.items():  # both counters got their keys in the same order
+                found = pa.array(all_n, pa.binary()).cast(pa.string())
+                names = [pa.array([x], pa.string()).take(pa.nulls(len(found), pa.int32()).fill_null(0)) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*names, found, pa.array(all_n.values(), pa.int64()), pa.array(seen.values(), pa.int64())], ["lang", "source", "term", "n", "n_docs"])
+            held.clear()
 
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
                 all_n, seen = held.setdefault((lang, source), (Counter(), Counter()))
                 found = Counter(terms(text.as_py()))
-                found[b""] = 1  # the row that says that there is such a group
+                found[b""] = 1  # says that there is such a group
                 was = len(all_n)
                 all_n.update(found)
                 seen.update(found.keys())
                 size += len(all_n) - was
                 if size > HELD:
-                    yield give()
-                    held, size = {}, 0
-        if held:
-            yield give()
+                    yield from give()
+                    size = 0
+        yield from give()
 
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    rows = plain.mapInArrow(count, "lang string, source string, term string, n long, n_docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    rows = plain.mapInArrow(count, "lang string, source string, term string, n long, n_docs long").repartition("lang", "term")
+    here = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    there = W.partitionBy("lang", "term")
+    known = here.withColumns({"lang_n": F.sum("n").over(there), "n_docs": F.sum("n_docs").over(there)}).filter((F.col("term") == "") | (F.col("n_docs") >= least_docs))
+    return known.select("lang", "source", F.nullif("term", F.lit("")).alias("term"), "n", "lang_n")
 
 
 def scaled_share(count: Column, total: Column, kept: Column) -> Column:
@@ -88,7 +94,7 @@ class Trees:
         nodes = leaves.select("g", "pos", F.col("n").alias("id"))
         for _ in range(height):
             kid = F.struct(F.pmod("pos", F.lit(1 << fan_bits)).cast("int").alias("slot"), "id")
-            above = cut(nodes.groupBy("g", F.shiftright("pos", fan_bits).alias("pos")).agg(F.sort_array(F.collect_list(kid)).alias("kids")))
+            above = written(nodes.groupBy("g", F.shiftright("pos", fan_bits).alias("pos")).agg(F.sort_array(F.collect_list(kid)).alias("kids")))
             nodes = self._consed(above)
         self.roots = nodes.select("g", F.col("id").alias("node"))
 
@@ -97,7 +103,7 @@ class Trees:
         seed = 0
         while True:
             named = above.withColumn("id", F.xxhash64(F.lit(seed), "kids"))
-            unique = cut(named.groupBy("id").agg(F.min("kids").alias("kids"), F.max("kids").alias("other")))
+            unique = written(named.groupBy("id").agg(F.min("kids").alias("kids"), F.max("kids").alias("other")))
             if unique.filter("kids <> other").isEmpty():
                 self.levels.append(unique.select(F.col("id").alias("node"), "kids"))
                 return named.select("g", "pos", "id")
@@ -127,7 +133,7 @@ def pair_prices(trees: Trees, pairs: DataFrame, groups: DataFrame) -> DataFrame:
     for k in range(trees.height, 0, -1):
         none = F.col("u").isNull() & F.col("v").isNull()
         zeros.append(level.filter(none).select("g1", "g2", (F.col("times") * (1 << (trees.fan_bits * k))).alias("times")))
-        level = cut(_opened(level.filter(~none), trees.levels[k - 1], trees.fan_bits))
+        level = written(_opened(level.filter(~none), trees.levels[k - 1], trees.fan_bits))
     counted = level.select("g1", "g2", F.coalesce("u", F.lit(0)).alias("c1"), F.coalesce("v", F.lit(0)).alias("c2"), "times")
     for z in zeros:
         counted = counted.unionByName(z.select("g1", "g2", F.lit(0).cast("long").alias("c1"), F.lit(0).cast("long").alias("c2"), "times"))
@@ -149,15 +155,14 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms:
     * Ties stand in the order of the item's UTF-8 bytes. Repeated rows count each time. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    counts = cut(term_counts(docs))
+    counts = written(term_counts(docs, least_docs))
     known = counts.filter("term IS NOT NULL")
-    kept_terms = known.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
-    ids = scanned(kept_terms.select("lang", "term", "lang_n"), "lang", ["term"]).withColumn("pos", F.col("at") - 1).drop("at")
-    of_lang = cut(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total")))
-    kept = cut(known.join(ids, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", "pos"))
+    ids = scanned(known.select("lang", "term", "lang_n").distinct(), "lang", ["term"]).withColumn("pos", F.col("at") - 1).drop("at")
+    of_lang = written(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total")))
+    kept = written(known.join(ids.drop("lang_n"), ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", "pos"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     every = counts.filter("term IS NULL").select("lang", "source").join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left")
-    groups = cut(every.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "lang_total")), F.monotonically_increasing_id().alias("g")))
+    groups = written(every.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "lang_total")), F.monotonically_increasing_id().alias("g")))
 
     most = groups.agg(F.max("kept").alias("m")).first().m or 0
     height = 1
@@ -168,7 +173,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms:
     pairs = here.join(there, "lang").filter("g1 < g2").select("g1", "g2")  # the report's own rows: sources of one language
     open_pairs = pairs.join(groups.filter("kept > 0").select(F.col("g").alias("g1")), "g1", "left_semi")
     prices = pairs.join(pair_prices(trees, open_pairs, groups), ["g1", "g2"], "left").select("g1", "g2", F.coalesce("value", F.lit(0)).alias("value"))
-    both = cut(prices.unionByName(prices.select(F.col("g2").alias("g1"), F.col("g1").alias("g2"), "value")))
+    both = written(prices.unionByName(prices.select(F.col("g2").alias("g1"), F.col("g1").alias("g2"), "value")))
     named = groups.select(F.col("g").alias("g1"), "lang", "source")
     pair_rows = both.join(named, "g1").join(groups.select(F.col("g").alias("g2"), F.col("source").alias("item")), "g2").select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
