@@ -437,8 +437,10 @@ def engagement_daily(d: Domain) -> DataFrame:
 
 @query
 def engagement_rolled_up(d: Domain) -> DataFrame:
-    """Months summed from days."""
-    return jobs.monthly_from_days(jobs.engagement_stream(d.engagement))
+    """Months summed from the table that the daily stream keeps."""
+    table = jobs.DayTable(d.spark, io.scratch_path(d.spark, "days"))
+    jobs.engagement_into(d.live_engagement, table, io.scratch_path(d.spark, "days-progress"))
+    return table.months()
 
 
 @query

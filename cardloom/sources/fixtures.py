@@ -100,14 +100,22 @@ class Domain:
     def card_limit(self) -> DataFrame:
         return self.raw("customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 30 * 100_000 + 1_000_000).alias("card_limit"))
 
-    def _events(self, *kinds: str) -> DataFrame:
+    def _events(self, *kinds: str, live: bool = False) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("long")
-        return self.raw("events").filter(F.col("event_type").isin(*kinds)).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", k.alias("k"))
+        rows = self.raw("events")
+        if live:
+            rows = self.spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
+        return rows.filter(F.col("event_type").isin(*kinds)).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", k.alias("k"))
 
     @cached_property
     def engagement(self) -> DataFrame:
         return self._events("view", "click").select("event_id", "user_id", "ts", "event_type", F.col("k").alias("card_id"))
 
+    @cached_property
+    def live_engagement(self) -> DataFrame:
+        """The same rows as a stream of the folder's event files."""
+        return self._events("view", "click", live=True).select("event_id", "user_id", "ts", "event_type", F.col("k").alias("card_id"))
+
     @cached_property
     def toggles(self) -> DataFrame:
         return self._events("purchase").select("event_id", "user_id", "ts", (F.col("k") % 10).alias("card_id"))
