@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from cardloom.llm.shared import written
 
-SHARDS, ROUNDS = 16, 8
+SHARDS, ROUNDS = 16, 12
+#: A shard that grants less of its requests is closed for the rounds to come.
+LEAST_SHARE = 0.01
 #: Rows of a text that keep together where a text has to be split, and rows that one task numbers.
 CHUNK, NUMBERED = 1_000, 50_000
 #: Texts with more than one row in so many are joined by broadcast: there are at most this many.
@@ -48,29 +50,47 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     return written(hit.filter("n IS NOT NULL").unionByName(rest.withColumn("n", F.coalesce("n", F.lit(1)))))
 
 
+def admitted(wants: dict[tuple[int, int], int], sizes: dict[int, int], quota: float) -> dict[int, float]:
+    """The share of requests that each shard grants, from ``wants`` by (shard, wish): the largest under which no shard outgrows its quota.
+
+    All begin at 1 and are lowered where what comes in is more than the room and what goes out, until nothing changes.
+    """
+    share = {j: 1.0 for _, j in wants}
+    asked = {j: sum(n for (_, k), n in wants.items() if k == j) for j in share}
+    for _ in range(1_000):
+        leaves = {j: sum(n * share[k] for (i, k), n in wants.items() if i == j) for j in share}
+        lower = {j: min(share[j], max(0.0, quota - sizes.get(j, 0) + leaves[j]) / asked[j]) for j in share}
+        if all(share[j] - lower[j] < 1e-6 for j in share):
+            return lower
+        share = lower
+    return share
+
+
 def propagate(linked: DataFrame, quota: float, shards: int, rounds: int, heavy: int) -> DataFrame:
     """``linked (row, key, n, shard)`` after at most ``rounds`` rounds; it ends early once no document wants to move.
 
-    To the driver go one number a shard and round.
+    To the driver go, each round, one number a shard and one a pair of shards.
     """
+    closed: set[int] = set()
     for turn in range(rounds):
         tally = linked.groupBy("key", "n").agg(*[F.count_if(F.col("shard") == s).alias(f"s{s}") for s in range(shards)])
-        sizes = {r.shard: r.k for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("k")).collect()}
-        room = {s: quota - sizes.get(s, 0) for s in range(shards)}
         # what a shard offers: its votes, then a number of the text's own, so that all its documents see the same order
         offer = [F.struct(F.col(f"s{s}").alias("votes"), F.xxhash64("key", F.lit(s)).alias("tie"), F.lit(s).alias("shard")) for s in range(shards)]
         votes = tally.select("key", "n", F.array(*offer).alias("offers"))
         own = F.element_at("offers", F.col("shard") + 1)
-        free = F.array(*[F.lit(room[s] >= 1) for s in range(shards)])
-        best = F.array_max(F.filter("offers", lambda o: F.element_at(free, o["shard"] + 1) & (o["votes"] > 0)))
+        best = F.array_max(F.filter("offers", lambda o: (o["votes"] > 0) & ~o["shard"].isin(*closed)))
         wish = F.when(best > own, best["shard"])
         asked = written(_met(linked, votes, heavy).select("row", "key", "n", "shard", wish.alias("wish")))
-        wants = {r.wish: r.k for r in asked.filter("wish IS NOT NULL").groupBy("wish").agg(F.count(F.lit(1)).alias("k")).collect()}
+        counts = asked.groupBy("shard", "wish").agg(F.count(F.lit(1)).alias("k")).collect()
+        wants = {(r.shard, r.wish): r.k for r in counts if r.wish is not None}
         if not wants:
             return linked
-        chance = F.element_at(F.array(*[F.lit(min(1.0, room[s] / wants[s]) if s in wants else 0.0) for s in range(shards)]), F.col("wish") + 1)
+        sizes = {s: sum(r.k for r in counts if r.shard == s) for s in range(shards)}
+        share = admitted(wants, sizes, quota)
+        chance = F.element_at(F.array(*[F.lit(share.get(s, 0.0)) for s in range(shards)]), F.col("wish") + 1)
         moves = F.col("wish").isNotNull() & (_unit("row", F.lit(turn)) < chance)
         linked = written(asked.select("row", "key", "n", F.when(moves, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
+        closed |= {s for s, x in share.items() if x < LEAST_SHARE}
     return linked
 
 
