@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import contains_folded, drop_suffix_once, summary_items
+from cardloom.operators.substrings import substring_pairs
 from cardloom.sources import dims
 
 OTHER, OTHER_TITLE = "기타", "기타 혜택"
@@ -75,6 +76,60 @@ def search_cards(cards: DataFrame, query: str, exclude: DataFrame | None = None)
     return out if exclude is None else out.join(exclude, "card_id", "left_anti")
 
 
+def search_many(cards: DataFrame, searches: DataFrame) -> DataFrame:
+    """``search_id, card_id`` for a table of ``searches (search_id, query)``, by the rules of :func:`search_cards`.
+
+    Names, issuers and tags are met once each as distinct texts, by postings of their characters. An empty query finds
+    all cards that have a name, an issuer or a tag, a null one none.
+    """
+    folded = searches.select("search_id", F.lower("query").alias("needle"))
+    exact = searches.select("search_id", F.col("query").alias("needle"))
+    tags = cards.select("card_id", F.explode("tags").alias("text"))
+    parts = [(cards.select("card_id", F.lower("card_name").alias("text")), folded), (cards.select("card_id", F.lower("company").alias("text")), folded), (tags, exact)]
+    found = [rows.join(substring_pairs(rows, asked).join(asked, "needle"), "text").select("search_id", "card_id") for rows, asked in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+
+
+def category_keywords(categories: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Distinct ``category, keyword`` of ``categories (category)``: a listed one has the keywords of its list, which may be empty, an unlisted one itself."""
+    wanted = categories.select("category").filter("category IS NOT NULL").distinct()
+    listed = keywords.select("category", "keywords")
+    own = F.when(F.col("keywords").isNull(), F.array("category")).otherwise(F.col("keywords"))
+    return wanted.join(listed, "category", "left").select("category", F.explode(own).alias("keyword")).distinct()
+
+
+def match_selections(cards: DataFrame, selections: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``request_id, card_id`` for a table of ``selections (request_id, category)``, by the rules of :func:`matches_categories`.
+
+    Keywords meet distinct summaries once, by postings; a card answers a request if as many of its categories are
+    answered as the request has (relational division). A request whose only categories are null selects nothing and so
+    gets all cards; a category without keywords gets none.
+    """
+    needs = selections.groupBy("request_id").agg(F.count_distinct("category").alias("needs"))
+    none = needs.filter("needs = 0").select("request_id", F.lit(None).cast("string").alias("category"))  # stands for the empty keyword, which every summary holds
+    asked = selections.filter("category IS NOT NULL").select("request_id", "category").distinct().unionByName(none)
+    empty = selections.sparkSession.createDataFrame([(None, "")], "category string, keyword string")
+    known = category_keywords(selections, keywords).unionByName(empty).withColumn("needle", F.lower("keyword"))
+    summed = cards.select("card_id", F.coalesce("summary", F.lit("")).alias("summary"))
+    texts = summed.select("summary").distinct().withColumn("text", F.lower("summary"))
+    answered = substring_pairs(texts, known).join(known, "needle").join(texts, "text").select(F.col("category").alias("of"), "summary").distinct()
+    met = asked.join(answered, F.col("category").eqNullSafe(F.col("of"))).groupBy("request_id", "summary").agg(F.count(F.lit(1)).alias("has"))
+    whole = met.join(needs, "request_id").filter("has = greatest(needs, 1)").select("request_id", "summary")
+    return whole.join(summed, "summary").select("request_id", "card_id")
+
+
+def selection_hits(benefits: DataFrame, selections: DataFrame, keywords: DataFrame, names: DataFrame) -> DataFrame:
+    """``request_id, card_id, benefit_id, category_name``: benefits whose category's name holds a keyword of a selected category.
+
+    ``names (category_id, category_name)`` are met once with the keywords; what remains is a join by category.
+    """
+    known = category_keywords(selections, keywords)
+    pairs = substring_pairs(names.select(F.col("category_name").alias("text")), known.select(F.col("keyword").alias("needle")))
+    hit = pairs.join(known, pairs["needle"] == known["keyword"]).select("category", F.col("text").alias("category_name")).distinct()
+    wanted = selections.select("request_id", "category").distinct().join(hit, "category").select("request_id", "category_name").distinct().join(names, "category_name")
+    return benefits.select("card_id", "benefit_id", "category_id").join(wanted, "category_id").select("request_id", "card_id", "benefit_id", "category_name")
+
+
 def decode_card_type(kind: Column, back: bool = False) -> Column:
     """신용 and 체크 to credit and debit, or back; anything else stays."""
     out = kind

@@ -48,14 +48,34 @@ def card_filter(d: Domain) -> DataFrame:
     return catalogue.filter_cards(d.card, found).select("card_id", "company", "card_type", "annual_fee_dom_basic", "min_performance")
 
 
+def _keywords(d: Domain) -> DataFrame:
+    return d.spark.createDataFrame([(c, list(w)) for c, w in KEYWORDS.items()], "category string, keywords array<string>")
+
+
 @query
 def category_keyword_match(d: Domain) -> DataFrame:
-    wanted = (["A"], ["B"], ["A", "B"], ["C"], ["pin"], [])
-    parts = [catalogue.match_categories(d.card, s, KEYWORDS).select("card_id", F.lit(",".join(s)).alias("selected")) for s in wanted]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Six selections as rows: listed categories alone and together, one without keywords, an unlisted one, and none."""
+    wanted = (["A"], ["B"], ["A", "B"], ["C"], ["pin"], [None])
+    rows = d.spark.createDataFrame([(",".join(filter(None, s)), c) for s in wanted for c in s], "request_id string, category string")
+    return catalogue.match_selections(d.card, rows, _keywords(d)).select("card_id", F.col("request_id").alias("selected"))
+
+
+@query
+def selection_matches(d: Domain) -> DataFrame:
+    """The selections of all nations: listed, unlisted, unknown, empty and repeated categories by their key."""
+    return catalogue.match_selections(d.card, d.selections, _keywords(d))
+
+
+@query
+def selection_category_hits(d: Domain) -> DataFrame:
+    """The same selections against the names of benefit categories."""
+    return catalogue.selection_hits(d.bridge, d.category_selections, dims.keyword_map(d.spark), dims.categories(d.spark))
+
+
+@query
+def card_searches(d: Domain) -> DataFrame:
+    """Searches for pieces of the names that cards have, in both cases, of one character up to whole words, and for nothing."""
+    return catalogue.search_many(d.card, d.searches)
 
 
 @query

@@ -112,6 +112,17 @@ QUERIES = {
               WHEN 'pin' THEN contains(lower(summary), 'pin') ELSE true END""",
     "card_search": """SELECT card_id, card_name, company FROM card WHERE card_id % 10 <> 0
         AND (contains(lower(card_name), 'ring') OR contains(lower(company), 'ring') OR len(list_filter(tags, lambda t: contains(t, 'RING'))) > 0)""",
+    "card_searches": """SELECT search_id, card_id FROM card, (
+          SELECT w || '/' || k AS search_id, CASE WHEN k % 2 = 0 THEN upper(p) ELSE p END AS query FROM (
+            SELECT w, k, substring(w, 1 + length(w) % 3, k) AS p FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), range(1, 6) AS t(k))
+          UNION ALL SELECT DISTINCT 'of/' || p_brand, upper(p_brand) FROM part UNION ALL SELECT 'all', '')
+        WHERE contains(lower(card_name), lower(query)) OR contains(lower(company), lower(query)) OR len(list_filter(tags, lambda t: contains(t, query))) > 0""",
+    "selection_matches": """SELECT request_id, card_id FROM card, ({chosen_cards}) GROUP BY ALL
+        HAVING bool_and(category IS NULL OR CASE category WHEN 'A' THEN contains(lower(summary), 'ring') WHEN 'B' THEN contains(lower(summary), 'widget') OR contains(lower(summary), 'bolt')
+               WHEN 'C' THEN false ELSE contains(lower(summary), lower(category)) END)""",
+    "selection_category_hits": """SELECT DISTINCT request_id, card_id, benefit_id, category_name FROM bridge JOIN category USING (category_id) JOIN ({chosen_names}) ON
+          CASE category WHEN '백화점/아울렛' THEN contains(category_name, '마트') OR contains(category_name, '쇼핑') WHEN '반려동물' THEN false
+               WHEN '의료' THEN contains(category_name, '의료') OR contains(category_name, '병원') OR contains(category_name, '약국') ELSE contains(category_name, category) END""",
     "decode_dimensions": """SELECT card_id, CASE card_type WHEN '신용' THEN 'credit' ELSE 'debit' END AS type, card_type AS type_back,
         coalesce(network, 'VISA') AS network, company FROM card""",
     "card_sort": "SELECT card_id, len(list_filter(list_transform(string_split(summary, '/'), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS items FROM card",
@@ -254,5 +265,8 @@ def oracles() -> dict[str, str]:
     domain = DOMAIN.format(categories=_values(list(enumerate(dims.CATEGORIES, 1))), weights=_values(weights))
     parts = {k: QUERIES[k] for k in ("fee_performance_score", "diversity_score", "limit_score", "practicality_score")}
     parts |= {k: ", ".join(f"'{x}'" for x in v) for k, v in (("long", [i[0] for i in dims.ISSUERS]), ("short", [i[1] for i in dims.ISSUERS]), ("allowed", ISSUERS_ALLOWED), ("spending", dims.SPENDING_MATCH), ("first", ISSUERS_ALLOWED[:1]))}
+    chosen = "SELECT n_nationkey AS request_id, ([{names}])[x % {n} + 1] AS category FROM nation, unnest([n_nationkey, n_nationkey * 3 + 1, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 5 ELSE n_nationkey END]) AS t(x)"
+    for k, v in (("chosen_cards", ("A", "B", "pin", "re", "C", "RING")), ("chosen_names", ("백화점/아울렛", "편의점", "반려동물", "쇼핑", "의료", "외", "카페/베이"))):
+        parts[k] = chosen.format(names=", ".join(f"'{x}'" for x in v), n=len(v) + 1)
     parts["issuers"] = str(2 * len(dims.ISSUERS) + 1)
     return {name: f"WITH {domain} {body.format(**parts)}" for name, body in QUERIES.items()}

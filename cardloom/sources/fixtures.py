@@ -148,3 +148,27 @@ class Domain:
     def users(self) -> DataFrame:
         k = F.col("c_custkey")
         return self.raw("customer").filter((k % 4 == 0) & (k < 1000)).select(k.alias("user_id"), F.concat(F.lit("u"), k.cast("string"), F.lit("@x.kr")).alias("email"))
+
+    def _chosen(self, names: tuple) -> DataFrame:
+        k = F.col("n_nationkey")
+        at = lambda x: F.get(F.array(*[F.lit(n) for n in names]), (x % (len(names) + 1)).cast("int"))
+        return self.raw("nation").select(k.alias("request_id"), F.explode(F.array(at(k), at(k * 3 + 1), at(F.when(k % 2 == 0, k * 5).otherwise(k)))).alias("category"))
+
+    @cached_property
+    def selections(self) -> DataFrame:
+        """``request_id, category``: three categories a nation, some null, some the same."""
+        return self._chosen(("A", "B", "pin", "re", "C", "RING"))
+
+    @cached_property
+    def category_selections(self) -> DataFrame:
+        return self._chosen(("백화점/아울렛", "편의점", "반려동물", "쇼핑", "의료", "외", "카페/베이"))
+
+    @cached_property
+    def searches(self) -> DataFrame:
+        """Pieces of the words of card names; the id tells the piece."""
+        words = self.raw("part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+        sized = words.select("w", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"))
+        piece = F.expr("substring(w, 1 + length(w) % 3, k)")
+        rows = sized.select(F.concat("w", F.lit("/"), F.col("k").cast("string")).alias("search_id"), F.when(F.col("k") % 2 == 0, F.upper(piece)).otherwise(piece).alias("query"))
+        issuers = self.raw("part").select(F.concat(F.lit("of/"), F.col("p_brand")).alias("search_id"), F.upper("p_brand").alias("query")).distinct()
+        return rows.unionByName(issuers).unionByName(self.spark.sql("SELECT 'all' AS search_id, '' AS query UNION ALL SELECT 'none', NULL"))

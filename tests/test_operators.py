@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import accounts, advice, catalogue, compare, history, profile, quality, ranking, scoring, spending
+from cardloom.operators import accounts, advice, catalogue, compare, history, profile, quality, ranking, scoring, spending, substrings
 from cardloom.sources import dims, io
 
 BENEFIT = "card_id long, benefit_pos long, benefit_id string, benefit_title string, benefit_content string, benefit_value decimal(12,2), benefit_unit string, max_limit long, category_ids array<long>"
@@ -265,3 +265,43 @@ def test_first_of_equal_emails(spark):
     users = spark.createDataFrame([("t@x",), ("t@x",)], "email string")
     got = {r.signup_id: r.accepted for r in accounts.validate_signups(signups, users).collect()}
     assert len(got) == len(rows) and {k for k, v in got.items() if v} == {1, 9}
+
+
+def test_substring_pairs_are_those_of_all_pairs(spark):
+    texts = ["", "a", "abc", "abcabc", "여행/숙박", "행", "aXbXc", "xx xx", None, "abc", "zz" * 500]
+    needles = ["", "a", "b", "bc", "abc", "cab", "abcabcabc", "행/숙", "여행/숙박", "X", "xx x", None, "zzzz", "q", "abc"]
+    got = substrings.substring_pairs(spark.createDataFrame([(t, 1) for t in texts], "text string, n long"), spark.createDataFrame([(n, 1) for n in needles], "needle string, size long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted({(t, n) for t in texts for n in needles if t is not None and n is not None and n in t})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    nothing = spark.createDataFrame([], "text string, needle string")
+    assert substrings.substring_pairs(nothing, nothing).count() == 0
+
+
+def test_many_searches_are_the_single_ones(spark):
+    cards = spark.createDataFrame([(1, "Gold Ring", "KB", ["Ring", "X"], 0), (2, "ring ring", None, None, 0), (3, None, "ringer", [], 0), (4, "카드 하나", "BC", ["하나"], 0)], "card_id long, card_name string, company string, tags array<string>, query long")
+    asked = ["RING", "ring", "", "x", "X", "kb", "하나", "드 하", "none", "g r"]
+    searches = spark.createDataFrame([(k, q) for k, q in enumerate(asked)] + [(99, None), (100, "ring")], "search_id long, query string")
+    got = catalogue.search_many(cards, searches)
+    for k, q in [*enumerate(asked), (100, "ring")]:
+        assert sorted(r.card_id for r in got.filter(F.col("search_id") == k).collect()) == sorted(r.card_id for r in catalogue.search_cards(cards, q).collect())
+    assert got.filter("search_id = 99").count() == 0
+
+
+def test_many_selections_are_the_single_ones(spark):
+    cards = spark.createDataFrame([(1, "쇼핑 / 마트"), (2, "영화 / 카페"), (3, None), (4, "Ring"), (5, "쇼핑 / 영화")], "card_id long, summary string")
+    asked = {1: ["온라인쇼핑"], 2: ["백화점/아울렛", "문화/엔터"], 3: ["반려동물"], 4: ["ring"], 5: [None], 6: ["온라인쇼핑", None, "온라인쇼핑"], 7: ["반려동물", "온라인쇼핑"]}
+    rows = spark.createDataFrame([(k, c) for k, v in asked.items() for c in v], "request_id long, category string")
+    got = catalogue.match_selections(cards, rows, dims.keyword_map(spark)).collect()
+    for k, v in asked.items():
+        assert sorted(r.card_id for r in got if r.request_id == k) == sorted(r.card_id for r in catalogue.match_categories(cards, list(dict.fromkeys(filter(None, v)))).collect())
+
+
+def test_selection_hits_are_the_single_ones(spark):
+    bridge = spark.createDataFrame([(k, f"b{k}", k) for k in range(1, 22)], "card_id long, benefit_id string, category_id long")
+    asked = {1: ["편의점", "쇼핑"], 2: ["의료", "의료"], 3: ["반려동물"], 4: [None], 5: ["외"]}
+    rows = spark.createDataFrame([(k, c) for k, v in asked.items() for c in v], "request_id long, category string")
+    got = catalogue.selection_hits(bridge, rows, dims.keyword_map(spark), dims.categories(spark)).collect()
+    for k, v in asked.items():
+        one = {(r.card_id, r.category_name) for r in catalogue.selected_category_hits(bridge, list(filter(None, v))).collect()}
+        assert sorted((r.card_id, r.category_name) for r in got if r.request_id == k) == sorted(one)
