@@ -189,11 +189,26 @@ def detail_rows(cards: DataFrame, benefits: DataFrame) -> DataFrame:
     return cards.select("card_id").join(named, "card_id", "left")
 
 
-def card_detail(cards: DataFrame, benefits: DataFrame) -> DataFrame:
-    """One nested row per card: its benefits in order."""
+CHUNK = 1_000
+
+
+def card_detail(cards: DataFrame, benefits: DataFrame, size: int = CHUNK) -> DataFrame:
+    """A card's benefits in order, nested in chunks: ``card_id, card_name, company, chunk, n_chunks, benefits``.
+
+    A chunk holds ``size`` benefits at most, so no card is ever one row or one group, however many it has; chunks in order
+    are the card. ``benefit_pos`` counts a card's benefits from 1 without gaps. A card without benefits has one empty chunk.
+    """
     item = F.struct("benefit_pos", "benefit_id", "category", "benefit_title", "benefit_content", "value_text", "max_limit")
-    rows = detail_rows(cards, benefits).groupBy("card_id").agg(F.sort_array(F.collect_list(F.when(F.col("benefit_id").isNotNull(), item))).alias("benefits"))
-    return cards.select("card_id", "card_name", "company").join(rows, "card_id", "left")
+    at = F.call_function("div", F.coalesce("benefit_pos", F.lit(1)) - 1, F.lit(size))
+    rows = detail_rows(cards, benefits).groupBy("card_id", at.alias("chunk")).agg(F.sort_array(F.collect_list(F.when(F.col("benefit_id").isNotNull(), item))).alias("benefits"))
+    counts = rows.groupBy("card_id").agg((F.max("chunk") + 1).alias("n_chunks"))
+    return cards.select("card_id", "card_name", "company").join(counts, "card_id").join(rows, "card_id").select("card_id", "card_name", "company", "chunk", "n_chunks", "benefits")
+
+
+def unnested(detail: DataFrame) -> DataFrame:
+    """Rows of :func:`card_detail`'s chunks, chunk by chunk; one row of nulls for a card without benefits."""
+    rows = detail.select("card_id", "card_name", F.explode_outer("benefits").alias("b"))
+    return rows.select("card_id", "card_name", "b.benefit_pos", "b.category", "b.benefit_title", "b.benefit_content", "b.value_text", "b.max_limit")
 
 
 def benefit_groups(detail: DataFrame) -> DataFrame:
@@ -228,12 +243,31 @@ def facet_counts(cards: DataFrame) -> DataFrame:
     return cube.select(F.when(F.col("g1") == 1, "전체").otherwise(F.col("company")).alias("company"), F.when(F.col("g2") == 1, "all").otherwise(F.col("card_type")).alias("card_type"), "n")
 
 
+def nest_catalogue(cards: DataFrame, benefits: DataFrame) -> DataFrame:
+    """One nested document a card, in the catalogue's schema as far as the tables tell; a document is one row by nature."""
+    first = F.get(F.array(*map(F.lit, dims.CATEGORIES)), (F.col("category_ids")[0] - 1).cast("int"))
+    item = F.struct(
+        "benefit_pos", F.when(F.size("category_ids") > 0, first).otherwise(OTHER).alias("category"), F.col("benefit_content").alias("description"), F.col("benefit_value").cast("double").alias("discountRate"),
+        F.col("benefit_kind").alias("type"), F.col("max_limit").cast("int").alias("maxMonthly"), F.col("condition"),
+    )
+    listed = benefits.groupBy("card_id").agg(F.sort_array(F.collect_list(item)).alias("b"))
+    events = F.when(F.col("has_cashback"), F.array(F.concat(F.lit("event of "), "card_name"), F.lit("cashback"))).otherwise(F.array().cast("array<string>"))
+    return cards.join(listed, "card_id", "left").select(
+        F.col("card_id").cast("int").alias("id"), F.col("card_name").alias("name"), F.col("company").alias("issuer"), decode_card_type(F.col("card_type")).alias("type"), normalise_network(F.col("network")).alias("network"),
+        F.col("annual_fee_dom_basic").alias("annualFee"), F.col("min_performance").alias("minSpending"), F.col("max_benefit").cast("int").alias("maxBenefit"), (F.col("rating_x10") / 10).cast("double").alias("rating"), "tags",
+        F.transform("b", lambda x: x.dropFields("benefit_pos")).alias("benefits"), events.alias("eventBenefits"),
+    )
+
+
 def normalise_catalogue(nested: DataFrame) -> dict[str, DataFrame]:
-    """The nested catalogue as card, benefit, tag and event rows; positions are kept from 1."""
-    flat = [c for c in nested.columns if c not in ("benefits", "tags", "eventBenefits")]
+    """The nested catalogue as card, benefit, tag and event rows; positions are kept from 1. ``damaged`` has the lines that are no card."""
+    damage = F.col("_corrupt_record") if "_corrupt_record" in nested.columns else F.lit(None).cast("string")
+    whole = nested.filter(damage.isNull()).drop("_corrupt_record")
+    placed = lambda c, name: whole.select("id", F.posexplode(c).alias("p", "v")).select("id", (F.col("p") + 1).alias("pos"), F.col("v").alias(name))
     return {
-        "card": nested.select(*flat),
-        "benefit": nested.select("id", F.posexplode_outer("benefits").alias("pos", "b")).filter("b IS NOT NULL").select("id", (F.col("pos") + 1).alias("benefit_pos"), "b.*"),
-        "tag": nested.select("id", F.posexplode("tags").alias("pos", "tag")),
-        "event": nested.select("id", F.posexplode("eventBenefits").alias("pos", "event")),
+        "card": whole.drop("benefits", "tags", "eventBenefits"),
+        "benefit": placed("benefits", "b").filter("b IS NOT NULL").select("id", F.col("pos").alias("benefit_pos"), "b.*"),
+        "tag": placed("tags", "tag"),
+        "event": placed("eventBenefits", "event"),
+        "damaged": nested.select(damage.alias("line")).filter("line IS NOT NULL"),
     }

@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardloom.functions.numeric import percent, percent_difference, whole_div
+from cardloom.operators.catalogue import decode_benefit_kind
 from cardloom.operators.ranking import medal
+from cardloom.sources import dims
 
 MOST_CARDS = 3
 
@@ -26,9 +28,9 @@ def _category() -> WindowSpec:
 
 def first_rates(benefits: DataFrame) -> DataFrame:
     """The first benefit of each card and category; a missing value is the rate 0. Rates keep their two decimals."""
-    first = F.min_by(F.struct(F.col("benefit_value"), F.col("benefit_unit"), F.col("max_limit")), "benefit_pos")
+    first = F.min_by(F.struct("benefit_value", "benefit_unit", "max_limit", "benefit_kind", "condition"), "benefit_pos")
     rows = benefits.groupBy("card_id", "category_id").agg(first.alias("b"), F.min("benefit_pos").alias("benefit_pos"))
-    return rows.select("card_id", "category_id", F.coalesce(F.col("b.benefit_value"), F.lit(0)).cast("decimal(12,2)").alias("rate"), F.col("b.benefit_unit").alias("unit"), F.col("b.max_limit").alias("max_limit"), "benefit_pos")
+    return rows.select("card_id", "category_id", F.coalesce(F.col("b.benefit_value"), F.lit(0)).cast("decimal(12,2)").alias("rate"), F.col("b.benefit_unit").alias("unit"), F.col("b.max_limit").alias("max_limit"), F.col("b.benefit_kind").alias("benefit_kind"), F.col("b.condition").alias("condition"), "benefit_pos")
 
 
 def at_least_two(sets: DataFrame) -> DataFrame:
@@ -92,9 +94,13 @@ def rate_matrix(rows: DataFrame) -> DataFrame:
 
 
 def benefit_cells(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The grid of each set's cards and categories: rate, unit, monthly cap, or nulls where the card lacks the category."""
+    """The grid of each set's cards and categories: rate, unit, label of the kind, monthly cap and condition, or nulls where the card lacks the category.
+
+    A kind without a label has none, and the condition that says that there is none is not shown.
+    """
     cells = sets.select("set_id", "card_id", "pos").join(rows.select("set_id", "category_id").distinct(), "set_id")
-    return cells.join(rows.select("set_id", "pos", "category_id", "rate", "unit", "max_limit"), ["set_id", "pos", "category_id"], "left").select("set_id", "card_id", "category_id", "rate", "unit", "max_limit")
+    shown = rows.select("set_id", "pos", "category_id", "rate", "unit", "max_limit", decode_benefit_kind(F.col("benefit_kind")).alias("kind"), F.nullif("condition", F.lit(dims.NO_CONDITION)).alias("condition"))
+    return cells.join(shown, ["set_id", "pos", "category_id"], "left").select("set_id", "card_id", "category_id", "rate", "unit", "kind", "max_limit", "condition")
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:

@@ -80,6 +80,31 @@ def _baskets(done: list[tuple], key: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([u for u, _ in done], key), pa.array([",".join(map(str, h)) for _, h in done], pa.string())], ["user_id", "basket"])
 
 
+def viewed_lists(views: DataFrame) -> DataFrame:
+    """Recent views as one row a user, newest first: as many entries as a history has."""
+    rows = views.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("place", "card_id"))).alias("v"))
+    return rows.select("user_id", F.col("v.card_id").alias("viewed"))
+
+
+def compared_lists(compares: DataFrame) -> DataFrame:
+    """Recent comparisons (``cards`` joined by commas, ``place``) as one row a user, newest first."""
+    rows = compares.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("place", "cards"))).alias("c"))
+    return rows.select("user_id", F.transform("c.cards", lambda x: F.split(x, ",").cast("array<bigint>")).alias("compared"))
+
+
+def viewed_favourites(viewed: DataFrame, favourites: DataFrame) -> DataFrame:
+    """Views of ``viewed (user_id, viewed)`` with their place and whether they are favourites. Both sides are by user; tables bucketed by user meet without an exchange."""
+    sets = favourites.groupBy("user_id").agg(F.collect_set("card_id").alias("liked"))
+    met = viewed.join(sets.hint("merge"), "user_id", "left").select("user_id", F.posexplode("viewed").alias("at", "card_id"), "liked")
+    return met.select("user_id", "card_id", (F.col("at") + 1).cast("long").alias("place"), F.coalesce(F.array_contains("liked", F.col("card_id")), F.lit(False)).alias("favourite"))
+
+
+def write_history(rows: DataFrame) -> DataFrame:
+    """Lists of views and comparisons as the JSON texts that a browser keeps; no list is an empty one."""
+    text = lambda c: F.to_json(F.coalesce(c, F.array().cast(rows.schema[c].dataType)))
+    return rows.select("user_id", text("viewed").alias("viewed"), text("compared").alias("compared"))
+
+
 def parse_history(rows: DataFrame) -> DataFrame:
     """Stored JSON lists ``viewed`` and ``compared`` as arrays; text that is no such list gives null."""
     return rows.select("user_id", F.from_json("viewed", "array<bigint>").alias("viewed"), F.from_json("compared", "array<array<bigint>>").alias("compared"))

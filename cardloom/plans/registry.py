@@ -100,9 +100,7 @@ def card_preview(d: Domain) -> DataFrame:
 
 @query
 def card_detail(d: Domain) -> DataFrame:
-    nested = catalogue.card_detail(d.card, d.benefit)
-    rows = nested.select("card_id", "card_name", F.explode_outer("benefits").alias("b"))
-    return rows.select("card_id", "card_name", "b.benefit_pos", "b.category", "b.benefit_title", "b.benefit_content", "b.value_text", "b.max_limit")
+    return catalogue.unnested(catalogue.card_detail(d.card, d.benefit))
 
 
 @query
@@ -500,7 +498,42 @@ def statements_json(d: Domain) -> DataFrame:
 
 @query
 def stored_views(d: Domain) -> DataFrame:
-    """Recent views written in folders by a hash of the user, then read back."""
-    path = io.scratch_path(d.spark, "views")
-    io.write_table(recent_views(d), path, user_buckets=16)
-    return d.spark.read.parquet(path).drop("user_bucket")
+    """Recent views and favourites, written as tables bucketed by user and joined without an exchange."""
+    views = io.bucketed(history.viewed_lists(recent_views(d)), *io.scratch_table(d.spark, "views"), buckets=16)
+    liked = io.bucketed(favourites(d), *io.scratch_table(d.spark, "favourites"), buckets=16)
+    return history.viewed_favourites(views, liked)
+
+
+@query
+def history_texts(d: Domain) -> DataFrame:
+    """Histories as JSON texts, and what is read from these again: lengths and sums of what they list."""
+    lists = history.viewed_lists(recent_views(d)).join(history.compared_lists(recent_compares(d)), "user_id", "full")
+    texts = history.write_history(lists)
+    back = history.parse_history(texts).withColumnsRenamed({"viewed": "v", "compared": "c"})
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+    counts = [F.size("v").cast("long").alias("n_viewed"), total(F.col("v")).alias("viewed_sum"), F.size("c").cast("long").alias("n_compared"), total(F.flatten("c")).alias("compared_sum")]
+    return texts.join(back, "user_id").select("user_id", "viewed", "compared", *counts)
+
+
+@query
+def nested_catalogue(d: Domain) -> DataFrame:
+    """Cards with their benefits, tags and event notes, written as nested JSON lines and read back as rows of each kind."""
+    path = io.scratch_path(d.spark, "catalogue")
+    io.write_table(catalogue.nest_catalogue(d.card, d.benefit), path, form="json")
+    parts = catalogue.normalise_catalogue(io.read_catalogue(d.spark, path))
+    told = {
+        "card": (F.lit(0), F.concat_ws("|", "name", "issuer", "type", "network", "annualFee", "minSpending", "maxBenefit")), "benefit": ("benefit_pos", F.concat_ws("|", "category", "description", "type", "maxMonthly", F.col("discountRate").cast("decimal(12,2)"), "condition")),
+        "tag": ("pos", "tag"), "event": ("pos", "event"),
+    }
+    rows = [parts[k].select(F.lit(k).alias("kind"), F.col("id").cast("long").alias("card_id"), (F.col(at) if isinstance(at, str) else at).cast("long").alias("pos"), (F.col(v) if isinstance(v, str) else v).alias("value")) for k, (at, v) in told.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query
+def cards_by_jdbc(d: Domain) -> DataFrame:
+    """Cheap cards from a database table that is read in four ranges of its key; the fee is tested in the database."""
+    url = io.scratch_database(d.spark)
+    cards = d.card.select(F.when(F.col("card_id") % 7 != 0, F.col("card_id")).alias("card_key"), "card_id", "card_name", "company", "annual_fee_dom_basic")
+    cards.write.format("jdbc").options(url=url, dbtable="card", createTableColumnTypes="card_name VARCHAR(200), company VARCHAR(80)").mode("overwrite").save()
+    read = io.read_tables(d.spark, {"url": url}, ["card"], partition_column="card_key", num_partitions=4)["card"]
+    return read.filter("annual_fee_dom_basic <= 50000").select("card_key", "card_id", "card_name", "company")

@@ -26,6 +26,8 @@ benefit AS (
          CASE WHEN round(l_tax * 100)::INT <> 8 THEN (round(l_discount * 200) + l_suppkey % 4 * 0.25)::DECIMAL(12, 2) END AS benefit_value,
          CASE WHEN l_linestatus = 'O' THEN '%' END AS benefit_unit,
          CASE WHEN NOT (round(l_discount * 100)::INT = 1 AND round(l_tax * 100)::INT = 0) THEN round(l_extendedprice / 100)::BIGINT END AS max_limit,
+         CASE l_suppkey % 6 WHEN 0 THEN 'discount' WHEN 1 THEN 'cashback' WHEN 2 THEN 'point' WHEN 3 THEN 'special' WHEN 4 THEN 'gift' END AS benefit_kind,
+         CASE WHEN l_suppkey % 3 = 0 THEN '제한없음' WHEN l_suppkey % 11 <> 0 THEN 'S' || (l_suppkey % 5) END AS condition,
          l_suppkey, l_linenumber, l_quantity
   FROM benefit0),
 bridge AS (
@@ -76,7 +78,7 @@ item AS (
 sets AS (SELECT * FROM (SELECT set_id, card_id, pos, count(*) OVER (PARTITION BY set_id) AS set_size FROM item) WHERE set_size >= 2),
 firsts AS (SELECT b.*, c.category_id FROM benefit b JOIN (SELECT benefit_id, min(category_id) AS category_id FROM bridge GROUP BY ALL) c USING (benefit_id)),
 rate AS (
-  SELECT card_id, category_id, coalesce(benefit_value, 0)::DOUBLE AS rate, (coalesce(benefit_value, 0) * 100)::BIGINT AS cents, benefit_unit AS unit, max_limit, benefit_pos
+  SELECT card_id, category_id, coalesce(benefit_value, 0)::DOUBLE AS rate, (coalesce(benefit_value, 0) * 100)::BIGINT AS cents, benefit_unit AS unit, max_limit, benefit_pos, benefit_kind, condition
   FROM (SELECT *, row_number() OVER (PARTITION BY card_id, category_id ORDER BY benefit_pos) AS k FROM firsts) WHERE k = 1),
 rates AS (SELECT * FROM sets JOIN rate USING (card_id)),
 counts AS (SELECT card_id, count(*) AS n_benefits FROM benefit GROUP BY ALL),
@@ -189,7 +191,9 @@ QUERIES = {
           SELECT set_id, category_id, min(pos) AS p, arg_min(benefit_pos, pos) AS b FROM rates GROUP BY ALL)""",
     "shared_categories": "SELECT DISTINCT set_id, category_id FROM shared",
     "rate_matrix": """SELECT set_id, category_id, coalesce(max(rate) FILTER (pos = 0), 0) AS rate0, coalesce(max(rate) FILTER (pos = 1), 0) AS rate1, coalesce(max(rate) FILTER (pos = 2), 0) AS rate2 FROM rates GROUP BY ALL""",
-    "benefit_cells": """SELECT s.set_id, s.card_id, c.category_id, r.rate, r.unit, r.max_limit FROM sets s JOIN (SELECT DISTINCT set_id, category_id FROM rates) c USING (set_id)
+    "benefit_cells": """SELECT s.set_id, s.card_id, c.category_id, r.rate, r.unit, r.max_limit, nullif(r.condition, '제한없음') AS condition,
+          CASE r.benefit_kind WHEN 'discount' THEN '할인' WHEN 'cashback' THEN '캐시백' WHEN 'point' THEN '적립' WHEN 'special' THEN '특별' END AS kind
+        FROM sets s JOIN (SELECT DISTINCT set_id, category_id FROM rates) c USING (set_id)
         LEFT JOIN rates r ON r.set_id = s.set_id AND r.pos = s.pos AND r.category_id = c.category_id""",
     "shared_rate_diff": """SELECT set_id, category_id, card_id, rate, CASE WHEN a = 0 AND b = 0 THEN 0 WHEN b = 0 THEN 100 ELSE (200 * a + b) // (2 * b) - 100 END AS diff,
           CASE WHEN m > 0 THEN (200 * cents + m) // (2 * m) ELSE 0 END AS bar, cents = m AS is_best FROM (
@@ -210,6 +214,18 @@ QUERIES = {
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, set_id DESC) AS place FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id, list_sort(ids) ORDER BY ts DESC, set_id DESC) AS k
             FROM (SELECT set_id, user_id, ts, list(card_id ORDER BY pos) AS ids FROM item GROUP BY ALL) WHERE len(ids) >= 2) WHERE k = 1) WHERE place <= 5""",
+    "stored_views": """SELECT user_id, card_id, row_number() OVER (PARTITION BY user_id ORDER BY place) AS place, (user_id, card_id) IN ({favourites}) AS favourite FROM ({recent_views})""",
+    "history_texts": """SELECT user_id, coalesce(viewed, '[]') AS viewed, coalesce(compared, '[]') AS compared, coalesce(n_viewed, 0) AS n_viewed, coalesce(viewed_sum, 0) AS viewed_sum,
+          coalesce(n_compared, 0) AS n_compared, coalesce(compared_sum, 0) AS compared_sum
+        FROM (SELECT user_id, '[' || string_agg(card_id, ',' ORDER BY place) || ']' AS viewed, count(*) AS n_viewed, sum(card_id)::BIGINT AS viewed_sum FROM ({recent_views}) GROUP BY user_id)
+        FULL JOIN (SELECT user_id, '[' || string_agg('[' || cards || ']', ',' ORDER BY place) || ']' AS compared, count(*) AS n_compared,
+                          sum(list_sum(list_transform(string_split(cards, ','), lambda x: x::BIGINT)))::BIGINT AS compared_sum FROM ({recent_compares}) GROUP BY user_id) USING (user_id)""",
+    "nested_catalogue": """SELECT 'card' AS kind, card_id, 0 AS pos, concat_ws('|', card_name, company, CASE card_type WHEN '신용' THEN 'credit' ELSE 'debit' END, coalesce(network, 'VISA'),
+            annual_fee_dom_basic, min_performance, max_benefit) AS value FROM card
+        UNION ALL SELECT 'benefit', card_id, benefit_pos, concat_ws('|', category, d.benefit_content, benefit_kind, d.max_limit, benefit_value, condition) FROM detail d JOIN (SELECT benefit_id, benefit_kind, benefit_value, condition FROM benefit) USING (benefit_id)
+        UNION ALL SELECT 'tag', card_id, i, tags[i] FROM card, unnest(range(1, len(tags) + 1)) AS t(i)
+        UNION ALL SELECT 'event', card_id, i, CASE i WHEN 1 THEN 'event of ' || card_name ELSE 'cashback' END FROM card, (VALUES (1), (2)) AS t(i) WHERE has_cashback""",
+    "cards_by_jdbc": "SELECT CASE WHEN card_id % 7 <> 0 THEN card_id END AS card_key, card_id, card_name, company FROM card WHERE annual_fee_dom_basic <= 50000",
     "favourites": "SELECT user_id, k % 10 AS card_id FROM event WHERE event_type = 'purchase' GROUP BY ALL HAVING count(*) % 2 = 1",
     "compare_basket": """SELECT user_id, array_to_string(list_reduce(e, lambda held, x: CASE WHEN list_contains(held, x[1]) THEN list_filter(held, lambda y: y <> x[1])
           WHEN len(held) < 3 THEN list_append(held, x[1]) ELSE held END, []::BIGINT[]), ',') AS basket
@@ -252,7 +268,6 @@ QUERIES = {
     "statements_csv": STATEMENTS,
     "statements_json": STATEMENTS,
 }
-QUERIES["stored_views"] = QUERIES["recent_views"]
 
 
 def _values(rows: list[tuple]) -> str:
@@ -263,7 +278,7 @@ def oracles() -> dict[str, str]:
     """Each query behind the domain's views."""
     weights = [(p, c, dims.HIGH_WEIGHT if c in hi else dims.MIDDLE_WEIGHT if c in mid else dims.LOW_WEIGHT) for p, (hi, mid) in dims.PERSONAS.items() for c in range(1, len(dims.CATEGORIES) + 1)]
     domain = DOMAIN.format(categories=_values(list(enumerate(dims.CATEGORIES, 1))), weights=_values(weights))
-    parts = {k: QUERIES[k] for k in ("fee_performance_score", "diversity_score", "limit_score", "practicality_score")}
+    parts = {k: QUERIES[k] for k in ("fee_performance_score", "diversity_score", "limit_score", "practicality_score", "recent_views", "recent_compares", "favourites")}
     parts |= {k: ", ".join(f"'{x}'" for x in v) for k, v in (("long", [i[0] for i in dims.ISSUERS]), ("short", [i[1] for i in dims.ISSUERS]), ("allowed", ISSUERS_ALLOWED), ("spending", dims.SPENDING_MATCH), ("first", ISSUERS_ALLOWED[:1]))}
     chosen = "SELECT n_nationkey AS request_id, ([{names}])[x % {n} + 1] AS category FROM nation, unnest([n_nationkey, n_nationkey * 3 + 1, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 5 ELSE n_nationkey END]) AS t(x)"
     for k, v in (("chosen_cards", ("A", "B", "pin", "re", "C", "RING")), ("chosen_names", ("백화점/아울렛", "편의점", "반려동물", "쇼핑", "의료", "외", "카페/베이"))):

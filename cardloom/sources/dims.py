@@ -57,6 +57,7 @@ PERFORMANCE_CAPS = {"전체": 9_999_999, "~30만원": 300_000, "~50만원": 500_
 # Labels of benefit kinds in the comparison and in the ranking, and known networks.
 KIND_LABELS = {"comparison": {"discount": "할인", "cashback": "캐시백", "point": "적립", "special": "특별"}, "ranking": {"cashback": "캐시백", "point": "적립"}}
 RANKING_DEFAULT_KIND = "할인"
+NO_CONDITION = "제한없음"
 NETWORKS = ("VISA", "Mastercard", "BC", "신한")
 CARD_TYPES = {"신용": "credit", "체크": "debit"}
 

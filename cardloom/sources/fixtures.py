@@ -50,6 +50,8 @@ class Domain:
             F.when(tax != 8, (F.round(F.col("l_discount") * 200) + F.col("l_suppkey") % 4 * 0.25).cast("decimal(12,2)")).alias("benefit_value"),
             F.when(F.col("l_linestatus") == "O", "%").alias("benefit_unit"),
             F.when(~((off == 1) & (tax == 0)), F.round(F.col("l_extendedprice") / 100).cast("long")).alias("max_limit"),
+            F.get(F.array(*map(F.lit, [*dims.KIND_LABELS["comparison"], "gift"])), (F.col("l_suppkey") % 6).cast("int")).alias("benefit_kind"),
+            F.when(F.col("l_suppkey") % 3 == 0, dims.NO_CONDITION).when(F.col("l_suppkey") % 11 != 0, F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string"))).alias("condition"),
             self._category_ids.alias("category_ids"),
         )
 

@@ -223,8 +223,8 @@ def test_statements_and_catalogue(spark, tmp_path):
     rows = io.read_statements_json(spark, str(tmp_path / "s.json")).cache()
     assert rows.filter("_corrupt_record IS NOT NULL").count() == 1
     (tmp_path / "c.json").write_text('[{"id":1,"name":"a","tags":["x","y"],"benefits":[{"category":"카페","discountRate":5.5},{"category":"주유"}],"eventBenefits":[]},{"id":2,"name":"b"}]')
-    parts = catalogue.normalise_catalogue(io.read_catalogue(spark, str(tmp_path / "c.json")))
-    assert {k: v.count() for k, v in parts.items()} == {"card": 2, "benefit": 2, "tag": 2, "event": 0}
+    parts = catalogue.normalise_catalogue(io.read_catalogue(spark, str(tmp_path / "c.json"), lines=False))
+    assert {k: v.count() for k, v in parts.items()} == {"card": 2, "benefit": 2, "tag": 2, "event": 0, "damaged": 0}
     assert [r.benefit_pos for r in parts["benefit"].orderBy("benefit_pos").collect()] == [1, 2]
 
 
@@ -305,3 +305,77 @@ def test_selection_hits_are_the_single_ones(spark):
     for k, v in asked.items():
         one = {(r.card_id, r.category_name) for r in catalogue.selected_category_hits(bridge, list(filter(None, v))).collect()}
         assert sorted((r.card_id, r.category_name) for r in got if r.request_id == k) == sorted(one)
+
+
+def test_catalogue_lines_are_split_and_damage_is_kept(spark, tmp_path):
+    """One file of lines is read by many tasks; lines that are no card are kept as text and are no card."""
+    lines = ['{"id":%d,"name":"card %d","tags":["x",null],"benefits":[{"category":"카페","discountRate":5.5,"maxMonthly":10},null],"eventBenefits":["e"]}' % (k, k) for k in range(20_000)]
+    (tmp_path / "c.json").write_text("\n".join([*lines, "{broken", '{"id":"no number"}', "", '{"id":20000}']))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        assert io.scan_catalogue(spark, str(tmp_path / "c.json")).rdd.getNumPartitions() > 5
+        parts = catalogue.normalise_catalogue(io.read_catalogue(spark, str(tmp_path / "c.json")))
+        assert {k: v.count() for k, v in parts.items()} == {"card": 20_001, "benefit": 20_000, "tag": 40_000, "event": 20_000, "damaged": 2}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_card_with_very_many_benefits_is_many_chunks(spark):
+    cards = spark.createDataFrame([(1, "hot", "x"), (2, "none", "x"), (3, "one", "x")], "card_id long, card_name string, company string")
+    hot = spark.range(1, 100_001).select(F.lit(1).cast("long").alias("card_id"), F.col("id").alias("benefit_pos"))
+    rows = hot.unionByName(spark.createDataFrame([(3, 1)], "card_id long, benefit_pos long"))
+    benefits = rows.select(
+        "*", F.concat_ws("-", "card_id", "benefit_pos").alias("benefit_id"), F.array().cast("array<bigint>").alias("category_ids"), F.lit("t").alias("benefit_title"),
+        F.lit(None).cast("string").alias("benefit_content"), F.lit(None).cast("decimal(12,2)").alias("benefit_value"), F.lit("%").alias("benefit_unit"), F.lit(None).cast("long").alias("max_limit"),
+    )
+    detail = catalogue.card_detail(cards, benefits).cache()
+    got = detail.select("card_id", "chunk", "n_chunks", F.size("benefits").alias("n"), F.get("benefits", F.lit(0))["benefit_pos"].alias("first")).collect()
+    assert sorted((r.chunk, r.n_chunks, r.n, r.first) for r in got if r.card_id == 1) == [(k, 100, 1_000, k * 1_000 + 1) for k in range(100)]
+    assert sorted((r.card_id, r.chunk, r.n_chunks, r.n) for r in got if r.card_id > 1) == [(2, 0, 1, 0), (3, 0, 1, 1)]
+    flat = catalogue.unnested(detail)
+    assert flat.count() == 100_002 and flat.filter("card_id = 2").first().benefit_pos is None
+
+
+def test_tables_bucketed_by_user_meet_without_an_exchange(spark):
+    views = spark.createDataFrame([(u, [u, 5, 7]) for u in range(50)] + [(None, [1])], "user_id long, viewed array<long>")
+    liked = spark.createDataFrame([(u, c) for u in range(0, 60, 2) for c in (5, u)], "user_id long, card_id long")
+    a, b = io.bucketed(views, *io.scratch_table(spark, "a"), buckets=8), io.bucketed(liked, *io.scratch_table(spark, "b"), buckets=8)
+    met = history.viewed_favourites(a, b)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    want = {(u, c, k, u % 2 == 0 and c in (5, u)) for u in range(50) for k, c in enumerate((u, 5, 7), 1)} | {(None, 1, 1, False)}
+    assert {tuple(r) for r in met.collect()} == want
+    files = [r.f for r in b.select(F.input_file_name().alias("f")).distinct().collect()]
+    assert len(files) <= 8
+
+
+def test_jdbc_is_read_in_ranges_with_nulls_and_pushed_filters(spark):
+    url = io.scratch_database(spark)
+    cards = spark.createDataFrame([(k if k % 10 else None, k, f"card {k}") for k in range(100)], "card_key long, fee long, name string").coalesce(2)
+    cards.write.format("jdbc").options(url=url, dbtable="card", createTableColumnTypes="name VARCHAR(40)").save()
+    cards.limit(0).write.format("jdbc").options(url=url, dbtable="empty", createTableColumnTypes="name VARCHAR(40)").save()
+    read = io.read_tables(spark, {"url": url}, ["card", "empty"], "card_key", 4)
+    assert read["card"].rdd.getNumPartitions() == 4 and read["card"].count() == 100 and read["card"].filter("card_key IS NULL").count() == 10
+    sizes = read["card"].groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4
+    some = read["card"].filter("fee >= 90").select("name")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(fee,90)" in plan and "fee" not in plan.partition("ReadSchema")[2]
+    assert {r.name for r in some.collect()} == {f"card {k}" for k in range(90, 100)}
+    assert read["empty"].count() == 0 and read["empty"].rdd.getNumPartitions() == 1
+
+
+def test_histories_come_back_from_their_texts(spark):
+    rows = spark.createDataFrame([(1, [3, 1], [[1, 2], [3, 4, 5]]), (2, [], []), (3, None, None), (None, [9], [[]])], "user_id long, viewed array<long>, compared array<array<long>>")
+    texts = history.write_history(rows)
+    assert {(r.user_id, r.viewed, r.compared) for r in texts.collect()} == {(1, "[3,1]", "[[1,2],[3,4,5]]"), (2, "[]", "[]"), (3, "[]", "[]"), (None, "[9]", "[[]]")}
+    back = {r.user_id: (r.viewed, r.compared) for r in history.parse_history(texts).collect()}
+    assert back == {1: ([3, 1], [[1, 2], [3, 4, 5]]), 2: ([], []), 3: ([], []), None: ([9], [[]])}
+
+
+def test_cells_show_the_kind_and_a_real_condition(spark):
+    sets = spark.createDataFrame([(1, 5, 0), (1, 6, 1)], "set_id long, card_id long, pos long")
+    rows = spark.createDataFrame([(1, 0, 3, 5.0, "%", 9, "cashback", "제한없음"), (1, 1, 3, 1.0, None, None, "gift", "월 1회"), (1, 1, 4, 1.0, None, None, None, None)], "set_id long, pos long, category_id long, rate double, unit string, max_limit long, benefit_kind string, condition string")
+    got = {(r.card_id, r.category_id): (r.kind, r.condition) for r in compare.benefit_cells(sets, rows).collect()}
+    assert got == {(5, 3): ("캐시백", None), (6, 3): (None, "월 1회"), (6, 4): (None, None), (5, 4): (None, None)}
