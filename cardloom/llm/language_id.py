@@ -22,7 +22,7 @@ from cardloom.llm.shared import cut
 from cardloom.llm.url_filter import url_host
 
 HASH_BITS = 16
-#: Trigrams of a text that count in full; more of them are weighed down to this many, as neighbours are not independent.
+#: Neighbouring trigrams are not independent: n of them weigh as EVIDENCE log(1 + n / EVIDENCE), which grows with every n, ever more slowly.
 EVIDENCE = 100.0
 #: Pages that a level's prior weighs at the level below.
 STRENGTH = 5.0
@@ -111,13 +111,34 @@ def text_evidence(pages: DataFrame, model: np.ndarray) -> DataFrame:
                 for ids in trigram_ids(page_text(markup.as_py() or "")):
                     total += model[:, ids].sum(axis=1, dtype=np.float64)
                     n += len(ids)
-                logs.append((total * min(1.0, EVIDENCE / max(n, 1))).tolist())
+                logs.append((total * (EVIDENCE * np.log1p(n / EVIDENCE) / max(n, 1))).tolist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(logs, pa.list_(pa.float64()))], [*names, "text_log"])
 
     kinds = ", ".join(f"{c} {dict(pages.dtypes)[c]}" for c in names)
     return pages.mapInArrow(run, f"{kinds}, text_log array<double>")
 
 
+def site_of(url: Column) -> Column:
+    """The host of a URL as a name: without user part, port and a dot at the end; empty where there is none."""
+    return F.regexp_replace(F.regexp_replace(url_host(url), r"(?s)^.*@", ""), r"\.?(?::[0-9]*)?$", "")
+
+
+def is_address(site: Column) -> Column:
+    """True for numeric addresses, which have neither suffix nor domain."""
+    return site.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | site.startswith("[")
+
+
+def domain_of(site: Column) -> Column:
+    """The last two labels, or three where the second one from the end is a short one before a country's (co.uk); an address is its own."""
+    labels = F.when(site.rlike(r"\.[^.]{1,3}\.[a-z]{2}$"), F.substring_index(site, ".", -3)).otherwise(F.substring_index(site, ".", -2))
+    return F.when(is_address(site), site).otherwise(labels)
+
+
+def suffix_of(site: Column) -> Column:
+    """The last label; none for an address."""
+    return F.when(is_address(site), "").otherwise(F.substring_index(site, ".", -1))
+
+
 def softmax(logs: Column) -> Column:
     """An array of log weights, as probabilities."""
     top = F.array_max(logs)
@@ -157,18 +178,19 @@ def identify_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     Returns ``page_id, lang, probability, text_lang, declared``; ``text_lang`` is what the text alone says.
 
     * A page's own text is taken out of the sums of its host, domain, suffix and declared language before these judge it.
+    * A host counts without user part and port; a numeric address has no suffix and is its own domain.
     * Without text, declared language or host (null or empty columns) the other evidence decides; ties go to the first language in order.
     * Languages are those of ``docs``; without any, lang and probability are null. Pages of other languages get the nearest.
     * Repeated rows all stay. No pages give no rows. Other columns are ignored.
     """
     langs, model = trigram_model(docs)
     declared = F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1)), F.lit(""))
-    told = pages.select("page_id", url_host(F.col("url")).alias("host"), declared.alias("declared"), "html")
+    told = pages.select("page_id", site_of(F.col("url")).alias("host"), declared.alias("declared"), "html")
     if not langs:
         nothing = F.lit(None).cast("string")
         return told.select("page_id", nothing.alias("lang"), F.lit(None).cast("double").alias("probability"), nothing.alias("text_lang"), "declared")
     n = len(langs)
-    rows = cut(text_evidence(told, model)).withColumn("share", softmax(F.col("text_log"))).withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    rows = cut(text_evidence(told, model)).withColumn("share", softmax(F.col("text_log"))).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
 
     host = cut(_sums(rows, ["suffix", "domain", "host"], n))
     domain = _sums(host, ["suffix", "domain"], n)

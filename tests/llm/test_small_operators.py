@@ -153,20 +153,41 @@ def test_evidence_beside_the_text(spark, docs):
     assert language_id.identify_languages(spark.createDataFrame([], "page_id long, url string, html string"), train).count() == 0
 
 
+def test_ports_users_and_addresses(spark):
+    urls = {"http://a.site.fr:8080/x": ("a.site.fr", "site.fr", "fr"), "http://u:p@a.site.fr/": ("a.site.fr", "site.fr", "fr"), "http://A.Site.FR.:80?q": ("a.site.fr", "site.fr", "fr"), "http://10.1.2.3:80/": ("10.1.2.3", "10.1.2.3", ""), "http://[::1]:9/": ("[::1]", "[::1]", ""), "http://x.shop.co.uk/": ("x.shop.co.uk", "shop.co.uk", "uk"), "http://x.ab.com/": ("x.ab.com", "ab.com", "com"), "none": ("", "", ""), "http://localhost:1": ("localhost", "localhost", "localhost")}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").withColumn("site", language_id.site_of(F.col("url")))
+    got = rows.select("url", "site", language_id.domain_of(F.col("site")).alias("d"), language_id.suffix_of(F.col("site")).alias("s")).collect()
+    assert {r.url: (r.site, r.d, r.s) for r in got} == {u: (a, b, c) for u, (a, b, c) in urls.items()}
+
+
+def test_a_port_changes_no_evidence(spark, docs):
+    train = docs.select("text", "lang")
+    rows = [(10 + r.doc_id, "http://a.site.fr/", f"<p>{html.escape(r.text)}") for r in docs.filter("lang = 'fr' AND length(text) > 200").limit(15).collect()]
+    rows += [(1000 + r.doc_id, "http://b.site.com/", f"<p>{html.escape(r.text)}") for r in docs.filter("lang = 'en' AND length(text) > 200").limit(15).collect()]
+    rows += [(1, "http://a.site.fr/", ""), (2, "http://a.site.fr:8080/", ""), (3, "http://x@a.site.fr:1/", ""), (4, "http://b.site.com:443/", "<p>" + "the river and the house " * 60_000)]
+    got = {r.page_id: r for r in language_id.identify_languages(spark.createDataFrame(rows, "page_id long, url string, html string"), train).collect()}
+    assert got[1].lang == got[2].lang == got[3].lang == "fr"
+    assert got[2].probability == pytest.approx(got[1].probability, abs=1e-6) and got[3].probability == pytest.approx(got[1].probability, abs=1e-6)
+    assert got[4].lang == "en"
+
+
 def test_fusion_is_the_brute_force_one(spark, docs):
     """Every sum is taken again for each page over the other pages alone."""
     train = docs.select("text", "lang")
     some = docs.filter("length(text) > 100").orderBy("doc_id").limit(60).collect()
     rows = [(r.doc_id, [f"http://h{k % 3}.a.{r.lang}/", f"http://b{k % 2}.site.com/x", "no url"][k % 3 if k % 4 else 0], f"<html lang='{['en', r.lang, 'xx'][k % 3]}'>" * (k % 5 > 0) + "<p>" + html.escape(r.text)[: 40 + 30 * k]) for k, r in enumerate(some)]
     rows += [(-1, None, None), (-2, "http://h1.a.de/", ""), (-3, "http://h1.a.de/", ""), (-4, "http://new.q/", "<html lang=fr>")]
+    rows += [(-5, "http://h1.a.de:8080/", ""), (-6, "https://me:pw@h1.a.de:1/", "x y"), (-7, "http://10.0.0.7:80/", ""), (-8, "http://10.0.0.7/", "<html lang=de>"), (-9, "http://a.co.uk/", ""), (-10, "http://b.co.uk./", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     langs, model = language_id.trigram_model(train)
     log = {r.page_id: np.array(r.text_log) for r in language_id.text_evidence(pages.select("page_id", "html"), model).collect()}
     share = {i: np.exp(x - x.max()) / np.exp(x - x.max()).sum() for i, x in log.items()}
     told = {i: (m.group(1).lower() if (m := re.search(language_id.DECLARED, h or "")) else None) for i, _, h in rows}
     host = {i: u.split("://")[1].split("/")[0] if u and "://" in u else "" for i, u, _ in rows}
-    domain = {i: ".".join(h.split(".")[-2:]) for i, h in host.items()}
-    suffix = {i: h.split(".")[-1] for i, h in host.items()}
+    host = {i: re.sub(r"\.?(:[0-9]*)?$", "", h.split("@")[-1]) for i, h in host.items()}
+    numeric = {i: bool(re.fullmatch(r"[0-9.]+", h)) for i, h in host.items()}
+    domain = {i: h if numeric[i] else ".".join(h.split(".")[-3 if re.search(r"\.[^.]{1,3}\.[a-z]{2}$", h) else -2 :]) for i, h in host.items()}
+    suffix = {i: "" if numeric[i] else h.split(".")[-1] for i, h in host.items()}
 
     def others(i, kind, value):
         return sum((share[j] for j in share if j != i and (kind is None or kind[j] == value)), np.zeros(len(langs)))
