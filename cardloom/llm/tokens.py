@@ -213,6 +213,17 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if urlparse(uri).scheme else f"file://{uri}")
 
 
+#: Bytes of text that one file and the task that writes it take, about.
+FILE_BYTES = 1 << 28
+
+
+def file_count(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """As many files as the texts' bytes ask for, and enough to keep the session's cores busy."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Writes ``docs (doc_id, text, ...)`` as token files in ``folder`` and returns the manifest.
 
@@ -221,12 +232,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     * Documents stand in ascending doc_id order, null first, rows of one doc_id in the order of their texts.
       ``nulls`` counts the documents without a doc_id, which are a partition's first; any 64-bit doc_id comes back.
     * A null text is empty: the end id alone. Repeated rows are written again. No rows make no files.
+    * Without ``partitions``, the number of files grows with the bytes of the texts (``FILE_BYTES``).
     * A task writes under a name of its own and then renames, so a task that runs twice leaves one result.
     * Other columns are ignored.
     """
     spark = docs.sparkSession
     width = 2 if max(encoder(tokenizer_path).size, end_id + 1) <= 1 << 16 else 4
-    n = partitions or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions or file_count(docs)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 from cardloom.llm import packing
 from cardloom.llm.queries import tokenizer_path
 from cardloom.llm.shared import new_folder
+from cardloom.llm import tokens
 from cardloom.llm.tokens import encoder, read_token_files, write_token_files
 
 
@@ -121,3 +122,9 @@ def test_certified_groups_lose_only_their_rounding(spark):
     pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "row long, length long")
     used, bound = packing.certificate(packing.pack_pieces(pieces, 2048, group_pieces=500))
     assert bound <= used <= bound + 1
+
+
+def test_more_text_makes_more_files(spark, no_docs):
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('word ', 200) AS text").unionByName(spark.createDataFrame([(None, None)], "doc_id long, text string"))
+    least = tokens.file_count(no_docs)
+    assert tokens.file_count(docs, 200_000) == least and tokens.file_count(docs, 1_000) == 200 and tokens.file_count(docs.unionByName(docs), 1_000) == 400
