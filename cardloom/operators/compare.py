@@ -93,14 +93,19 @@ def rate_matrix(rows: DataFrame) -> DataFrame:
     return wide.select("set_id", "category_id", *[F.coalesce(F.col(str(k)), F.lit(0)).alias(f"rate{k}") for k in range(MOST_CARDS)])
 
 
-def benefit_cells(sets: DataFrame, rows: DataFrame) -> DataFrame:
+def benefit_cells(sets: DataFrame, rates: DataFrame) -> DataFrame:
     """The grid of each set's cards and categories: rate, unit, label of the kind, monthly cap and condition, or nulls where the card lacks the category.
 
-    A kind without a label has none, and the condition that says that there is none is not shown.
+    A kind without a label has none, and the condition that says that there is none is not shown. A card's cells travel as
+    one array of an entry a category, so sets meet them in one exchange and are complete in one row after another.
     """
-    cells = sets.select("set_id", "card_id", "pos").join(rows.select("set_id", "category_id").distinct(), "set_id")
-    shown = rows.select("set_id", "pos", "category_id", "rate", "unit", "max_limit", decode_benefit_kind(F.col("benefit_kind")).alias("kind"), F.nullif("condition", F.lit(dims.NO_CONDITION)).alias("condition"))
-    return cells.join(shown, ["set_id", "pos", "category_id"], "left").select("set_id", "card_id", "category_id", "rate", "unit", "kind", "max_limit", "condition")
+    entry = F.struct("category_id", "rate", "unit", decode_benefit_kind(F.col("benefit_kind")).alias("kind"), "max_limit", F.nullif("condition", F.lit(dims.NO_CONDITION)).alias("condition"))
+    of_card = rates.groupBy("card_id").agg(F.collect_list(entry).alias("entries"))
+    cards = sets.select("set_id", "card_id").join(of_card, "card_id", "left").groupBy("set_id").agg(F.collect_list(F.struct("card_id", F.coalesce("entries", F.array().cast(of_card.schema["entries"].dataType)).alias("entries"))).alias("cards"))
+    categories = F.array_distinct(F.flatten(F.transform("cards", lambda c: F.transform(c["entries"], lambda e: e["category_id"]))))
+    grid = cards.select("set_id", F.explode("cards").alias("c"), categories.alias("categories")).select("set_id", "c", F.explode("categories").alias("category_id"))
+    cell = F.get(F.filter("c.entries", lambda e: e["category_id"] == F.col("category_id")), F.lit(0))
+    return grid.withColumn("e", cell).select("set_id", "c.card_id", "category_id", "e.rate", "e.unit", "e.kind", "e.max_limit", "e.condition")
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:

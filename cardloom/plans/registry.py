@@ -329,7 +329,7 @@ def rate_matrix(d: Domain) -> DataFrame:
 
 @query
 def benefit_cells(d: Domain) -> DataFrame:
-    return _plain(compare.benefit_cells(_sets(d), _rates(d)))
+    return _plain(compare.benefit_cells(_sets(d), compare.first_rates(d.first_category)))
 
 
 @query

@@ -376,6 +376,7 @@ def test_histories_come_back_from_their_texts(spark):
 
 def test_cells_show_the_kind_and_a_real_condition(spark):
     sets = spark.createDataFrame([(1, 5, 0), (1, 6, 1)], "set_id long, card_id long, pos long")
-    rows = spark.createDataFrame([(1, 0, 3, 5.0, "%", 9, "cashback", "제한없음"), (1, 1, 3, 1.0, None, None, "gift", "월 1회"), (1, 1, 4, 1.0, None, None, None, None)], "set_id long, pos long, category_id long, rate double, unit string, max_limit long, benefit_kind string, condition string")
-    got = {(r.card_id, r.category_id): (r.kind, r.condition) for r in compare.benefit_cells(sets, rows).collect()}
-    assert got == {(5, 3): ("캐시백", None), (6, 3): (None, "월 1회"), (6, 4): (None, None), (5, 4): (None, None)}
+    rates = spark.createDataFrame([(5, 3, 5.0, "%", 9, "cashback", "제한없음"), (6, 3, 1.0, None, None, "gift", "월 1회"), (6, 4, 1.0, None, None, None, None), (9, 9, 1.0, None, None, None, None)], "card_id long, category_id long, rate double, unit string, max_limit long, benefit_kind string, condition string")
+    sets = sets.unionByName(spark.createDataFrame([(2, 7, 0), (2, 5, 1), (3, 7, 0), (3, 8, 1)], sets.schema))  # cards without rates
+    got = {(r.set_id, r.card_id, r.category_id): (r.rate, r.kind, r.condition) for r in compare.benefit_cells(sets, rates).collect()}
+    assert got == {(1, 5, 3): (5.0, "캐시백", None), (1, 6, 3): (1.0, None, "월 1회"), (1, 6, 4): (1.0, None, None), (1, 5, 4): (None, None, None), (2, 5, 3): (5.0, "캐시백", None), (2, 7, 3): (None, None, None)}
