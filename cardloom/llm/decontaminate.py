@@ -3,8 +3,10 @@
 Texts become template tokens (see ``templates``). Windows of the documents hash-join those of the benchmark, in up to three readings:
 with no names, with those inside sentences, and with every capital as a name's. A name that opens a sentence of
 a document stands for one that opens a sentence of the item; one inside a sentence stands for any name of the item. So a question asked again
-with other numbers and names is caught, and so is a copy in other capitals. A window with too few words
-besides its placeholders is hashed by its values instead: a copy of it is caught, any other filling is not.
+with other numbers and names is caught, and so is a copy in other capitals. Where a document's capitals tell no names
+(all small, all large), the items do: for each pattern of names that windows of the benchmark have, any words may stand at its places.
+A window with too few words besides its placeholders counts the signs between its tokens as words (``3 + 4 * 5``); with too few of both
+it is hashed by its values: a copy of it is caught, any other filling is not.
 
 What a document shares with an item along one diagonal is a run. Each slot of a run pairs a value of the item with one of
 the document. A pair stands if it keeps the value, or else if it is the most frequent pair of both its values;
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.shared import cut
-from cardloom.llm.templates import tokens_of
+from cardloom.llm.templates import PLACEHOLDER, NAME, mixed, tokens_of
 
 #: Tokens of a window. Items with fewer tokens make one window of all of them.
 WINDOW = 8
@@ -34,14 +36,15 @@ SCREEN_BITS_EACH, SCREEN_BITS_MOST = 16, 1 << 28
 BATCH_CHARS = 1 << 20
 
 HITS = "key long, doc_id long, pos long, hash long, mask int, slots array<long>"
-#: Keeps hashes of values apart from those of templates.
-_LITERAL_SALT = np.uint64(0x5851F42D4C957F2D)
+#: Keeps hashes of values, and of templates with signs, apart from those of templates.
+_LITERAL_SALT, _SIGN_SALT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-def _hits(texts: list[str], sizes: list[int] | None, screen: np.ndarray | None) -> tuple[np.ndarray, ...]:
+def _hits(texts: list[str], sizes: list[int] | None, screen: np.ndarray | None, patterns: dict[int, list[int]] | None = None) -> tuple[np.ndarray, ...]:
     """Text number, first token, hash, slot bits and slot values (flat, with offsets) of the windows that ``screen`` lets through.
 
-    Windows of each of ``sizes`` tokens; without ``sizes``, of WINDOW tokens or all tokens of a shorter text.
+    Windows of each of ``sizes`` tokens; without ``sizes``, of WINDOW tokens or all tokens of a shorter text. ``patterns`` are
+    the places of names in the benchmark's windows, by their size.
     """
     t = tokens_of(texts)
     n_tokens, place = len(t.value), np.arange(len(t.value))
@@ -64,11 +67,24 @@ def _hits(texts: list[str], sizes: list[int] | None, screen: np.ndarray | None)
         readings = [(t.windows(t.template(plain), n), fits & (slots + LITERAL <= n), plain)]
         if (few := fits & (slots + LITERAL > n)).any():
             readings.append((t.windows(t.value, n) ^ _LITERAL_SALT, few, np.zeros(n_tokens, bool)))
+            signed = few & (n - slots + count(t.n_signs, n - 1)[: len(few)] >= LITERAL) if n > 1 else few & False
+            if signed.any():
+                between = t.windows(mixed(t.signs + np.uint64(1)), n - 1)[: len(few)]
+                readings.append((mixed(t.windows(t.template(plain), n) + between) ^ _SIGN_SALT, signed, plain))
         for reading, before, opening in ((inner, plain, False), (every, inner, True), *([(every, inner, False)] if sizes is None else [])):
             more = fits & (count(reading & ~before) > 0) & (count(reading) + LITERAL <= n)
             if more.any():
                 readings.append((t.windows(t.template(reading, opening), n), more, reading))
-        for hashes, ok, slot in readings:
+        found = [(hashes, ok, slot, 0) for hashes, ok, slot in readings]
+        for pattern in (patterns or {}).get(n, []):
+            places = [k for k in range(n) if pattern >> k & 1]
+            span = len(slots)
+            words = np.logical_and.reduce([~plain[k : k + span] for k in places])
+            told = np.logical_and.reduce([inner[k : k + span] for k in places]) & (count(inner) == slots + len(places))  # capitals tell just these names: a reading above has them
+            more = fits & words & ~told & (slots + len(places) + LITERAL <= n)
+            if more.any():
+                found.append((t.masked(t.template(plain), n, pattern, PLACEHOLDER[NAME]), more, plain, pattern))
+        for hashes, ok, slot, pattern in found:
             at = np.flatnonzero(ok)
             h = hashes[at]
             if screen is not None:
@@ -77,7 +93,7 @@ def _hits(texts: list[str], sizes: list[int] | None, screen: np.ndarray | None)
                 at, h = at[there], h[there]
             if len(at):
                 cells = at[:, None] + np.arange(n)
-                on = slot[cells]
+                on = slot[cells] | ((pattern >> np.arange(n)) & 1).astype(bool)
                 kept.append((at, h, (on << np.arange(n)).sum(axis=1), on.sum(axis=1), t.value[cells][on]))
     if not kept:
         none = np.zeros(0, np.int64)
@@ -87,11 +103,11 @@ def _hits(texts: list[str], sizes: list[int] | None, screen: np.ndarray | None)
     return t.text[at], at - first[t.text[at]], h.view(np.int64), mask, np.concatenate([[0], np.cumsum(n_slots)]).astype(np.int32), values.view(np.int64)
 
 
-def _windows(sizes: list[int] | None, screen: Callable[[], np.ndarray] | None):
+def _windows(sizes: list[int] | None, screen: Callable[[], np.ndarray] | None, patterns: dict[int, list[int]] | None = None):
     """``key, doc_id, text`` rows to windows, as HITS."""
 
     def out(batch: pa.RecordBatch, a: int, texts: list[str]) -> pa.RecordBatch:
-        text, pos, h, mask, offsets, values = _hits(texts, sizes, screen() if screen else None)
+        text, pos, h, mask, offsets, values = _hits(texts, sizes, screen() if screen else None, patterns)
         rows = pa.array(text + a)
         slots = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("doc_id").take(rows), pa.array(pos, pa.int64()), pa.array(h, pa.int64()), pa.array(mask, pa.int32()), slots], ["key", "doc_id", "pos", "hash", "mask", "slots"])
@@ -127,6 +143,31 @@ def _text_id() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def name_patterns(benchmark: DataFrame) -> dict[int, list[int]]:
+    """Where names stand inside windows of the benchmark, as bits, by the windows' size: less than 2 ** WINDOW patterns a size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = tokens_of(batch.column("text").to_pylist())
+            plain, inner, _ = t.readings()
+            found = set()
+            for n in range(1, min(WINDOW, len(t.value)) + 1):
+                m = len(t.value) + 1 - n
+                at = np.arange(m)
+                fits = at + n <= t.ends[:m]
+                if n < WINDOW:
+                    fits &= t.counts[t.text[:m]] == n
+                bits = sum(((inner & ~plain)[k : k + m].astype(np.int64) << k) for k in range(n))
+                slots = sum(inner[k : k + m].astype(np.int64) for k in range(n))
+                found |= {(n, b) for b in np.unique(bits[fits & (slots + LITERAL <= n)]).tolist() if b}
+            yield pa.RecordBatch.from_pydict({"n": pa.array([x[0] for x in found], pa.int64()), "bits": pa.array([x[1] for x in found], pa.int64())})
+
+    out: dict[int, list[int]] = {}
+    for r in _keyed(benchmark, "item_id").select("text").mapInArrow(run, "n long, bits long").distinct().orderBy("n", "bits").collect():
+        out.setdefault(r.n, []).append(r.bits)
+    return out
+
+
 def _screen(windows: DataFrame) -> np.ndarray:
     """Bits of the window hashes, or-ed together by Spark; at most SCREEN_BITS_MOST of them reach the driver."""
     bits = 1 << 16
@@ -177,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows by their places, ``slots`` the distinct pairs of slot values; ``key`` hashes id and text.
 
     * A passage counts from ``WINDOW`` tokens of an item on. Shorter items must be held whole. A window with fewer than ``LITERAL`` words
-      besides placeholders must hold the item's own values, in any capitals. Items without a letter or digit are never found.
+      besides placeholders, signs between tokens counted as words, must hold the item's own values, in any capitals. Items without a letter or digit are never found.
     * Every item that holds a window is compared and told of; items of one text are compared once.
     * Null texts are empty; null ids stay null. Rows that repeat an id and a text count as one document.
     * No documents or no items give no rows. Other columns are ignored. Texts of any length are read whole.
@@ -186,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = cut(benchmark_windows(benchmark))
     sizes = sorted(r.n for r in _keyed(benchmark, "item_id").mapInArrow(_sizes, "n long").distinct().collect())
     shared = spark.sparkContext.broadcast(_screen(windows))
-    found = _keyed(docs, "doc_id").mapInArrow(_windows(sizes, lambda: shared.value), HITS).join(windows, ["hash", "mask"])
+    found = _keyed(docs, "doc_id").mapInArrow(_windows(sizes, lambda: shared.value, name_patterns(benchmark)), HITS).join(windows, ["hash", "mask"])
     run = F.struct(F.col("item_pos").alias("pos"), "mask", F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
     runs = found.groupBy("key", "doc_id", "text_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(run).alias("run"))
     standing = runs.mapInArrow(_judged, "key long, doc_id long, text_id long, windows long, slots long")

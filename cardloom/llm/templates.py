@@ -4,7 +4,7 @@ A token stands between white space; characters of scripts that put no space betw
 lies outside its first and last letter or digit is cut off, and tokens without either are left out. The value of a token is a hash of its
 lower-cased characters; all tokens of a batch of texts are found and hashed at once, by sums over powers of an odd number.
 
-* ``NUMBER``: digits and no letter (``3,000``, ``2+2``); ``MEASURE``: letters behind a digit (``5kg``, ``1st``).
+* ``NUMBER``: digits and no letter (``3,000``, ``2+2``), or a number word; ``MEASURE``: letters behind a digit (``5kg``, ``1st``).
 * ``UNIT``: a unit of measure directly behind a number. The same word elsewhere is a word.
 * ``NAME``: two characters or more with a capital first, but for function words. At the start of a sentence that may be a word as
   well, and a text in small letters has no names, so windows are read in several ways (see ``decontaminate``).
@@ -39,6 +39,14 @@ FUNCTION_WORDS = frozenset(
     "le la les un une des el los las uno una der die das ein eine qué que quel quelle wie was wer wo wann cuál quién dónde cuándo comment pourquoi warum".split()
 )
 
+# Number words from two on; words for one are articles in three of the four languages.
+NUMBER_WORDS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend".split()
+)
+
 # ---------------------------------------------------------------- characters
 
 _SPACE, _LETTER, _DIGIT, _UPPER, _ALONE, _CLOSER, _STOP = (1 << i for i in range(7))
@@ -126,7 +134,8 @@ def _raw(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     has_letter = letters[ends] > letters[starts]
     up, down = _OF_CHARACTERS.to(n + 1)
     sums = _sums((low + np.uint64(1)) * up[:n])
-    value = mixed((sums[np.where(some, last + 1, 0)] - sums[np.where(some, first, 0)]) * down[np.where(some, first, 0)])
+    a, b = np.where(some, first, starts), np.where(some, last + 1, ends)  # a token without letter and digit is hashed as it stands: an operator
+    value = mixed((sums[b] - sums[a]) * down[a])
     at = kind[first]
     what = np.where(has_letter, np.where(at & _DIGIT, MEASURE, np.where((at & _UPPER != 0) & (last > first), NAME, WORD)), NUMBER)
     what = np.where(some, what, NONE).astype(np.int8)
@@ -149,12 +158,15 @@ def _pieces(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-_PLACEHOLDER = mixed(np.arange(1, 7, dtype=np.uint64) * np.uint64(_BASE))
+PLACEHOLDER = mixed(np.arange(1, 7, dtype=np.uint64) * np.uint64(_BASE))
 
 
 @dataclass
 class Tokens:
-    """``value`` and ``kind`` of each token, whether it starts a sentence, its text's number, and ``ends``: where its text's tokens end."""
+    """``value`` and ``kind`` of each token, whether it starts a sentence, its text's number, and ``ends``: where its text's tokens end.
+
+    ``signs`` is the sum of what stands between a token and the next without letter or digit, ``n_signs`` how many these are.
+    """
 
     value: np.ndarray
     kind: np.ndarray
@@ -162,6 +174,8 @@ class Tokens:
     text: np.ndarray
     ends: np.ndarray
     counts: np.ndarray
+    signs: np.ndarray
+    n_signs: np.ndarray
 
     def windows(self, hashed: np.ndarray, n: int) -> np.ndarray:
         """A hash of every ``n`` neighbouring values of ``hashed``."""
@@ -169,6 +183,16 @@ class Tokens:
         sums = _sums(hashed * up[:-1])
         return mixed((sums[n:] - sums[:-n]) * down[: len(hashed) + 1 - n] + np.uint64(n))
 
+    def masked(self, hashed: np.ndarray, n: int, mask: int, as_value: np.uint64) -> np.ndarray:
+        """:meth:`windows` with the tokens at the bits of ``mask`` read as ``as_value``."""
+        up, down = _OF_TOKENS.to(len(hashed) + 1)
+        sums, m = _sums(hashed * up[:-1]), len(hashed) + 1 - n
+        total = sums[n:] - sums[:-n]
+        for k in range(n):
+            if mask >> k & 1:
+                total = total + (as_value - hashed[k : k + m]) * up[k : k + m]
+        return mixed(total * down[:m] + np.uint64(n))
+
     def readings(self) -> list[np.ndarray]:
         """Placeholders of three readings: no names; names within sentences; names everywhere."""
         plain = (self.kind == NUMBER) | (self.kind == UNIT) | (self.kind == MEASURE)
@@ -178,7 +202,7 @@ class Tokens:
     def template(self, slot: np.ndarray, opening: bool = False) -> np.ndarray:
         """Hashes of the template tokens. ``opening``: names that open a sentence have a placeholder of their own."""
         kind = np.where(self.initial & (self.kind == NAME), NONE, self.kind) if opening else self.kind
-        return np.where(slot, _PLACEHOLDER[kind], self.value)
+        return np.where(slot, PLACEHOLDER[kind], self.value)
 
 
 def tokens_of(texts: list[str]) -> Tokens:
@@ -206,13 +230,17 @@ def tokens_of(texts: list[str]) -> Tokens:
     initial = np.ones(len(text), bool)
     initial[1:] = stop[:-1] | (text[1:] != text[:-1])
     kept = kind != NONE
+    sums, marks, at = _sums(np.where(kept, 0, value).astype(np.uint64)), _sums((~kept).astype(np.int64)), np.flatnonzero(kept)
+    until = np.append(at[1:], len(kept))[: len(at)]
+    signs, n_signs = sums[until] - sums[at], marks[until] - marks[at]
     value, kind, initial, text = value[kept], kind[kept], initial[kept], text[kept]
     named = np.flatnonzero(kind == NAME)
     kind[named[np.isin(value[named], _FUNCTION_VALUES)]] = WORD
+    kind[np.isin(value, _NUMBER_VALUES) & ((kind == WORD) | (kind == NAME))] = NUMBER
     after = 1 + np.flatnonzero((kind[:-1] == NUMBER) & (text[1:] == text[:-1]))
     kind[after[np.isin(value[after], _UNIT_VALUES) & ((kind[after] == WORD) | (kind[after] == NAME))]] = UNIT
     counts = np.bincount(text, minlength=len(texts))
-    return Tokens(value, kind, initial, text, np.repeat(np.cumsum(counts), counts), counts)
+    return Tokens(value, kind, initial, text, np.repeat(np.cumsum(counts), counts), counts, signs, n_signs)
 
 
-_UNIT_VALUES, _FUNCTION_VALUES = (np.unique(_raw(sorted(x))[0]) for x in (UNITS, FUNCTION_WORDS))
+_UNIT_VALUES, _FUNCTION_VALUES, _NUMBER_VALUES = (np.unique(_raw(sorted(x))[0]) for x in (UNITS, FUNCTION_WORDS, NUMBER_WORDS))

@@ -42,13 +42,19 @@ def raw_tokens(text):
 
 
 def kinds(text):
-    """(kind, value, starts a sentence) of each token."""
+    return [x[:3] for x in tokens_and_signs(text)]
+
+
+def tokens_and_signs(text):
+    """(kind, value, starts a sentence, what stands behind it without letter or digit) of each token."""
     out, starts, number_before = [], True, False
     for t in raw_tokens(text):
         core = [i for i, c in enumerate(t) if c.isalnum()]
+        if not core and out:
+            out[-1][3].append(t)
         if core:
             core = t[core[0] : core[-1] + 1]
-            if not any(c.isalpha() for c in core):
+            if not any(c.isalpha() for c in core) or core.lower() in templates.NUMBER_WORDS:
                 kind = "number"
             elif not core[0].isalpha():
                 kind = "measure"
@@ -56,29 +62,52 @@ def kinds(text):
                 kind = "unit"
             else:
                 kind = "name" if core[0].isupper() and len(core) > 1 and core.lower() not in templates.FUNCTION_WORDS else "word"
-            out.append((kind, core.lower(), starts))
+            out.append((kind, core.lower(), starts, []))
             number_before = kind == "number"
         told = t.rstrip("\"'”’»)]")
         starts = bool(told) and told[-1] in ".!?…。"
     return out
 
 
-def windows(text, sizes):
+def windows(text, sizes, patterns=None):
     """(key, position, slots as {offset: value})."""
-    t = kinds(text)
+    t = tokens_and_signs(text)
     for n in sizes if sizes else [min(W, len(t))]:
         for at in range(len(t) - n + 1 if n else 0):
-            some = t[at : at + n]
+            some = [x[:3] for x in t[at : at + n]]
+            signs = [tuple(sorted(x[3])) for x in t[at : at + n - 1]]
             plain = [k in ("number", "unit", "measure") for k, _, _ in some]
-            readings = [plain, [p or (k == "name" and not s) for p, (k, _, s) in zip(plain, some, strict=True)], [p or k == "name" for p, (k, _, _) in zip(plain, some, strict=True)]]
+            inner = [p or (k == "name" and not s) for p, (k, _, s) in zip(plain, some, strict=True)]
+            readings = [plain, inner, [p or k == "name" for p, (k, _, _) in zip(plain, some, strict=True)]]
             for slot, opening in [*((r, False) for r in readings[: 2 if sizes else 3]), (readings[2], True)]:
                 if n - sum(slot) >= LITERAL:
                     yield tuple((k, opening and k == "name" and s) if x else (v,) for x, (k, v, s) in zip(slot, some, strict=True)), at, {i: v for i, (x, (_, v, _)) in enumerate(zip(slot, some, strict=True)) if x}
+            for names in (patterns or {}).get(n, ()):
+                if not any(plain[i] for i in names) and not (all(inner[i] for i in names) and sum(inner) == sum(plain) + len(names)) and n - sum(plain) - len(names) >= LITERAL:
+                    key = tuple(("name", False) if i in names else (k, False) if p else (v,) for i, (p, (k, v, _)) in enumerate(zip(plain, some, strict=True)))
+                    yield key, at, {i: v for i, (p, (_, v, _)) in enumerate(zip(plain, some, strict=True)) if p or i in names}
             if n - sum(plain) < LITERAL:
                 yield ("values", *(v for _, v, _ in some)), at, {}
+                if n - sum(plain) + sum(map(len, signs)) >= LITERAL:
+                    yield ("signs", tuple(k if p else v for p, (k, v, _) in zip(plain, some, strict=True)), tuple(signs)), at, {i: v for i, (p, (_, v, _)) in enumerate(zip(plain, some, strict=True)) if p}
+
+
+def patterns_of(items):
+    """Places of names inside the items' windows, by size."""
+    found = defaultdict(set)
+    for _, text in items:
+        t = kinds(text or "")
+        n = min(W, len(t))
+        for at in range(len(t) - n + 1 if n else 0):
+            some = t[at : at + n]
+            names = frozenset(i for i, (k, _, s) in enumerate(some) if k == "name" and not s)
+            if names and sum(k in ("number", "unit", "measure") for k, _, _ in some) + len(names) + LITERAL <= n:
+                found[n].add(names)
+    return found
 
 
 def brute(docs, items):
+    patterns = patterns_of(items)
     known, sizes = defaultdict(list), {min(W, len(kinds(t or ""))) for _, t in items} - {0}
     for item, text in items:
         for key, at, slots in windows(text or "", None):
@@ -86,7 +115,7 @@ def brute(docs, items):
     found = set()
     for doc, text in docs:
         runs = defaultdict(list)
-        for key, at, slots in windows(text or "", sizes):
+        for key, at, slots in windows(text or "", sizes, patterns):
             for item, item_at, item_slots in known[key]:
                 runs[item, at - item_at].append((item_at, [(item_at + k, v, slots[k]) for k, v in item_slots.items()]))
         for (item, _), run in runs.items():
@@ -138,11 +167,12 @@ def test_against_brute_force(spark, docs, sf_dir):
 def test_rephrased_items_are_found(spark):
     """Other names and numbers: nine of ten at least, of the forms with enough words of their own."""
     r = random.Random(5)
-    forms = FORMS[:4]
+    forms = FORMS[:4] + ["Compute {x} + {y} * 5 - 6 / 2 now.", "Solve {x}z + {y} = 20 for z."]
     items = [(k, filled(f, r)) for k, f in enumerate(forms)]
-    rows = [(k, f"Some words before. {filled(forms[k % 4], r)} And after") for k in range(200)]
+    rows = [(k, f"Some words before. {filled(forms[k % 6], r)} And after") for k in range(300)]
+    rows = [(k, (str.lower, str.upper, str)[k % 3](t)) for k, t in rows]
     got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert sum(x.item_id == x.doc_id % 4 for x in got.collect()) >= 180
+    assert sum(x.item_id == x.doc_id % 6 for x in got.collect()) >= 270
 
 
 LONG = "on the day when 7 boats came in from sea we saw 7 men and then went home again"
@@ -152,7 +182,9 @@ LONG = "on the day when 7 boats came in from sea we saw 7 men and then went home
     ("item", "text"),
     [
         ("Compute 3 + 4 * 5 - 6 / 2 now.", "x Compute 3 + 4 * 5 - 6 / 2 now. y"), ("What is 2+2?", "ask: What is 2+2? ok"), ("quick brown fox jumps over the lazy dog", "a quick brown fox jumps over the lazy dog b"),
-        (LONG, LONG.replace("7 men", "8 men")), ("Tom has 5 apples in the basket.", "Anna has 7 apples in the basket."),
+        (LONG, LONG.replace("7 men", "8 men")), ("Compute 3 + 4 * 5 - 6 / 2 now.", "so COMPUTE 8 + 9 * 1 - 7 / 6 now ok"), ("Solve 3x + 5 = 20 for x.", "please solve 7x + 2 = 51 for x today"),
+        ("Tom has 5 red apples and Anna gives away 9 of them", "then bob has 7 red apples and zoe gives away 4 of them"), ("Tom has 5 red apples and Anna gives away 9 of them", "BOB HAS 7 RED APPLES AND ZOE GIVES AWAY 4 OF THEM"),
+        ("there are five red apples and nine green pears in the bowl", "there are seven red apples and twelve green pears in the bowl"), ("there are five red apples and nine green pears in the bowl", "there are 7 red apples and 12 green pears in the bowl"), ("Tom has 5 apples in the basket.", "Anna has 7 apples in the basket."),
         ("Anna met Tom and Li near Paris on a very cold day", "anna met tom and li near paris on a very cold day"), ("汉字漢字", "这是汉字漢字吗"), ("NASA and McDonald met the old man near the sea", "then O'Brien and Zoë met the old man near the sea"),
     ],
 )
@@ -162,6 +194,19 @@ def test_found(spark, item, text):
     assert {(1, 2), (1, 3)} <= {(x.doc_id, x.item_id) for x in got} and all(x.doc_id == 1 for x in got)
 
 
+@pytest.mark.parametrize(
+    ("item", "text"),
+    [
+        ("Compute 3 + 4 * 5 - 6 / 2 now.", "Compute 8 - 9 * 2 + 4 / 7 now."), ("Compute 3 + 4 * 5 - 6 / 2 now.", "Compute 8 9 2 4 7 now."), ("Solve 3x + 5 = 20 for x.", "Solve 7x - 2 = 51 for x."),
+        ("Tom has 5 red apples and Anna gives away 9 of them", "bob has 7 red apples and 3 gives away 4 of them"), ("1 2 3 4 5 6 7 8 9", "9 8 7 6 5 4 3 2 1"),
+    ],
+)
+def test_not_found(spark, item, text):
+    """Other signs, a number where a name stands, nothing but numbers."""
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontaminate.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), items).count() == 0
+
+
 def test_very_long_text_and_odd_rows(spark, odd):
     long = "w " * 300_000 + ITEM + " v" * 10
     rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(77, long), (78, "x" * 400_000 + " " + ITEM)], "doc_id long, text string"))
@@ -175,6 +220,7 @@ def test_tokens_do_not_depend_on_where_a_text_is_cut(monkeypatch, docs):
     monkeypatch.setattr(templates, "CHUNK", 500)
     cut = templates.tokens_of(texts)
     assert all((getattr(whole, k) == getattr(cut, k)).all() for k in ("value", "kind", "initial", "text", "ends", "counts"))
+    assert all((getattr(whole, k)[:-1] == getattr(cut, k)[:-1]).all() for k in ("signs", "n_signs"))
 
 
 def test_kinds():
