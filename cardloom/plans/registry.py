@@ -292,8 +292,8 @@ def _rates(d: Domain) -> DataFrame:
 
 
 def _plain(rows: DataFrame) -> DataFrame:
-    """Rates as doubles."""
-    return rows.withColumns({c: F.col(c).cast("double") for c in rows.columns if c.startswith("rate")})
+    """Rates as text with their two decimals, which is exact in any engine."""
+    return rows.withColumns({c: F.col(c).cast("decimal(12,2)").cast("string") for c in rows.columns if c.startswith("rate")})
 
 
 def _scores(d: Domain) -> DataFrame:

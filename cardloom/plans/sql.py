@@ -78,7 +78,7 @@ item AS (
 sets AS (SELECT * FROM (SELECT set_id, card_id, pos, count(*) OVER (PARTITION BY set_id) AS set_size FROM item) WHERE set_size >= 2),
 firsts AS (SELECT b.*, c.category_id FROM benefit b JOIN (SELECT benefit_id, min(category_id) AS category_id FROM bridge GROUP BY ALL) c USING (benefit_id)),
 rate AS (
-  SELECT card_id, category_id, coalesce(benefit_value, 0)::DOUBLE AS rate, (coalesce(benefit_value, 0) * 100)::BIGINT AS cents, benefit_unit AS unit, max_limit, benefit_pos, benefit_kind, condition
+  SELECT card_id, category_id, coalesce(benefit_value, 0)::DECIMAL(12, 2) AS rate, (coalesce(benefit_value, 0) * 100)::BIGINT AS cents, benefit_unit AS unit, max_limit, benefit_pos, benefit_kind, condition
   FROM (SELECT *, row_number() OVER (PARTITION BY card_id, category_id ORDER BY benefit_pos) AS k FROM firsts) WHERE k = 1),
 rates AS (SELECT * FROM sets JOIN rate USING (card_id)),
 counts AS (SELECT card_id, count(*) AS n_benefits FROM benefit GROUP BY ALL),
@@ -190,19 +190,20 @@ QUERIES = {
     "compare_categories": """SELECT set_id, category_id, row_number() OVER (PARTITION BY set_id ORDER BY p, b, category_id) AS place FROM (
           SELECT set_id, category_id, min(pos) AS p, arg_min(benefit_pos, pos) AS b FROM rates GROUP BY ALL)""",
     "shared_categories": "SELECT DISTINCT set_id, category_id FROM shared",
-    "rate_matrix": """SELECT set_id, category_id, coalesce(max(rate) FILTER (pos = 0), 0) AS rate0, coalesce(max(rate) FILTER (pos = 1), 0) AS rate1, coalesce(max(rate) FILTER (pos = 2), 0) AS rate2 FROM rates GROUP BY ALL""",
-    "benefit_cells": """SELECT s.set_id, s.card_id, c.category_id, r.rate, r.unit, r.max_limit, nullif(r.condition, '제한없음') AS condition,
+    "rate_matrix": """SELECT set_id, category_id, coalesce(max(rate) FILTER (pos = 0), 0)::DECIMAL(12, 2)::VARCHAR AS rate0, coalesce(max(rate) FILTER (pos = 1), 0)::DECIMAL(12, 2)::VARCHAR AS rate1,
+        coalesce(max(rate) FILTER (pos = 2), 0)::DECIMAL(12, 2)::VARCHAR AS rate2 FROM rates GROUP BY ALL""",
+    "benefit_cells": """SELECT s.set_id, s.card_id, c.category_id, r.rate::VARCHAR AS rate, r.unit, r.max_limit, nullif(r.condition, '제한없음') AS condition,
           CASE r.benefit_kind WHEN 'discount' THEN '할인' WHEN 'cashback' THEN '캐시백' WHEN 'point' THEN '적립' WHEN 'special' THEN '특별' END AS kind
         FROM sets s JOIN (SELECT DISTINCT set_id, category_id FROM rates) c USING (set_id)
         LEFT JOIN rates r ON r.set_id = s.set_id AND r.pos = s.pos AND r.category_id = c.category_id""",
-    "shared_rate_diff": """SELECT set_id, category_id, card_id, rate, CASE WHEN a = 0 AND b = 0 THEN 0 WHEN b = 0 THEN 100 ELSE (200 * a + b) // (2 * b) - 100 END AS diff,
+    "shared_rate_diff": """SELECT set_id, category_id, card_id, rate::VARCHAR AS rate, CASE WHEN a = 0 AND b = 0 THEN 0 WHEN b = 0 THEN 100 ELSE (200 * a + b) // (2 * b) - 100 END AS diff,
           CASE WHEN m > 0 THEN (200 * cents + m) // (2 * m) ELSE 0 END AS bar, cents = m AS is_best FROM (
           SELECT *, cents * (n - 1) AS a, (sum(cents) OVER w - cents)::BIGINT AS b, max(cents) OVER w AS m FROM shared WINDOW w AS (PARTITION BY set_id, category_id))""",
     "pair_headline": """SELECT set_id, category_id, CASE WHEN d > 0 THEN c0 ELSE c1 END AS winner, abs(d) AS by_percent FROM (
           SELECT *, CASE WHEN a = 0 AND b = 0 THEN 0 WHEN b = 0 THEN 100 ELSE (200 * a + b) // (2 * b) - 100 END AS d FROM (
             SELECT set_id, category_id, max(cents) FILTER (pos = 0) AS a, max(cents) FILTER (pos = 1) AS b, max(card_id) FILTER (pos = 0) AS c0, max(card_id) FILTER (pos = 1) AS c1
             FROM shared WHERE set_size = 2 GROUP BY ALL)) WHERE d <> 0""",
-    "best_badge": """SELECT set_id, category_id, card_id, rate FROM (
+    "best_badge": """SELECT set_id, category_id, card_id, rate::VARCHAR AS rate FROM (
           SELECT *, sum((rate = m)::INT) OVER (PARTITION BY set_id, category_id) AS ties FROM (SELECT *, max(rate) OVER (PARTITION BY set_id, category_id) AS m FROM rates))
         WHERE rate = m AND m > 0 AND ties < set_size""",
     "max_benefit_winner": """SELECT set_id, arg_max(card_id, (max_benefit, pos)) AS winner, count(*) FILTER (max_benefit = m) AS tied
