@@ -106,7 +106,7 @@ class Domain:
         k = F.get_json_object("props", "$.k").cast("long")
         rows = self.raw("events")
         if live:
-            rows = self.spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
+            rows = self.spark.readStream.schema(rows.schema).parquet(f"{self.sf_dir}/events.parque[t]")  # a pattern stands for a file as well as for a folder
         return rows.filter(F.col("event_type").isin(*kinds)).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", k.alias("k"))
 
     @cached_property
