@@ -235,7 +235,7 @@ QUERIES = {
           SELECT *, form_errors = '' AND server_error IS NULL AS ok FROM (
             SELECT signup_id, email, concat_ws(',', CASE WHEN length(name) < 2 THEN 'name' END, CASE WHEN NOT contains(email, '@') THEN 'email' END,
                    CASE WHEN length(pw) < 8 THEN 'password' END, CASE WHEN pw <> pc THEN 'password_confirm' END) AS form_errors,
-                   CASE WHEN email IN (SELECT 'u' || c_custkey || '@x.kr' FROM customer WHERE c_custkey % 4 = 0 AND c_custkey < 1000) THEN 'email'
+                   CASE WHEN email IN (SELECT 'u' || c_custkey || '@x.kr' FROM customer WHERE c_custkey % 4 = 0) THEN 'email'
                         WHEN length(pw) < 8 THEN 'password' WHEN pw <> pc THEN 'password_confirm' END AS server_error
             FROM (SELECT *, CASE WHEN signup_id % 11 = 0 THEN 'other' ELSE pw END AS pc FROM (
               SELECT c_custkey AS signup_id, CASE WHEN c_custkey % 17 = 0 THEN 'A' ELSE c_name END AS name,
