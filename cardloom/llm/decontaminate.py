@@ -4,7 +4,7 @@ Texts become template tokens (see ``templates``). Windows of the documents hash-
 with no names, with those inside sentences, and with every capital as a name's. A name that opens a sentence of
 a document stands for one that opens a sentence of the item; one inside a sentence stands for any name of the item. So a question asked again
 with other numbers and names is caught, and so is a copy in other capitals. Where a document's capitals tell no names
-(all small, all large), the items do: for each pattern of names that windows of the benchmark have, any words may stand at its places.
+(all small, all large), the items do: for each pattern of names that windows of the benchmark have, any words inside sentences may stand at its places.
 A window with too few words besides its placeholders counts the signs between its tokens as words (``3 + 4 * 5``); with too few of both
 it is hashed by its values: a copy of it is caught, any other filling is not.
 
@@ -79,7 +79,7 @@ def _hits(texts: list[str], sizes: list[int] | None, screen: np.ndarray | None,
         for pattern in (patterns or {}).get(n, []):
             places = [k for k in range(n) if pattern >> k & 1]
             span = len(slots)
-            words = np.logical_and.reduce([~plain[k : k + span] for k in places])
+            words = np.logical_and.reduce([~(plain | t.initial)[k : k + span] for k in places])
             told = np.logical_and.reduce([inner[k : k + span] for k in places]) & (count(inner) == slots + len(places))  # capitals tell just these names: a reading above has them
             more = fits & words & ~told & (slots + len(places) + LITERAL <= n)
             if more.any():

@@ -83,7 +83,7 @@ def windows(text, sizes, patterns=None):
                 if n - sum(slot) >= LITERAL:
                     yield tuple((k, opening and k == "name" and s) if x else (v,) for x, (k, v, s) in zip(slot, some, strict=True)), at, {i: v for i, (x, (_, v, _)) in enumerate(zip(slot, some, strict=True)) if x}
             for names in (patterns or {}).get(n, ()):
-                if not any(plain[i] for i in names) and not (all(inner[i] for i in names) and sum(inner) == sum(plain) + len(names)) and n - sum(plain) - len(names) >= LITERAL:
+                if not any(plain[i] or some[i][2] for i in names) and not (all(inner[i] for i in names) and sum(inner) == sum(plain) + len(names)) and n - sum(plain) - len(names) >= LITERAL:
                     key = tuple(("name", False) if i in names else (k, False) if p else (v,) for i, (p, (k, v, _)) in enumerate(zip(plain, some, strict=True)))
                     yield key, at, {i: v for i, (p, (_, v, _)) in enumerate(zip(plain, some, strict=True)) if p or i in names}
             if n - sum(plain) < LITERAL:
