@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,8 +123,18 @@ def log_count_ratios(counts: DataFrame, features: int = FEATURES, least_rows: in
     return ranked.orderBy(F.desc("rank"), "id").limit(features).select("id", "ratio").toArrow().to_pandas()
 
 
-def sparse_rows(sample: DataFrame, place: np.ndarray) -> pd.DataFrame:
-    """``label, key, index, value`` of each sampled row: its weighed n-grams. As many rows as the sample at most, in an order that the texts alone give."""
+@dataclass
+class SparseRows:
+    """Weighed n-grams of the sampled rows, all in three flat arrays: 12 bytes each. ``row`` is ascending."""
+
+    label: np.ndarray
+    row: np.ndarray
+    index: np.ndarray
+    value: np.ndarray
+
+
+def sparse_rows(sample: DataFrame, place: np.ndarray) -> SparseRows:
+    """The rows of the sample in an order that the texts alone give."""
     model = Classifier(place, np.zeros(0), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,21 +143,25 @@ def sparse_rows(sample: DataFrame, place: np.ndarray) -> pd.DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("key"), pa.array([i.astype(np.int32) for i in index], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for v in value], pa.list_(pa.float32()))], ["label", "key", "index", "value"])
 
     keyed = sample.select("text", "label", F.xxhash64("text").alias("key"))
-    return keyed.mapInArrow(run, "label int, key long, index array<int>, value array<float>").toArrow().to_pandas().sort_values(["key", "label"], ignore_index=True)
-
-
-def logistic(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np.ndarray, penalty: float = PENALTY, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights of sparse features scaled by ``scale``, and the bias; accelerated gradient descent with backtracking."""
-    size = np.array([len(r) for r in rows], np.int64)
-    at, col = np.repeat(np.arange(len(rows)), size), np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-    value, k, n = scale[col] * (np.concatenate(values) if len(rows) else 1.0), len(scale), len(rows)
+    found = keyed.mapInArrow(run, "label int, key long, index array<int>, value array<float>").toArrow()
+    label, key = found["label"].to_numpy(), found["key"].to_numpy()
+    order = np.lexsort((label, key))
+    size = pc.list_value_length(found["index"]).to_numpy().astype(np.int64)
+    first, now = np.cumsum(size) - size, size[order]
+    begins = np.cumsum(now) - now
+    moved = np.repeat(first[order] - begins, now) + np.arange(now.sum())
+    flat = {c: pc.list_flatten(found[c]).to_numpy() for c in ("index", "value")}
+    return SparseRows(label[order], np.repeat(np.arange(len(order), dtype=np.int32), now), flat["index"][moved], flat["value"][moved])
+
+
+def logistic(rows: SparseRows, y: np.ndarray, weight: np.ndarray, scale: np.ndarray, penalty: float = PENALTY, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Weights of sparse features scaled by ``scale``, and the bias; accelerated gradient descent with backtracking. A row of weight 0 takes no part."""
+    at, col, k, n = rows.row, rows.index, len(scale), len(y)
+    value = (scale.astype(np.float32)[col] * rows.value) if len(col) else rows.value
     sign, total = 2.0 * y - 1, weight.sum()
-    first, full = np.cumsum(size) - size, size > 0
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.full(n, v[k])
-        if len(col):
-            z[full] += np.add.reduceat(v[col] * value, first[full])
+        z = v[k] + np.bincount(at, v[col] * value, n)
         return float((weight * np.logaddexp(0, -sign * z)).sum() / total + penalty / 2 / total * (v[:k] ** 2).sum()), z
 
     def slope(v: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -195,18 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     place = np.full(1 << HASH_BITS, -1, np.int32)
     place[ratios["id"].to_numpy(np.int64)] = np.arange(len(ratios), dtype=np.int32)
     rows = sparse_rows(sample, place)
-    y = rows["label"].to_numpy(np.float64)
+    y = rows.label.astype(np.float64)
     if not len(y):
         return Classifier(place, np.zeros(len(ratios)), -np.log(99.0))
-    index, value = [np.asarray(f, np.int64) for f in rows["index"]], [np.asarray(f, np.float64) for f in rows["value"]]
     scale = ratios["ratio"].to_numpy(np.float64)
     share = {k: stands_for[k] * (y == k).sum() for k in (0, 1) if (y == k).any()}
     weight = np.array([stands_for[int(k)] * sum(share.values()) / (len(share) * share[int(k)]) for k in y])
 
-    def learned(some: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
-        return logistic([index[i] for i in some], [value[i] for i in some], y[some], weight[some], scale, penalty, steps)
-
-    w, bias = learned(np.arange(len(y)))
+    w, bias = logistic(rows, y, weight, scale, penalty)
     if len(share) < 2 or min((y == 0).sum(), (y == 1).sum()) < 2 * folds:
         return Classifier(place, w * scale, bias)
     fold, margin = np.empty(len(y), np.int64), np.empty(len(y))
@@ -214,8 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
         mine = np.flatnonzero(y == k)
         fold[mine] = np.arange(len(mine)) % folds
     for f in range(folds):
-        fw, fb = learned(np.flatnonzero(fold != f), 60)
-        margin[fold == f] = [fb + (fw[index[i]] * scale[index[i]] * value[i]).sum() for i in np.flatnonzero(fold == f)]
+        fw, fb = logistic(rows, y, np.where(fold == f, 0.0, weight), scale, penalty, 60)
+        margin[fold == f] = (fb + np.bincount(rows.row, (fw * scale)[rows.index] * rows.value, len(y)))[fold == f]
     a, b = calibration(margin, y)
     return Classifier(place, a * w * scale, a * bias + b)
 
