@@ -56,16 +56,19 @@ def advised(profiles: DataFrame, grid: DataFrame, n: int = ALTERNATIVES) -> Data
     fit = lambda c: percent(covered_amount(F.col("by_category"), c["covered"]), F.col("total"))
     is_mine = lambda c: F.array_contains("owned", c["candidate_pos"])
     held = F.array_distinct(F.flatten(F.transform(F.filter("cards", is_mine), lambda c: F.transform(c["rows"], lambda r: r["category_id"]))))
-    rows = rows.withColumn("held", F.coalesce(held, F.array().cast("array<bigint>")))
     mine = F.transform(F.filter("cards", is_mine), lambda c: F.struct(c["card_id"].alias("card_id"), fit(c).alias("fit")))
-    rows = rows.withColumn("mine", F.transform(mine, lambda m: F.struct(m["card_id"].alias("card_id"), m["fit"].alias("fit"), F.when(m["fit"] >= KEEP_FROM, "keep").otherwise("switch").alias("verdict"))))
-
-    def overlaps(c: Column) -> Column:
-        return F.aggregate(F.filter(c["rows"], lambda r: F.array_contains("held", r["category_id"])), F.lit(0).cast("long"), lambda a, r: a + r["n"])
-
-    open_cards = F.transform(F.filter("cards", lambda c: ~is_mine(c)), lambda c: F.struct(c["candidate_pos"].alias("candidate_pos"), c["card_id"].alias("card_id"), fit(c).alias("fit"), overlaps(c).alias("n_overlaps")))
-    ordered = F.array_sort(F.transform(open_cards, lambda o: F.struct((o["n_overlaps"] * OVERLAP_PENALTY - o["fit"]).alias("behind"), o["candidate_pos"].alias("candidate_pos"), o["card_id"].alias("card_id"), o["fit"].alias("fit"), o["n_overlaps"].alias("n_overlaps"))))
-    return rows.withColumn("others", F.slice(ordered, 1, n)).select("user_id", "mine", "others")
+    mine = F.transform(mine, lambda m: F.struct(m["card_id"].alias("card_id"), m["fit"].alias("fit"), F.when(m["fit"] >= KEEP_FROM, "keep").otherwise("switch").alias("verdict")))
+
+    def best(own: Column) -> Column:
+        """The best other cards, for the categories ``own`` of the owned ones."""
+        overlaps = lambda c: F.aggregate(F.filter(c["rows"], lambda r: F.array_contains(own, r["category_id"])), F.lit(0).cast("long"), lambda a, r: a + r["n"])
+        open_cards = F.transform(F.filter("cards", lambda c: ~is_mine(c)), lambda c: F.struct(c["candidate_pos"].alias("candidate_pos"), c["card_id"].alias("card_id"), fit(c).alias("fit"), overlaps(c).alias("n_overlaps")))
+        ordered = F.array_sort(F.transform(open_cards, lambda o: F.struct((o["n_overlaps"] * OVERLAP_PENALTY - o["fit"]).alias("behind"), o["candidate_pos"].alias("candidate_pos"), o["card_id"].alias("card_id"), o["fit"].alias("fit"), o["n_overlaps"].alias("n_overlaps"))))
+        return F.slice(ordered, 1, n)
+
+    # bound as a lambda's variable, the owned categories are found once a user: as a column they would be put into the inner lambda and found for each benefit row
+    others = F.flatten(F.transform(F.array(held), best))
+    return rows.select("user_id", mine.alias("mine"), others.alias("others"))
 
 
 def verdicts(users: DataFrame) -> DataFrame:
