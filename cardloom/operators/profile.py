@@ -73,11 +73,11 @@ def advised(profiles: DataFrame, grid: DataFrame, n: int = ALTERNATIVES) -> Data
 
 def verdicts(users: DataFrame) -> DataFrame:
     """Keep an owned card from a fit of 60 on, else switch."""
-    return users.select("user_id", F.inline("mine"))
+    return users.select("user_id", F.inline_outer("mine")).filter("card_id IS NOT NULL")
 
 
 def alternatives(users: DataFrame) -> DataFrame:
-    rows = users.select("user_id", F.posexplode("others").alias("at", "o"))
+    rows = users.select("user_id", F.posexplode_outer("others").alias("at", "o")).filter("o IS NOT NULL")  # outer: else the list is made again to test that it is not empty
     return rows.select("user_id", "o.card_id", "o.fit", "o.n_overlaps", (-F.col("o.behind")).alias("score"), (F.col("at") + 1).cast("long").alias("place"))
 
 
@@ -87,4 +87,4 @@ def combination(users: DataFrame) -> DataFrame:
     kept = part(F.filter("mine", lambda m: m["verdict"] == "keep"), "kept")
     moves = F.exists("mine", lambda m: m["verdict"] == "switch")
     new = part(F.when(moves, F.slice("others", 1, 1)).otherwise(F.slice("others", 1, 0)), "new")
-    return users.select("user_id", F.inline(F.concat(kept, new)))
+    return users.select("user_id", F.inline_outer(F.concat(kept, new))).filter("card_id IS NOT NULL")
