@@ -389,3 +389,20 @@ def test_searches_tell_each_card_once_without_comparing_rows(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 3)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan  # a search may find most cards: no task keeps what it has told
+
+
+def compared_sets(spark):
+    sets = [(1, 5, 0), (1, 6, 1), (1, 7, 2), (2, 6, 0), (2, 5, 1), (3, 7, 0), (3, 8, 1), (4, 8, 0), (4, 5, 2)]
+    rates = [(5, 3, 5.0, 4), (5, 2, 1.0, 1), (6, 3, 2.0, 1), (6, 9, 0.5, 1), (7, 3, 7.0, 2), (99, 3, 9.0, 1)]
+    return spark.createDataFrame(sets, "set_id long, card_id long, pos long"), spark.createDataFrame(rates, "card_id long, category_id long, rate double, benefit_pos long")
+
+
+def is_told_from_one_row(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Aggregate" not in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_rate_matrix_is_told_from_one_row_a_set(spark):
+    got = compare.rate_matrix(compare.met_sets(*compared_sets(spark), "rate"))
+    want = {(1, 3, 5.0, 2.0, 7.0), (1, 2, 1.0, 0.0, 0.0), (1, 9, 0.0, 0.5, 0.0), (2, 3, 2.0, 5.0, 0.0), (2, 2, 0.0, 1.0, 0.0), (2, 9, 0.5, 0.0, 0.0), (3, 3, 7.0, 0.0, 0.0), (4, 3, 0.0, 0.0, 5.0), (4, 2, 0.0, 0.0, 1.0)}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and is_told_from_one_row(got)
