@@ -406,3 +406,10 @@ def test_rate_matrix_is_told_from_one_row_a_set(spark):
     got = compare.rate_matrix(compare.met_sets(*compared_sets(spark), "rate"))
     want = {(1, 3, 5.0, 2.0, 7.0), (1, 2, 1.0, 0.0, 0.0), (1, 9, 0.0, 0.5, 0.0), (2, 3, 2.0, 5.0, 0.0), (2, 2, 0.0, 1.0, 0.0), (2, 9, 0.5, 0.0, 0.0), (3, 3, 7.0, 0.0, 0.0), (4, 3, 0.0, 0.0, 5.0), (4, 2, 0.0, 0.0, 1.0)}
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and is_told_from_one_row(got)
+
+
+def test_cells_are_told_from_one_row_a_set(spark):
+    sets, rates = compared_sets(spark)
+    got = compare.benefit_cells(sets, rates.selectExpr("*", "'%' AS unit", "1L AS max_limit", "'cashback' AS benefit_kind", "'x' AS condition"))
+    cells = {(r.set_id, r.card_id, r.category_id): r.rate for r in got.collect()}
+    assert len(cells) == got.count() == 9 + 6 + 2 + 4 and cells[1, 7, 3] == 7.0 and cells[4, 8, 2] is None and is_told_from_one_row(got)
