@@ -413,3 +413,8 @@ def test_cells_are_told_from_one_row_a_set(spark):
     got = compare.benefit_cells(sets, rates.selectExpr("*", "'%' AS unit", "1L AS max_limit", "'cashback' AS benefit_kind", "'x' AS condition"))
     cells = {(r.set_id, r.card_id, r.category_id): r.rate for r in got.collect()}
     assert len(cells) == got.count() == 9 + 6 + 2 + 4 and cells[1, 7, 3] == 7.0 and cells[4, 8, 2] is None and is_told_from_one_row(got)
+
+
+def test_shared_categories_are_told_from_one_row_a_set(spark):
+    got = compare.shared_categories(compare.met_sets(*compared_sets(spark), "rate"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3), (2, 3)] and is_told_from_one_row(got)
