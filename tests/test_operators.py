@@ -418,3 +418,9 @@ def test_cells_are_told_from_one_row_a_set(spark):
 def test_shared_categories_are_told_from_one_row_a_set(spark):
     got = compare.shared_categories(compare.met_sets(*compared_sets(spark), "rate"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 3), (2, 3)] and is_told_from_one_row(got)
+
+
+def test_set_categories_are_told_from_one_row_a_set(spark):
+    got = compare.set_categories(compare.met_sets(*compared_sets(spark), "benefit_pos"))
+    want = [(1, 2, 1), (1, 3, 2), (1, 9, 3), (2, 2, 3), (2, 3, 1), (2, 9, 2), (3, 3, 1), (4, 2, 1), (4, 3, 2)]
+    assert sorted(tuple(r) for r in got.collect()) == want and is_told_from_one_row(got)
