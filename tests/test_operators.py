@@ -424,3 +424,14 @@ def test_set_categories_are_told_from_one_row_a_set(spark):
     got = compare.set_categories(compare.met_sets(*compared_sets(spark), "benefit_pos"))
     want = [(1, 2, 1), (1, 3, 2), (1, 9, 3), (2, 2, 3), (2, 3, 1), (2, 9, 2), (3, 3, 1), (4, 2, 1), (4, 3, 2)]
     assert sorted(tuple(r) for r in got.collect()) == want and is_told_from_one_row(got)
+
+
+def test_scores_are_told_from_one_row_a_set(spark):
+    sets, _ = compared_sets(spark)
+    cards = spark.createDataFrame([(5, 10, 0, 0, 40), (6, 10, 0, 0, 40), (7, 5, None, 4, 50)], "card_id long, max_benefit long, annual_fee_dom_basic int, min_performance int, rating_x10 long")
+    scores = compare.score_sets(sets, cards, spark.createDataFrame([(6, 2), (7, 1)], "card_id long, n_benefits long"))
+    rows = {(r.set_id, r.card_id): (r.total, r.place, r.medal) for r in compare.compare_scores(scores).collect()}
+    assert rows == {(1, 6): (97, 0, 1), (1, 5): (87, 1, 2), (1, 7): (None, 2, 3), (2, 6): (97, 0, 1), (2, 5): (87, 1, 2), (3, 7): (None, 0, 1), (4, 5): (87, 0, 1)}
+    wide = compare.score_matrix(scores)
+    assert wide.count() == 20 and {tuple(r) for r in wide.filter("subject = 'diversity_score'").collect()} == {(1, "diversity_score", 0, 100, 50), (2, "diversity_score", 100, 0, None), (3, "diversity_score", 100, None, None), (4, "diversity_score", None, None, 0)}
+    assert is_told_from_one_row(wide)
